@@ -34,7 +34,7 @@ def fixed_pieces(sections: DataFrame, width: int = 4, section: Sequence[str] = S
     """Cut the text of each section into pieces of `width` characters: (section, idx, value)."""
     starts = F.sequence(F.lit(1), F.length(text), F.lit(width))
     cut = sections.filter(F.length(text) > 0).select(*section, text, F.posexplode(starts).alias("idx", "__at"))
-    return cut.select(*section, "idx", F.substring(F.col(text), F.col("__at"), F.lit(width)).alias("value"))
+    return cut.select(*section, F.col("idx").cast("long"), F.substring(F.col(text), F.col("__at"), F.lit(width)).alias("value"))
 
 
 def _by_bucket(spans: DataFrame, width: int) -> DataFrame:

@@ -65,7 +65,10 @@ def unwrap(df: DataFrame, predictions: str = "predictions") -> DataFrame:
 
 def predict_examples(df: DataFrame, load: Callable[[], Model], name: str, bos: int, eos: int,
                      tokens: str = "tokens", out: str = "predictions") -> DataFrame:
-    """Predictions aligned with `tokens`: wrap, predict, drop the two extra ones. Empty rows are left out."""
+    """Wrap, predict, drop the first and the last prediction. Empty rows are left out.
+
+    The predictions line up with `tokens` unless these already had the start or end id.
+    """
     kept = df.filter(F.size(tokens) > 0).withColumn("__plain", F.col(tokens))
     done = unwrap(predict(wrap_specials(kept, bos, eos, tokens), load, name, tokens, out), out)
     return done.withColumn(tokens, F.col("__plain")).drop("__plain")

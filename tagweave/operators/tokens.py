@@ -8,11 +8,13 @@ each text.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
+import random
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,31 +110,49 @@ def text_pieces(text: str, encode: Callable[[str], list[str]], marks: Sequence[s
     return [p for p in pieces if p]
 
 
-def _sampler(model, options: Encoding, rng: np.random.Generator) -> Callable[[str], list[str]]:
-    """Sampled segmentation that depends on `rng` only."""
+def _sampler(model, options: Encoding, start: int) -> Callable[[str], list[str]]:
+    """Sampled segmentation that depends on the seed `start` only."""
+    rng = random.Random(start)
+
     def by_nbest(text: str) -> list[str]:
         found = model.NBestEncodeAsPieces(text, options.nbest)
         if not found:
             return []
-        scores = np.array([sum(model.GetScore(model.PieceToId(p)) for p in pieces) for pieces in found])
-        weights = np.exp(options.alpha * (scores - scores.max()))
-        return list(found[rng.choice(len(found), p=weights / weights.sum())])
-
-    def by_dropout(text: str) -> list[str]:
-        # merges of a pair model, each chance left out with probability alpha
-        parts = list(UNDERLINE + text.replace(" ", UNDERLINE))
-        while len(parts) > 1:
-            scored = [(model.GetScore(i), at) for at in range(len(parts) - 1)
-                      if (i := model.PieceToId(parts[at] + parts[at + 1])) != model.unk_id()
-                      and rng.random() >= options.alpha]
-            if not scored:
-                break
-            best = max(score for score, _ in scored)
-            at = next(a for score, a in scored if score == best)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    return by_nbest if _has_nbest(model) else by_dropout
+        scores = [sum(model.GetScore(model.PieceToId(p)) for p in pieces) for pieces in found]
+        weights = [math.exp(options.alpha * (score - max(scores))) for score in scores]
+        return list(rng.choices(found, weights)[0])
+
+    return by_nbest if _has_nbest(model) else lambda text: _merge_with_dropout(model, text, options.alpha, rng)
+
+
+def _merge_with_dropout(model, text: str, alpha: float, rng: random.Random) -> list[str]:
+    """Best merges first, each chance left out with probability `alpha`."""
+    parts = list(UNDERLINE + text.replace(" ", UNDERLINE))
+    after = list(range(1, len(parts) + 1))
+    before = list(range(-1, len(parts) - 1))
+    chances: list[tuple[float, int, int, str]] = []
+
+    def offer(left: int, right: int) -> None:
+        if left >= 0 and right < len(parts):
+            piece = parts[left] + parts[right]
+            found = model.PieceToId(piece)
+            if found != model.unk_id():
+                heapq.heappush(chances, (-model.GetScore(found), left, right, piece))
+
+    for at in range(len(parts) - 1):
+        offer(at, at + 1)
+    while chances:
+        _, left, right, piece = heapq.heappop(chances)
+        stale = not parts[left] or after[left] != right or parts[left] + parts[right] != piece
+        if stale or rng.random() < alpha:
+            continue
+        parts[left], parts[right] = piece, ""
+        after[left] = after[right]
+        if after[right] < len(parts):
+            before[after[right]] = left
+        offer(before[left], left)
+        offer(left, after[left])
+    return [p for p in parts if p]
 
 
 def _has_nbest(model) -> bool:
@@ -156,7 +176,7 @@ def encoded(text: Column, model: SubwordModel, options: Encoding = Encoding(), k
         sampled = options.nbest > 1
         rows = []
         for value, start in zip(texts, seeds):
-            bare = (_sampler(processor, options, np.random.default_rng(start)) if sampled
+            bare = (_sampler(processor, options, int(start)) if sampled
                     else processor.EncodeAsPieces)
             pieces = text_pieces(value or "", bare, options.marks, options.by_space)
             pieces, ids = _piece_ids(processor, pieces, options.specials)

@@ -1,0 +1,197 @@
+"""Learning a unigram vocabulary: expectation maximisation over Spark counts.
+
+After Kudo (2018). A large seed of frequent substrings is fitted to the chunks and pruned in rounds
+until it has the wanted size. Spark holds the chunks, computes the expected counts and the losses; the
+driver holds only the current pieces, at most `seed_size` of them.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagweave.operators.tokens import CONTROL
+from tagweave.operators.vocab import USER_SYMBOLS, Piece, _fixed, alphabet, spread_chunks
+
+MAX_PIECE = 16
+SHRINK = 0.75
+_RARE = 0.5
+
+
+def seed_pieces(chunks: DataFrame, chars: DataFrame, seed_size: int, max_piece: int = MAX_PIECE) -> DataFrame:
+    """All characters and the substrings of the highest count times length: (piece, count)."""
+    size = F.length("chunk")
+    starts = chunks.select("chunk", "count", F.explode(F.sequence(F.lit(1), size)).alias("s"))
+    spans = starts.filter(F.col("s") < size).select(
+        F.explode(F.sequence(F.lit(2), F.least(F.lit(max_piece), size - F.col("s") + 1))).alias("n"),
+        "chunk", "s", "count")
+    # combine on the map side: every occurrence inside a distinct chunk counts as often as the chunk
+    subs = spans.groupBy(F.substring(F.col("chunk"), F.col("s"), F.col("n")).alias("piece")).agg(
+        F.sum("count").alias("count")).filter("count >= 2")
+    best = subs.orderBy((F.col("count") * F.length("piece")).desc(), "piece").limit(seed_size)
+    return best.unionByName(chars.select(F.col("char").alias("piece"), "count"))
+
+
+def digamma(x: float) -> float:
+    """For positive x: the recurrence up to 6, then the asymptotic series."""
+    shift = 0.0
+    while x < 6:
+        shift -= 1 / x
+        x += 1
+    inv = 1 / (x * x)
+    return shift + math.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+
+
+def arcs(text: str, scores: dict[str, float], unknown: float, longest: int) -> list[list[tuple[int, str, float]]]:
+    """Pieces that end at each position: (start, piece, score); an uncovered character stands alone."""
+    found: list[list[tuple[int, str, float]]] = [[] for _ in range(len(text) + 1)]
+    for start in range(len(text)):
+        for end in range(start + 1, min(len(text), start + longest) + 1):
+            piece = text[start:end]
+            score = scores.get(piece)
+            if score is not None:
+                found[end].append((start, piece, score))
+            elif end == start + 1:
+                found[end].append((start, "", unknown))
+    return found
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values)) if top > -math.inf else top
+
+
+def expected_counts(text: str, found: list, weight: float, into: dict[str, float]) -> float:
+    """Forward-backward over one chunk; adds to `into` and returns the log likelihood."""
+    n = len(text)
+    leaving: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    forward = [0.0]
+    for end in range(1, n + 1):
+        forward.append(_log_sum([forward[start] + score for start, _, score in found[end]]))
+        for start, _, score in found[end]:
+            leaving[start].append((end, score))
+    backward = [0.0] * (n + 1)
+    for start in range(n - 1, -1, -1):
+        backward[start] = _log_sum([score + backward[end] for end, score in leaving[start]])
+    whole = forward[n]
+    for end in range(1, n + 1):
+        for start, piece, score in found[end]:
+            if piece:
+                share = weight * math.exp(forward[start] + score + backward[end] - whole)
+                into[piece] = into.get(piece, 0.0) + share
+    return weight * whole
+
+
+def best_path(found: list, skip: str | None = None) -> list[str]:
+    """The most likely segmentation, without `skip` as one of its pieces."""
+    n = len(found) - 1
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-math.inf, 0, "")] * n
+    for end in range(1, n + 1):
+        for start, piece, score in found[end]:
+            total = best[start][0] + score
+            if piece != skip and total > best[end][0]:
+                best[end] = (total, start, piece)
+    if best[n][0] == -math.inf:
+        return []
+    path, at = [], n
+    while at:
+        path.append(best[at][2])
+        at = best[at][1]
+    return path[::-1]
+
+
+def _counted(chunks: DataFrame, scores: dict[str, float], viterbi: bool) -> dict[str, float]:
+    """Counts per piece over all chunks, expected or of the best paths; summed by Spark."""
+    shared = chunks.sparkSession.sparkContext.broadcast(scores)
+    unknown, longest = min(scores.values()) - 10.0, max(map(len, scores))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, float] = {}
+        for batch in batches:
+            for text, count in zip(batch["chunk"], batch["count"]):
+                found = arcs(text, shared.value, unknown, longest)
+                if viterbi:
+                    for piece in best_path(found):
+                        totals[piece] = totals.get(piece, 0.0) + count
+                else:
+                    expected_counts(text, found, count, totals)
+        yield pd.DataFrame({"piece": list(totals), "total": np.array(list(totals.values()), dtype=float)})
+
+    summed = chunks.select("chunk", "count").mapInPandas(run, "piece string, total double").groupBy("piece").agg(
+        F.sum("total").alias("total"))
+    counted = {r["piece"]: r["total"] for r in summed.collect() if r["piece"]}
+    shared.unpersist()
+    return counted
+
+
+def _refit(counts: dict[str, float], keep: set[str]) -> dict[str, float]:
+    """Scores from expected counts; rare pieces go, characters stay."""
+    kept = {p: max(c, _RARE) for p, c in counts.items() if c >= _RARE or p in keep}
+    kept.update({p: _RARE for p in keep - kept.keys()})
+    total = digamma(sum(kept.values()))
+    return {p: digamma(c) - total for p, c in kept.items()}
+
+
+def _losses(chunks: DataFrame, scores: dict[str, float], counts: dict[str, float]) -> dict[str, float]:
+    """What the likelihood loses without each piece, its best other segmentation taking its place."""
+    spark = chunks.sparkSession
+    shared = spark.sparkContext.broadcast((scores, counts))
+    unknown, longest, total = min(scores.values()) - 10.0, max(map(len, scores)), sum(counts.values())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, seen = shared.value
+        for batch in batches:
+            out = []
+            for piece in batch["piece"]:
+                other = best_path(arcs(piece, known, unknown, longest), skip=piece)
+                own = seen.get(piece, 0.0)
+                if not other or own == 0.0:
+                    out.append(-math.inf if other else math.inf)
+                    continue
+                grown = math.log(total + own * (len(other) - 1))
+                alternative = sum(math.log(seen.get(p, 0.0) + own) - grown for p in other)
+                out.append(own / total * (math.log(own) - math.log(total) - alternative))
+            yield pd.DataFrame({"piece": batch["piece"], "loss": out})
+
+    table = spark.createDataFrame(pd.DataFrame({"piece": sorted(scores)})).repartition(
+        spark.sparkContext.defaultParallelism)
+    found = {r["piece"]: r["loss"] for r in table.mapInPandas(run, "piece string, loss double").collect()}
+    shared.unpersist()
+    return found
+
+
+def train_unigram(chunks: DataFrame, wanted: int, coverage: float = 1.0, seed_size: int = 1_000_000,
+                  max_piece: int = MAX_PIECE, passes: int = 2) -> list[tuple[str, float]]:
+    """The `wanted` best pieces with their log probabilities, best first; characters are always in."""
+    chunks = spread_chunks(chunks)
+    chars = alphabet(chunks, coverage)
+    seed = seed_pieces(chunks, chars, seed_size, max_piece).collect()
+    keep = {r["piece"] for r in seed if len(r["piece"]) == 1}
+    if len(keep) > wanted:
+        raise ValueError(f"{wanted} pieces do not hold {len(keep)} characters")
+    whole = math.log(sum(r["count"] * len(r["piece"]) for r in seed))
+    scores = {r["piece"]: math.log(r["count"] * len(r["piece"])) - whole for r in seed}
+    while True:
+        for _ in range(passes):
+            scores = _refit(_counted(chunks, scores, viterbi=False), keep)
+        if len(scores) <= max(wanted, int(wanted * 1.1)):
+            break
+        losses = _losses(chunks, scores, _counted(chunks, scores, viterbi=True))
+        target = max(int(wanted * 1.1), int(len(scores) * SHRINK))
+        others = sorted((p for p in scores if p not in keep), key=lambda p: (-losses[p], p))
+        scores = {p: scores[p] for p in [*keep, *others[:max(target - len(keep), 0)]]}
+    others = sorted((p for p in scores if p not in keep), key=lambda p: (-scores[p], p))
+    chosen = [*keep, *others[:wanted - len(keep)]]
+    return sorted(((p, scores[p]) for p in chosen), key=lambda item: (-item[1], item[0]))
+
+
+def unigram_pieces(chunks: DataFrame, size: int, coverage: float = 0.99995, control: Sequence[str] = CONTROL,
+                   user_symbols: Sequence[str] = USER_SYMBOLS, **options) -> list[Piece]:
+    """A whole vocabulary of at most `size` pieces with log probabilities as scores."""
+    fixed = _fixed(control, user_symbols)
+    return [*fixed, *(Piece(p, s) for p, s in train_unigram(chunks, size - len(fixed), coverage, **options))]

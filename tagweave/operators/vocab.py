@@ -67,10 +67,18 @@ def _symbols(chunk: Column) -> Column:
 
 
 def _apply(state: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    for left, right in merges:
-        state = F.replace(state, F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}"),
-                          F.lit(f"{_OPEN}{left}{right}{_CLOSE}"))
-    return state
+    """All merges in order, folded over one constant array so that every round compiles alike."""
+    if not merges:
+        return state
+    rules = F.array(*[F.struct(F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}").alias("apart"),
+                               F.lit(f"{_OPEN}{left}{right}{_CLOSE}").alias("joined")) for left, right in merges])
+    return F.aggregate(rules, state, lambda s, rule: F.replace(s, rule.getField("apart"), rule.getField("joined")))
+
+
+def spread_chunks(chunks: DataFrame) -> DataFrame:
+    """Store the chunks in at least as many parts as there are cores; the rounds work hard on few bytes."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return settle(chunks.repartition(max(cores, chunks.rdd.getNumPartitions())))
 
 
 def pair_counts(states: DataFrame, allowed: Column | None = None) -> DataFrame:
@@ -128,12 +136,11 @@ def train_bpe(chunks: DataFrame, merges: int, min_count: int = 1, allowed: Seque
         ok = ~F.concat("left", "right").rlike(outside)
     done: list[tuple[str, str]] = []
     pending: list[tuple[str, str]] = []
-    base = settle(initial_states(chunks))
+    base = spread_chunks(initial_states(chunks))
     made: set[str] = set()
     while len(made) < merges:
         if len(pending) >= _PENDING:
-            base = settle(base.select(_apply(F.col("state"), pending).alias("state"), "count").groupBy("state").agg(
-                F.sum("count").alias("count")))
+            base = settle(base.select(_apply(F.col("state"), pending).alias("state"), "count"))
             pending = []
         states = base.select(_apply(F.col("state"), pending).alias("state"), "count")
         counted = pair_counts(states, ok).filter(F.col("count") >= min_count)

@@ -38,13 +38,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     cut = documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.withColumn("line", F.trim("line")).filter("line != ''")
+    return cut.select("doc_id", F.col("line_no").cast("long"), F.trim("line").alias("line")).filter("line != ''")
 
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos, word)"""
     parts = F.array_remove(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), "")
-    return documents(spark, folder).select("doc_id", F.posexplode(parts).alias("pos", "word"))
+    numbered = documents(spark, folder).select("doc_id", F.posexplode(parts).alias("pos", "word"))
+    return numbered.withColumn("pos", F.col("pos").cast("long"))
 
 
 def _by_length(names: tuple[str, ...], shift: Column | None = None) -> Column:
@@ -96,7 +97,7 @@ def token_rows(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "pos", "tag", F.length("word").alias("n"), F.posexplode(F.split("word", "")).alias("piece", "c"))
     label = (F.when(F.col("piece") == F.col("n") - 1, F.concat("tag", F.lit("+" + runs.WORD_END)))
              .when(F.col("piece") % 3 == 2, runs.MASK).otherwise(F.col("tag")))
-    return rows.select("doc_id", "pos", "piece", F.ascii("c").alias("token"), label.alias("label"))
+    return rows.select("doc_id", "pos", F.col("piece").cast("long"), F.ascii("c").alias("token"), label.alias("label"))
 
 
 def spread_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +105,7 @@ def spread_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = predicted(spark, folder).select(
         "doc_id", "pos", "tag", "pred", F.posexplode(F.split("word", "")).alias("piece", "c"))
     first = F.col("piece") == 0
-    return rows.select("doc_id", "pos", "piece", F.ascii("c").alias("token"),
+    return rows.select("doc_id", "pos", F.col("piece").cast("long"), F.ascii("c").alias("token"),
                        F.when(first, F.col("tag")).otherwise(runs.MASK).alias("label"),
                        F.when(first, F.col("pred")).otherwise(runs.MASK).alias("pred"))
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions import labels as lab
 from tagweave.functions import text as txt
-from tagweave.operators import align, examples, joins, metrics, runs, sampling, scan, stats, tags, vocab
+from tagweave.operators import (align, examples, joins, metrics, runs, sampling, scan, stats, tagging, tags, tokens,
+                                unigram, vocab)
 from tagweave.plans import corpus
 from tagweave.plans import fixtures as fx
 from tagweave.session import scratch_path, settle
@@ -252,7 +255,7 @@ def skip_empty_examples(spark, folder):
         F.count(F.lit(1)).alias("examples"), F.sum(F.size("tokens")).alias("tokens"))
 
 
-@query(fx.sql("tagged", "SELECT doc_id, pos, length(word) AS token, word AS text, tag FROM tagged"))
+@query(fx.sql("tagged", "SELECT doc_id, pos, length(word)::INT AS token, word AS text, tag FROM tagged"))
 def explode_examples(spark, folder):
     nested = fx.tagged(spark, folder).withColumn("chunk", (F.col("pos") / 64).cast("long")).groupBy(
         "doc_id", "chunk").agg(runs.ordered(["pos"], F.length("word"), F.col("word"), F.col("tag")).alias("i"),
@@ -397,7 +400,7 @@ _CONFUSION = dict(
     per_label="""SELECT label, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS precision,
         CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall,
         CASE WHEN predicted + support = 0 THEN 0 ELSE 2 * tp / (predicted + support) END AS f1, support FROM prf""",
-    report="""SELECT label AS label_id, tag, precision, recall, f1, support,
+    report="""SELECT label::INT AS label_id, tag, precision, recall, f1, support,
         support / CASE WHEN tag = '[MASK]' THEN sum(support) OVER () ELSE sum(support) FILTER (tag <> '[MASK]') OVER ()
         END::BIGINT AS support_share, tag = '[MASK]' AS is_mask FROM (
         SELECT *, coalesce((MAP {0: 'NOUN', 1: 'PROPN', 2: 'VERB', 3: 'ADJ', 4: 'UNK', 5: 'PUNCT', 6: '[MASK]',
@@ -422,7 +425,7 @@ def confusion_counts(spark, folder):
     return metrics.confusion_counts(fx.predicted(spark, folder), "tag", "pred")
 
 
-@query(fx.sql("spread_rows", "SELECT label, precision, recall, f1, support FROM per_label", **_CONFUSION))
+@query(fx.sql("spread_rows", "SELECT label::INT AS label, precision, recall, f1, support FROM per_label", **_CONFUSION))
 def prf_per_label(spark, folder):
     return metrics.prf_per_label(_confusion(spark, folder), _label_ids(spark))
 
@@ -700,7 +703,8 @@ SELECT doc_id, generate_subscripts(p, 1) - 1 AS part_no, unnest(p) AS part FROM
     SELECT doc_id, string_split(text, '. ') AS p FROM documents)"""))
 def split_registers(spark, folder):
     return fx.documents(spark, folder).select(
-        "doc_id", F.posexplode(txt.split_registers(F.col("text"), ". ")).alias("part_no", "part"))
+        "doc_id", F.posexplode(txt.split_registers(F.col("text"), ". ")).alias("part_no", "part")).withColumn(
+        "part_no", F.col("part_no").cast("long"))
 
 
 @query(fx.sql("section_rows", """
@@ -720,7 +724,7 @@ def align_pieces(spark, folder):
 SELECT doc_id, pos, piece, token, CASE WHEN piece = 0 THEN tag END AS label FROM chars"""))
 def word_piece_labels(spark, folder):
     rows = fx.tagged(spark, folder).select("doc_id", "pos", fx.code_points(F.col("word")).alias("tokens"), "tag")
-    return examples.word_piece_labels(rows)
+    return examples.word_piece_labels(rows).withColumn("piece", F.col("piece").cast("long"))
 
 
 def _line_examples(spark, folder):
@@ -766,7 +770,7 @@ def truncate_pad(spark, folder):
 
 
 @query(fx.sql("tagged", """
-SELECT row_number() OVER (ORDER BY late, label) - 1 AS label_id, label FROM (
+SELECT (row_number() OVER (ORDER BY late, label) - 1)::INT AS label_id, label FROM (
     SELECT DISTINCT 0 AS late, tag AS label FROM tagged UNION ALL SELECT 1, '[MASK]' UNION ALL SELECT 2, 'UNK')"""))
 def build_label_map(spark, folder):
     return examples.build_label_map(fx.tagged(spark, folder), "tag", [_MASK, "UNK"])
@@ -779,24 +783,33 @@ _CUT = fx.hash_sql("doc_id || '|' || seq_no", f"{fx.SEED}-cut")
 _SHORT = fx.hash_sql("doc_id || '|' || seq_no", f"{fx.SEED}-short")
 
 
+_WINDOWS = dict(ex=_LINE_EXAMPLES, placed=_PLACED, seqs=_SEQS,
+                cuts=f"""SELECT *, {_SHORT} % 1000000 < 50000 AND cut < len(tokens) AS short FROM (
+                    SELECT *, 2 + {_CUT} % 125 AS cut FROM seqs)""",
+                halves="""SELECT doc_id, seq_no, 0 AS half, CASE WHEN short THEN tokens[:cut] ELSE tokens END AS tokens
+                    FROM cuts UNION ALL SELECT doc_id, seq_no, 1, tokens[cut + 1:] FROM cuts WHERE short""")
+
+
 @query(fx.sql("lines", """
-SELECT doc_id, seq_no, 0 AS half, array_to_string(CASE WHEN short THEN tokens[:cut] ELSE tokens END, ' ') AS tokens
-FROM cuts UNION ALL
-SELECT doc_id, seq_no, 1, array_to_string(tokens[cut + 1:], ' ') FROM cuts WHERE short""",
-              ex=_LINE_EXAMPLES, placed=_PLACED, seqs=_SEQS,
-              cuts=f"""SELECT *, {_SHORT} % 1000000 < 50000 AND cut < len(tokens) AS short FROM (
-                  SELECT *, 2 + {_CUT} % 125 AS cut FROM seqs)"""))
+SELECT doc_id, seq_no, half, array_to_string(tokens, ' ') AS tokens FROM halves""", **_WINDOWS))
 def mlm_windows(spark, folder):
     rows = examples.mlm_windows(_line_examples(spark, folder), 128, 0.05, fx.SEED)
     return rows.select("doc_id", "seq_no", "half", lab.token_key(F.col("tokens")).alias("tokens"))
 
 
-@query()
+@query(fx.sql("lines", """
+SELECT doc_id, seq_no, half, array_to_string(tokens, ' ') AS restored, true AS within, true AS kept FROM halves""", **_WINDOWS))
 def mask_tokens(spark, folder):
+    """Put back what was hidden: the tokens as they were, within the limit, other places untouched."""
     rows = examples.mlm_windows(_line_examples(spark, folder), 128, 0.05, fx.SEED)
-    masked = examples.mask_tokens(rows, 1000, key=("doc_id", "seq_no", "half"))
-    return masked.select("doc_id", "seq_no", "half", *[lab.token_key(F.col(c)).alias(c) for c in (
-        "masked", "positions", "originals")])
+    done = examples.mask_tokens(rows, 1000, special_ids=(), key=("doc_id", "seq_no", "half"))
+    restored = F.transform("masked", lambda x, i: F.coalesce(
+        F.get("originals", (F.array_position("positions", i) - 1).cast("int")), x))
+    count = F.size("positions")
+    limit = F.least(F.lit(20), F.greatest(F.lit(1), F.round(F.size("tokens") * 0.15).cast("int") + 1))
+    return done.select("doc_id", "seq_no", "half", lab.token_key(restored).alias("restored"),
+                       ((count >= 1) & (count <= limit)).alias("within"),
+                       (F.size("masked") == F.size("tokens")).alias("kept"))
 
 
 @query(fx.sql("lines", 'SELECT doc_id, line_no, line, "dupe" FROM lines, range(1, 5) r("dupe")'))
@@ -812,10 +825,185 @@ SELECT doc_id, seg_no, CASE WHEN s THEN following ELSE line END AS "first", CASE
             SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS seg_no FROM (
                 SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))) WHERE following IS NOT NULL"""))
 def sentence_order_pairs(spark, folder):
-    segments = fx.documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg_no", "line"))
+    segments = fx.documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seg_no", "line")).withColumn("seg_no", F.col("seg_no").cast("long"))
     return examples.sentence_order_pairs(segments, fx.SEED, tokens="line")
 
 
+# Jobs with a subword model or a tagger
+
+_models: dict[tuple, tokens.SubwordModel] = {}
+
+
+def _model(spark, folder, extra: int, kind: str = "bpe") -> tokens.SubwordModel:
+    """A model learnt from all documents: every character and `extra` more pieces."""
+    key = (spark.sparkContext.applicationId, folder, extra, kind)
+    if key not in _models:
+        chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
+        chars = vocab.alphabet(chunks).count()
+        size = chars + len(tokens.CONTROL) + len(vocab.USER_SYMBOLS) + 2 + extra
+        make = vocab.bpe_pieces if kind == "bpe" else functools.partial(
+            unigram.unigram_pieces, coverage=1.0, seed_size=4 * extra, max_piece=6)
+        _models[key] = tokens.SubwordModel(spark, vocab.model_bytes(make(chunks, size), kind))
+    return _models[key]
+
+
+_SQUEEZED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+_CHUNKS = dict(
+    raw="""SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents)
+        WHERE w <> '' GROUP BY w""",
+    chunks="""SELECT chunk, sum(n)::BIGINT AS n FROM (
+        SELECT unnest(regexp_extract_all('▁' || w, '[^()".£€–-]+')) AS chunk, n FROM raw) GROUP BY chunk""",
+    states="""SELECT chr(1) || array_to_string(string_split(chunk, ''), chr(2) || chr(1)) || chr(2) AS state, n FROM chunks""",
+)
+_PAIRS = """SELECT p[1] AS "left", p[2] AS "right", sum(n)::BIGINT AS "count" FROM (
+    SELECT unnest([[s[i], s[i + 1]] for i in range(1, len(s))]) AS p, n FROM (
+        SELECT string_split(trim(replace(state, chr(2) || chr(1), ' '), chr(1) || chr(2)), ' ') AS s, n FROM {states}))
+    GROUP BY 1, 2"""
+
+
+@query(fx.sql("", "SELECT chunk, n AS \"count\" FROM chunks", **_CHUNKS))
+def chunk_counts(spark, folder):
+    return vocab.chunk_counts(fx.documents(spark, folder))
+
+
+@query(fx.sql("", _PAIRS.format(states="states"), **_CHUNKS))
+def pair_counts(spark, folder):
+    return vocab.pair_counts(vocab.initial_states(vocab.chunk_counts(fx.documents(spark, folder))))
+
+
+_MERGES = 24
+
+
+def _merge_rounds() -> str:
+    """One merge per round, unrolled."""
+    rounds = ["WITH " + ", ".join(f"{n} AS MATERIALIZED ({t})" for n, t in {**_CHUNKS, "s0": "SELECT * FROM states"}.items())]
+    for i in range(_MERGES):
+        rounds.append(f"""p{i} AS MATERIALIZED (SELECT "left" AS l, "right" AS r FROM ({_PAIRS.format(states=f"s{i}")})
+            ORDER BY "count" DESC, length("left" || "right"), "left" || "right", "left" LIMIT 1)""")
+        rounds.append(f"""s{i + 1} AS MATERIALIZED (SELECT replace(state, chr(1) || l || chr(2) || chr(1) || r || chr(2),
+            chr(1) || l || r || chr(2)) AS state, n FROM s{i}, p{i})""")
+    picks = " UNION ALL ".join(f'SELECT {i}::BIGINT AS rank, l AS "left", r AS "right" FROM p{i}' for i in range(_MERGES))
+    return ", ".join(rounds) + " " + picks
+
+
+@query(_merge_rounds())
+def train_bpe(spark, folder):
+    chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
+    rules = vocab.train_bpe(chunks, _MERGES)[:_MERGES]
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rules)], "rank long, left string, right string")
+
+
+@query()
+def train_unigram(spark, folder):
+    chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
+    pieces = unigram.train_unigram(chunks, 300, seed_size=1200, max_piece=6)
+    return spark.createDataFrame(pieces, "piece string, score double")
+
+
+@query(fx.sql("", f"SELECT doc_id, {_SQUEEZED} AS text, true AS tokens_match FROM documents"))
+def encode_and_decode(spark, folder):
+    """Ids and pieces of every text; decoding gives the text back."""
+    model = _model(spark, folder, 32)
+    coded = tokens.encode(fx.documents(spark, folder), model)
+    return tokens.decode(coded, model).select(
+        "doc_id", "text", (F.size("tokens") == F.size("pieces")).alias("tokens_match"))
+
+
+@query(fx.sql("", f"SELECT doc_id, '▁' || replace({_SQUEEZED}, ' ', '▁') AS text FROM documents"))
+def encode_sampled(spark, folder):
+    options = tokens.Encoding(nbest=64, alpha=0.1, seed=fx.SEED)
+    coded = tokens.encode(fx.documents(spark, folder), _model(spark, folder, 32), options=options)
+    return coded.select("doc_id", F.array_join("pieces", "").alias("text"))
+
+
+@query(fx.sql("", f"SELECT doc_id, replace({_SQUEEZED}, ' ', '▁') AS text, true AS cut_at_marks FROM documents"))
+def tokenise_by_space(spark, folder):
+    """Underlines only between parts; with marks, no piece goes on after a comma or a digit and comma."""
+    options = tokens.Encoding(by_space=True, marks=(",",))
+    coded = tokens.encode(fx.documents(spark, folder), _model(spark, folder, 32), options=options)
+    inside = F.exists("pieces", lambda p: F.contains(F.substring(p, F.lit(1), F.length(p) - 1), F.lit(",")))
+    return coded.select("doc_id", F.array_join("pieces", "").alias("text"), (~inside).alias("cut_at_marks"))
+
+
+@query(fx.sql("words", "SELECT doc_id, pos, word, word AS text FROM words"))
+def encode_words(spark, folder):
+    model = _model(spark, folder, 32)
+    return tokens.decode(tokens.encode_words(fx.words(spark, folder), model), model).drop("tokens")
+
+
+@query()
+def align_tokens(spark, folder):
+    sections = corpus.word_sections(fx.tagged(spark, folder), fx.UNIT_MARK)
+    options = tokens.Encoding(marks=(",", "."))
+    done = tokens.align_tokens(sections, _model(spark, folder, 32), options)
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.size("words")).alias("words"))
+
+
+@query(fx.sql("lines", """
+SELECT word, count(*) AS "count" FROM (SELECT unnest(string_split(lower(line), ' ')) AS word FROM lines) GROUP BY word"""))
+def segment_words(spark, folder):
+    return stats.value_counts(tokens.segment_words(fx.lines(spark, folder), str.lower), "word", sort=False)
+
+
+def _by_remainder():
+    """A stand-in tagger: the label of a token is its id modulo seven, given as scores."""
+    def run(batch):
+        return [np.eye(7)[row % 7] for row in batch]
+    return run
+
+
+@query(fx.sql("lines", """
+SELECT doc_id, line_no, array_to_string([t % 7 for t in tokens[CASE WHEN tokens[1] = 2 THEN 2 ELSE 1 END :
+    len(tokens) - CASE WHEN tokens[-1] = 3 THEN 1 ELSE 0 END]], ' ') AS predictions FROM ex""", ex=_LINE_EXAMPLES))
+def predict(spark, folder):
+    rows = _line_examples(spark, folder)
+    done = tagging.predict_examples(rows, _by_remainder, "remainder", 2, 3)
+    return done.select("doc_id", "line_no", lab.token_key(F.col("predictions")).alias("predictions"))
+
+
+@query(fx.sql("lines", """
+SELECT doc_id, line_no, CASE WHEN tokens[1] = 2 THEN '' ELSE '2 ' END || array_to_string(tokens, ' ') ||
+    CASE WHEN tokens[-1] = 3 THEN '' ELSE ' 3' END AS tokens FROM ex""", ex=_LINE_EXAMPLES))
+def wrap_specials(spark, folder):
+    rows = tagging.wrap_specials(_line_examples(spark, folder), 2, 3)
+    return rows.select("doc_id", "line_no", lab.token_key(F.col("tokens")).alias("tokens"))
+
+
+def _word_starts(model: tokens.SubwordModel):
+    """A stand-in tagger over a character model: an underline starts a word, all else goes on."""
+    def load():
+        start = model.processor().PieceToId(tokens.UNDERLINE)
+        return lambda batch: [np.where(row == start, 0, 1) for row in batch]
+    return load
+
+
+_STARTS = {0: "NOUN", 1: _MASK}
+
+
+@query(fx.sql("words", """
+SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n, 'NOUN' AS tag FROM words GROUP BY doc_id"""))
+def tag_text(spark, folder):
+    model = _model(spark, folder, 0)
+    done = tagging.tag_text(fx.documents(spark, folder), model, _word_starts(model), "starts-" + model.name, _STARTS,
+                            options=tokens.Encoding(wrap=True))
+    return done.select("doc_id", F.array_join("words", " ").alias("words"), F.size("tags").cast("long").alias("n"),
+                       F.array_join(F.array_distinct("tags"), " ").alias("tag"))
+
+
+@query(fx.sql("", """
+SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS text, true AS short FROM documents"""))
+def tag_documents(spark, folder):
+    """Long texts in segments of at most 200 characters, cut after commas and stops."""
+    model = _model(spark, folder, 0)
+    done = tagging.tag_documents(
+        fx.documents(spark, folder), lambda t: tagging.segments_by_mark(t, 200, [",", "."]), [F.lower], model,
+        _word_starts(model), "starts-" + model.name, _STARTS, options=tokens.Encoding(wrap=True))
+    return done.groupBy("doc_id").agg(
+        runs.ordered(["seg"], F.array_join("words", "")).alias("i"),
+        F.bool_and(F.size("words") == F.size("tags")).alias("short")).select(
+        "doc_id", F.array_join("i.v0", "").alias("text"), "short")
+
+
 # Pipelines
 
 @query(fx.sql("units", """
