@@ -23,7 +23,7 @@ USER_SYMBOLS = ("(", ")", '"', "-", ".", "–", "£", "€")
 # A symbol of a chunk is written between these two, which do not occur in text.
 _OPEN, _CLOSE = "\x01", "\x02"
 _PENDING = 48
-_CANDIDATES = 256
+_CANDIDATES = 1024
 
 
 @dataclass(frozen=True)

@@ -871,7 +871,7 @@ def pair_counts(spark, folder):
     return vocab.pair_counts(vocab.initial_states(vocab.chunk_counts(fx.documents(spark, folder))))
 
 
-_MERGES = 24
+_MERGES = 16
 
 
 def _merge_rounds() -> str:
