@@ -25,7 +25,7 @@ def split_bar(text: Column) -> Column:
 
 def label_set(labels: Column) -> Column:
     """Upper-cased, distinct, sorted labels joined with `+`."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(labels, F.upper))), "+")
+    return F.array_join(F.sort_array(F.array_distinct(F.transform(labels, F.upper))), "+")
 
 
 def token_key(tokens: Column) -> Column:

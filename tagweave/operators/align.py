@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.operators.runs import MASK, WORD_END
@@ -12,7 +12,7 @@ from tagweave.operators.scan import BLOCK, running_sums
 from tagweave.operators.tags import BAD, OK
 
 SECTION = ("doc_id", "section_pos")
-WIDTH = 64
+WIDTH = 32
 
 
 def word_spans(df: DataFrame, section: Sequence[str] = SECTION, order: Sequence[str] = ("pos",),
@@ -37,9 +37,8 @@ def fixed_pieces(sections: DataFrame, width: int = 4, section: Sequence[str] = S
     return cut.select(*section, F.col("idx").cast("long"), F.substring(F.col(text), F.col("__at"), F.lit(width)).alias("value"))
 
 
-def _by_bucket(spans: DataFrame, width: int) -> DataFrame:
-    return spans.withColumn("__bucket", F.explode(F.sequence(
-        F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+def _bucket(place: str, width: int) -> Column:
+    return F.expr(f"({place}) div {int(width)}")
 
 
 def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequence[str] = SECTION,
@@ -47,27 +46,47 @@ def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequen
                             word_end: str = WORD_END) -> DataFrame:
     """Give every token the tags of the words it overlaps, and `word_end` if a word ends in it.
 
-    Spans meet through buckets of `width` characters: an overlapping pair shares a bucket, and a
-    bucket holds few spans however long the section is. Labels are upper-cased, distinct, sorted and
-    joined with `+`; a token without a match gets `mask`.
+    Spans meet through buckets of `width` characters, which hold few spans however long the section
+    is. A token of at most half a bucket goes to the bucket it starts in and the words go to every
+    bucket such a token can reach them from, so one join gives all its labels. Longer tokens go to all
+    buckets they touch and are gathered by a second shuffle. Labels are upper-cased,
+    distinct, sorted and joined with `+`; a token without a match gets `mask`.
     """
-    left = _by_bucket(tokens, width).alias("t")
-    right = _by_bucket(words.select(*section, F.col("start").alias("start"), F.col("end").alias("end"), "tag"),
-                       width).select(*section, "__bucket", F.col("start").alias("__ws"),
-                                     F.col("end").alias("__we"), F.upper("tag").alias("__tag")).distinct()
-    overlaps = (F.col("__ws") < F.col("end")) & (F.col("__we") > F.col("start"))
-    ends = (F.col("__we") > F.col("start")) & (F.col("__we") <= F.col("end"))
-    same = [F.col(f"t.{k}") == F.col(f"w.{k}") for k in (*section, "__bucket")]
-    joined = left.join(right.alias("w"), [*same, overlaps | ends], "left")
+    section = list(section)
+    reach = max(1, width // 2)
+    spans = words.select(*section, F.col("start").alias("__ws"), F.col("end").alias("__we"),
+                         F.upper("tag").alias("__tag"))
+    # words that take room tile the section; only empty ones can pile up at one place
+    spans = spans.filter("__we > __ws").unionByName(spans.filter("__we = __ws").distinct())
+    size = F.col("end") - F.col("start")
     keep = [c for c in tokens.columns if c not in (*section, idx)]
-    labels = joined.groupBy(*[F.col(f"t.{k}").alias(k) for k in section], idx, *keep).agg(
-        F.collect_set(F.when(overlaps, F.col("__tag"))).alias("__tags"),
-        F.bool_or(F.coalesce(ends, F.lit(False))).alias("__ends"))
-    all_labels = F.when(F.col("__ends"), F.array_union("__tags", F.array(F.lit(word_end)))).otherwise(
-        F.col("__tags"))
-    joined_labels = F.array_join(F.array_sort(all_labels), "+")
-    return labels.select(*section, idx, *keep,
-                         F.when(F.size(all_labels) > 0, joined_labels).otherwise(F.lit(mask)).alias("label"))
+
+    short = tokens.filter(size <= reach).withColumn("__bucket", _bucket("start", width))
+    near = spans.withColumn("__bucket", F.explode(F.sequence(
+        _bucket(f"greatest(__ws - {reach}, 0)", width), _bucket("__we", width))))
+    long = tokens.filter(size > reach).withColumn("__bucket", F.explode(F.sequence(
+        _bucket("start", width), _bucket("end", width))))
+    wide = spans.withColumn("__bucket", F.explode(F.sequence(_bucket("__ws", width), _bucket("__we", width))))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Labels of each token from the words of its bucket, at most a few dozen."""
+        at_hand = right.groupBy(*section, "__bucket").agg(
+            F.collect_list(F.struct("__ws", "__we", "__tag")).alias("__words"))
+        def overlaps(w: Column) -> Column:
+            return (w["__ws"] < F.col("end")) & (w["__we"] > F.col("start"))
+        def ends(w: Column) -> Column:
+            return (w["__we"] > F.col("start")) & (w["__we"] <= F.col("end"))
+        over = F.transform(F.filter("__words", overlaps), lambda w: w["__tag"])
+        found = F.when(F.exists("__words", ends), F.array_append(over, F.lit(word_end))).otherwise(over)
+        none = F.slice(F.array(F.lit("")), 1, 0)
+        return left.join(at_hand, [*section, "__bucket"], "left").select(
+            *section, idx, *keep, F.coalesce(found, none).alias("__labels"))
+
+    apart = met(long, wide).groupBy(*section, idx, *keep).agg(
+        F.flatten(F.collect_list("__labels")).alias("__labels"))
+    joined = F.array_join(F.sort_array(F.array_distinct("__labels")), "+")
+    return met(short, near).unionByName(apart).select(
+        *section, idx, *keep, F.when(F.size("__labels") > 0, joined).otherwise(F.lit(mask)).alias("label"))
 
 
 def align_pieces(pieces: DataFrame, words: DataFrame, section: Sequence[str] = SECTION,

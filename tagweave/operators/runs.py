@@ -22,7 +22,8 @@ TSHEG = "་"
 def ordered(order: Sequence[str], *values: Column) -> Column:
     """Collect `values` of a group in `order`, as an array of structs `v0, v1, ...`."""
     fields = [v.alias(f"v{i}") for i, v in enumerate(values)]
-    return F.array_sort(F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
+    # sort_array compares natively; array_sort would interpret a comparator per pair
+    return F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
                                                 *fields)))
 
 
@@ -131,7 +132,7 @@ def regroup_words(df: DataFrame, part: str = "example_id", order: Sequence[str]
                        F.array_contains(parts, word_end), "word_pos", block=block)
     grouped = rows.groupBy(part, "word_pos").agg(
         ordered(order, F.col(token), parts).alias("__items"))
-    tags = F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.col("__items.v1"))), word_end))
+    tags = F.sort_array(F.array_remove(F.array_distinct(F.flatten(F.col("__items.v1"))), word_end))
     return grouped.select(part, "word_pos", F.col("__items.v0").alias("tokens"),
                           F.array_join(tags, "+").alias("tag"))
 

@@ -164,7 +164,7 @@ def _has_nbest(model) -> bool:
 
 def _piece_ids(model, pieces: list[str], specials: Sequence[str]) -> tuple[list[str], list[int]]:
     named = [specials[ord(p) - 0xF0000] if 0xF0000 <= ord(p[0]) <= 0xF00FF else p for p in pieces]
-    return named, [model.PieceToId(p) for p in named]
+    return named, model.PieceToId(named) if named else []
 
 
 def encoded(text: Column, model: SubwordModel, options: Encoding = Encoding(), key: Column | None = None) -> Column:
@@ -212,7 +212,7 @@ def decoded(tokens: Column, model: SubwordModel) -> Column:
     @pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
         processor = model.processor()
-        return ids.map(lambda row: processor.DecodeIds([int(i) for i in row]))
+        return ids.map(lambda row: processor.DecodeIds(row.tolist()))
     return run(tokens)
 
 
@@ -221,7 +221,7 @@ def decoded_words(words: Column, model: SubwordModel) -> Column:
     @pandas_udf("array<string>")
     def run(rows: pd.Series) -> pd.Series:
         processor = model.processor()
-        return rows.map(lambda row: [processor.DecodeIds([int(i) for i in word]) for word in row])
+        return rows.map(lambda row: processor.Decode([word.tolist() for word in row], num_threads=1) if len(row) else [])
     return run(words)
 
 

@@ -151,11 +151,14 @@ def replace_rare(spark, folder):
 
 
 @query(fx.sql("token_rows", """
-SELECT doc_id, pos, piece, CASE WHEN label <> '[MASK]' AND count(*) OVER (PARTITION BY label) < 5000 THEN 'UNK'
-    ELSE label END AS label FROM token_rows"""))
+SELECT doc_id, label, count(*) AS "count", sum(pos * 100 + piece)::BIGINT AS places FROM (
+    SELECT doc_id, pos, piece, CASE WHEN label <> '[MASK]' AND count(*) OVER (PARTITION BY label) < 30000 THEN 'UNK'
+    ELSE label END AS label FROM token_rows) GROUP BY doc_id, label"""))
 def replace_rare_labels(spark, folder):
     rows = fx.token_rows(spark, folder).select("doc_id", "pos", "piece", "label")
-    return tags.replace_rare(rows, 4999, tags.RARE, "label", protect=[_MASK], salt_by=["doc_id", "pos", "piece"])
+    common = tags.replace_rare(rows, 29999, tags.RARE, "label", protect=[_MASK], salt_by=["doc_id", "pos", "piece"])
+    return common.groupBy("doc_id", "label").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.col("pos") * 100 + F.col("piece")).alias("places"))
 
 
 @query(fx.sql("tagged", """
@@ -188,16 +191,20 @@ _SPANS = dict(
 )
 
 
-def _section_spans(spark, folder):
-    return align.word_spans(runs.section_rows(fx.tagged(spark, folder)))
+def _section_rows(spark, folder):
+    """Stored, because running sums over it read it twice, and pieces and spans each read it."""
+    return settle(runs.section_rows(fx.tagged(spark, folder)))
 
 
-def _section_pieces(spark, folder):
-    """Pieces of four characters of the joined sections, cut at hand from the word spans."""
-    sections = runs.section_rows(fx.tagged(spark, folder)).groupBy("doc_id", "section_pos").agg(
-        runs.ordered(["pos"], F.col("word")).alias("i")).select(
+def _section_spans(rows):
+    return align.word_spans(rows)
+
+
+def _section_pieces(rows):
+    """Pieces of four characters of the joined sections."""
+    sections = rows.groupBy("doc_id", "section_pos").agg(runs.ordered(["pos"], F.col("word")).alias("i")).select(
         "doc_id", "section_pos", F.array_join("i.v0", "").alias("text"))
-    return align.token_spans(align.fixed_pieces(sections))
+    return align.token_spans(settle(align.fixed_pieces(sections)))
 
 
 _STATUS = """SELECT doc_id, section_pos, count(*) AS words, CASE WHEN bool_and(we % 4 = 0 OR we = total) THEN 'ok'
@@ -208,7 +215,8 @@ _STATUS = """SELECT doc_id, section_pos, count(*) AS words, CASE WHEN bool_and(w
 @query(fx.sql("section_rows", "SELECT status, count(*) AS sections, sum(words)::BIGINT AS words FROM st GROUP BY status",
               **_SPANS, st=_STATUS))
 def drop_unaligned(spark, folder):
-    status = align.alignment_status(_section_spans(spark, folder), _section_pieces(spark, folder))
+    rows = _section_rows(spark, folder)
+    status = settle(align.alignment_status(_section_spans(rows), _section_pieces(rows)))
     both = tags.drop_unaligned(status).unionByName(tags.unaligned(status))
     return both.groupBy("status").agg(F.count(F.lit(1)).alias("sections"), F.sum("words").alias("words"))
 
@@ -286,14 +294,15 @@ FROM pieces p LEFT JOIN spans s ON s.doc_id = p.doc_id AND s.section_pos = p.sec
     AND ((s.ws < p.te AND s.we > p.ts) OR (s.we > p.ts AND s.we <= p.te))
 GROUP BY p.doc_id, p.section_pos, p.idx, p.value""", **_SPANS))
 def label_tokens_by_overlap(spark, folder):
-    labelled = align.label_tokens_by_overlap(_section_pieces(spark, folder), _section_spans(spark, folder))
+    rows = _section_rows(spark, folder)
+    labelled = align.label_tokens_by_overlap(_section_pieces(rows), _section_spans(rows))
     return labelled.select("doc_id", "section_pos", "idx", "value", "label")
 
 
 def _split_vocab(spark, folder):
     """Words of the examples with their keys: (example_id, word_pos, key, tokens, tag, split)."""
     rows = fx.example_words(spark, folder)
-    return rows.withColumn("key", lab.token_key(F.col("tokens")))
+    return settle(rows.withColumn("key", lab.token_key(F.col("tokens"))))
 
 
 @query(fx.sql("example_words", """
@@ -524,21 +533,22 @@ def words_from_tags(spark, folder):
 
 @query(fx.sql("section_rows", """SELECT doc_id, section_pos, pos, word, ws AS "start", we AS "end" FROM spans""", **_SPANS))
 def word_spans(spark, folder):
-    return _section_spans(spark, folder).select("doc_id", "section_pos", "pos", "word", "start", "end")
+    return _section_spans(_section_rows(spark, folder)).select("doc_id", "section_pos", "pos", "word", "start", "end")
 
 
 @query(fx.sql("section_rows", """SELECT doc_id, section_pos, idx, value, ts AS "start", te AS "end" FROM pieces""", **_SPANS))
 def token_spans(spark, folder):
-    return _section_pieces(spark, folder).select("doc_id", "section_pos", "idx", "value", "start", "end")
+    return _section_pieces(_section_rows(spark, folder)).select("doc_id", "section_pos", "idx", "value", "start", "end")
 
 
 @query(fx.sql("spread_rows", """
-SELECT doc_id, pos, piece, max(CASE WHEN label <> '[MASK]' THEN label END) OVER (PARTITION BY doc_id, pos) AS label
-FROM spread_rows"""))
+SELECT doc_id, pos, max(label) FILTER (label <> '[MASK]') AS label, count(*) AS places FROM spread_rows
+GROUP BY doc_id, pos"""))
 def ffill_labels(spark, folder):
     rows = fx.spread_rows(spark, folder).select("doc_id", "pos", "piece", "label",
                                                 (F.col("pos") * 100 + F.col("piece")).alias("at"))
-    return metrics.ffill_labels(rows, _MASK, "doc_id", "at", block=scan.BLOCK * 16).drop("at")
+    filled = metrics.ffill_labels(rows, _MASK, "doc_id", "at", block=scan.BLOCK * 16)
+    return filled.groupBy("doc_id", "pos", "label").agg(F.count(F.lit(1)).alias("places"))
 
 
 @query(fx.sql("section_rows", """
@@ -714,17 +724,24 @@ LEFT JOIN spans s ON s.doc_id = p.doc_id AND s.section_pos = p.section_pos AND s
     AND (s.we % 4 = 0)
 GROUP BY p.doc_id, p.section_pos, p.idx, p.value""", **_SPANS, st=_STATUS))
 def align_pieces(spark, folder):
-    return align.align_pieces(_section_pieces(spark, folder), _section_spans(spark, folder)).select(
+    rows = _section_rows(spark, folder)
+    # words and pieces are both used twice: for the status and for the numbering
+    return align.align_pieces(settle(_section_pieces(rows)), settle(_section_spans(rows))).select(
         "doc_id", "section_pos", "idx", "value", "word_idx", "status")
 
 
 # Examples
 
 @query(fx.sql("chars", """
-SELECT doc_id, pos, piece, token, CASE WHEN piece = 0 THEN tag END AS label FROM chars"""))
+SELECT doc_id, pos, count(*) AS pieces, sum(token * (piece + 1))::BIGINT AS tokens,
+    string_agg(CASE WHEN piece = 0 THEN piece || ':' || tag END, ' ' ORDER BY piece) AS labels FROM chars
+GROUP BY doc_id, pos"""))
 def word_piece_labels(spark, folder):
     rows = fx.tagged(spark, folder).select("doc_id", "pos", fx.code_points(F.col("word")).alias("tokens"), "tag")
-    return examples.word_piece_labels(rows).withColumn("piece", F.col("piece").cast("long"))
+    labelled = examples.word_piece_labels(rows)
+    return labelled.groupBy("doc_id", "pos").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum(F.col("token") * (F.col("piece") + 1)).alias("tokens"),
+        F.max(F.when(F.col("label").isNotNull(), F.concat_ws(":", "piece", "label"))).alias("labels"))
 
 
 def _line_examples(spark, folder):
@@ -970,10 +987,12 @@ def wrap_specials(spark, folder):
 
 
 def _word_starts(model: tokens.SubwordModel):
-    """A stand-in tagger over a character model: an underline starts a word, all else goes on."""
+    """A stand-in tagger: a piece with an underline starts a word, all else goes on."""
     def load():
-        start = model.processor().PieceToId(tokens.UNDERLINE)
-        return lambda batch: [np.where(row == start, 0, 1) for row in batch]
+        processor = model.processor()
+        goes_on = np.array([not processor.IdToPiece(i).startswith(tokens.UNDERLINE)
+                            for i in range(processor.GetPieceSize())], dtype=np.int32)
+        return lambda batch: [goes_on[row] for row in batch]
     return load
 
 
@@ -983,7 +1002,7 @@ _STARTS = {0: "NOUN", 1: _MASK}
 @query(fx.sql("words", """
 SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n, 'NOUN' AS tag FROM words GROUP BY doc_id"""))
 def tag_text(spark, folder):
-    model = _model(spark, folder, 0)
+    model = _model(spark, folder, 32)
     done = tagging.tag_text(fx.documents(spark, folder), model, _word_starts(model), "starts-" + model.name, _STARTS,
                             options=tokens.Encoding(wrap=True))
     return done.select("doc_id", F.array_join("words", " ").alias("words"), F.size("tags").cast("long").alias("n"),
@@ -994,7 +1013,7 @@ def tag_text(spark, folder):
 SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS text, true AS short FROM documents"""))
 def tag_documents(spark, folder):
     """Long texts in segments of at most 200 characters, cut after commas and stops."""
-    model = _model(spark, folder, 0)
+    model = _model(spark, folder, 32)
     done = tagging.tag_documents(
         fx.documents(spark, folder), lambda t: tagging.segments_by_mark(t, 200, [",", "."]), [F.lower], model,
         _word_starts(model), "starts-" + model.name, _STARTS, options=tokens.Encoding(wrap=True))

@@ -41,7 +41,7 @@ def test_spans_tile_the_section(spark):
         (s, i): x[:2] for s, ps in pieces.items() for i, x in enumerate(ps)}
 
 
-@pytest.mark.parametrize("width", [3, 64])
+@pytest.mark.parametrize("width", [3, 8, 64])
 def test_labels_by_overlap(spark, width):
     words, pieces = tilings(2)
     w, p, tags = frames(spark, words, pieces)
