@@ -131,8 +131,9 @@ def regroup_words(df: DataFrame, part: str = "example_id", order: Sequence[str]
     rows = number_runs(df.filter(F.col(label) != mask), part, order,
                        F.array_contains(parts, word_end), "word_pos", block=block)
     grouped = rows.groupBy(part, "word_pos").agg(
-        ordered(order, F.col(token), parts).alias("__items"))
-    tags = F.sort_array(F.array_remove(F.array_distinct(F.flatten(F.col("__items.v1"))), word_end))
+        ordered(order, F.col(token), F.col(label)).alias("__items"))
+    all_parts = F.split(F.array_join(F.col("__items.v1"), "+"), r"\+")
+    tags = F.sort_array(F.array_remove(F.array_distinct(all_parts), word_end))
     return grouped.select(part, "word_pos", F.col("__items.v0").alias("tokens"),
                           F.array_join(tags, "+").alias("tag"))
 

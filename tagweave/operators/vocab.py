@@ -1,8 +1,8 @@
 """Learning a subword vocabulary with Spark.
 
 The corpus is reduced once to distinct chunks (space-separated words, optionally cut after marks)
-with their counts. Every round counts adjacent pairs over all chunks, weighted, and merges. Only the
-best pairs of a round come to the driver.
+with their counts. Adjacent pairs are counted over all chunks, weighted, and merged in rounds. Only
+the best pairs of a round come to the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tagweave.session import settle
 USER_SYMBOLS = ("(", ")", '"', "-", ".", "–", "£", "€")
 # A symbol of a chunk is written between these two, which do not occur in text.
 _OPEN, _CLOSE = "\x01", "\x02"
-_PENDING = 48
+_PENDING = 16
 _CANDIDATES = 1024
 
 
@@ -81,14 +81,13 @@ def spread_chunks(chunks: DataFrame) -> DataFrame:
     return settle(chunks.repartition(max(cores, chunks.rdd.getNumPartitions())))
 
 
-def pair_counts(states: DataFrame, allowed: Column | None = None) -> DataFrame:
+def pair_counts(states: DataFrame) -> DataFrame:
     """Weighted counts of adjacent symbols: (left, right, count)."""
     symbols = F.split(F.regexp_replace("state", f"^{_OPEN}|{_CLOSE}$", ""), f"{_CLOSE}{_OPEN}")
     listed = states.select(symbols.alias("s"), "count").filter(F.size("s") > 1)
     pairs = listed.select("count", F.explode(F.arrays_zip(
         F.slice("s", 1, F.size("s") - 1).alias("left"), F.slice("s", 2, F.size("s")).alias("right"))).alias("p"))
-    counted = pairs.groupBy("p.left", "p.right").agg(F.sum("count").alias("count"))
-    return counted if allowed is None else counted.filter(allowed)
+    return pairs.groupBy("p.left", "p.right").agg(F.sum("count").alias("count"))
 
 
 def initial_states(chunks: DataFrame) -> DataFrame:
@@ -126,8 +125,9 @@ def train_bpe(chunks: DataFrame, merges: int, min_count: int = 1, allowed: Seque
     The most frequent pair comes first, ties by shorter, then smaller text.
 
     Exact: `batch` merges several pairs in a round only where one at a time would choose the same.
-    Merges are kept as a short list over a settled table, which is rewritten once the list is long,
-    so plans stay small and a lost executor repeats one round. `allowed` restricts the alphabet.
+    Counts are carried from round to round and corrected by the chunks that changed. Merges are kept as
+    a short list over a stored table, which is rewritten once the list is long, so plans stay small and
+    a lost executor repeats one round. `allowed` restricts the alphabet.
     """
     ok = None
     if allowed is not None:
@@ -136,25 +136,41 @@ def train_bpe(chunks: DataFrame, merges: int, min_count: int = 1, allowed: Seque
         ok = ~F.concat("left", "right").rlike(outside)
     done: list[tuple[str, str]] = []
     pending: list[tuple[str, str]] = []
-    base = spread_chunks(initial_states(chunks))
     made: set[str] = set()
+    base = spread_chunks(initial_states(chunks))
+    counts = settle(pair_counts(base))
+    text = F.concat("left", "right")
     while len(made) < merges:
-        if len(pending) >= _PENDING:
-            base = settle(base.select(_apply(F.col("state"), pending).alias("state"), "count"))
-            pending = []
-        states = base.select(_apply(F.col("state"), pending).alias("state"), "count")
-        counted = pair_counts(states, ok).filter(F.col("count") >= min_count)
-        text = F.concat("left", "right")
-        best = counted.orderBy(F.col("count").desc(), F.length(text), text, "left").limit(_CANDIDATES).collect()
+        usable = counts.filter(F.col("count") >= min_count)
+        best = (usable if ok is None else usable.filter(ok)).orderBy(
+            F.col("count").desc(), F.length(text), text, "left").limit(_CANDIDATES).collect()
         if not best:
             break
         new = _independent(best, merges - len(made) if batch else 1)
         made |= {left + right for left, right in new}
         done += new
+        if len(made) < merges:
+            states = base.select(_apply(F.col("state"), pending).alias("state"), "count")
+            counts = settle(_recounted(counts, states, new))
         pending += new
+        if len(pending) >= _PENDING:
+            base = settle(base.select(_apply(F.col("state"), pending).alias("state"), "count"))
+            pending = []
     return done
 
 
+def _recounted(counts: DataFrame, states: DataFrame, new: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pair counts after the merges: only chunks that hold a merged pair are counted again."""
+    holds = F.lit(False)
+    for left, right in new:
+        holds = holds | F.contains("state", F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}"))
+    versions = F.array(F.struct(F.col("state"), (-F.col("count")).alias("count")),
+                       F.struct(_apply(F.col("state"), new).alias("state"), F.col("count")))
+    changed = states.filter(holds).select(F.inline(versions))
+    return counts.unionByName(pair_counts(changed)).groupBy("left", "right").agg(
+        F.sum("count").alias("count")).filter("count > 0")
+
+
 def bpe_pieces(chunks: DataFrame, size: int, coverage: float = 1.0, control: Sequence[str] = CONTROL,
                user_symbols: Sequence[str] = USER_SYMBOLS, batch: bool = True) -> list[Piece]:
     """A whole vocabulary of `size` pieces: specials, merged pieces in order, then characters."""
