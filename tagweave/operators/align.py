@@ -49,7 +49,8 @@ def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequen
     Spans meet through buckets of `width` characters, which hold few spans however long the section
     is. A token of at most half a bucket goes to the bucket it starts in and the words go to every
     bucket such a token can reach them from, so one join gives all its labels. Longer tokens go to all
-    buckets they touch and are gathered by a second shuffle. Labels are upper-cased,
+    buckets they touch and are gathered by a second shuffle. Both inputs are read more than once: store
+    them where they are costly. Labels are upper-cased,
     distinct, sorted and joined with `+`; a token without a match gets `mask`.
     """
     section = list(section)

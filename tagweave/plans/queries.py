@@ -295,7 +295,7 @@ FROM pieces p LEFT JOIN spans s ON s.doc_id = p.doc_id AND s.section_pos = p.sec
 GROUP BY p.doc_id, p.section_pos, p.idx, p.value""", **_SPANS))
 def label_tokens_by_overlap(spark, folder):
     rows = _section_rows(spark, folder)
-    labelled = align.label_tokens_by_overlap(_section_pieces(rows), _section_spans(rows))
+    labelled = align.label_tokens_by_overlap(settle(_section_pieces(rows)), settle(_section_spans(rows)))
     return labelled.select("doc_id", "section_pos", "idx", "value", "label")
 
 
