@@ -145,9 +145,3 @@ def map_labels(df: DataFrame, mapping: DataFrame | Mapping, column: str, out: st
     dimension = as_map(df, mapping, key, value, types).select(
         F.col(key).alias(column), F.col(value).alias(out))
     return attach(df, dimension, [column], salt_by=salt_by)
-
-
-def mask_filter(df: DataFrame, tag: str = "tag", mask: str = MASK) -> DataFrame:
-    return drop_tag(df, mask, tag)
-
-
