@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.operators.joins import attach
-from tagweave.operators.runs import MASK, PUNCT
+from tagweave.operators.runs import PUNCT
 
 UNKNOWN = "unk"
 RARE = "UNK"
