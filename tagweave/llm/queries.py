@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tagweave.llm.bpe import op5_bpe_round_trip
+from tagweave.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_bpe_round_trip,)}
+QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op6_toxicity)}
 ORACLES: dict[str, str] = {}
