@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tagweave.llm.bpe import op5_bpe_round_trip
+from tagweave.llm.lines import op10_line_dedup
 from tagweave.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op6_toxicity)}
+QUERIES = {f.__name__: f for f in (op5_bpe_round_trip, op6_toxicity, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
