@@ -1,24 +1,56 @@
-"""Cleaning of a corpus in stages; each takes what the one before it kept."""
+"""Cleaning of a corpus in stages; each takes the documents that the one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import bpe
+from tagweave.llm import bpe, decontaminate, jaccard, lines, toxicity
+from tagweave.session import settle, ship_package
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels of the tables, does not reject."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has; one that loses all its content goes."""
+    ship_package(spark)
+    return lines.keep_unrepeated(docs)
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    ship_package(spark)
+    return jaccard.one_of_each(docs)
+
+
+def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    ship_package(spark)
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
-    import public_tokenizers
+    """Token counts and digests of the ids and of the decoded text of what is left."""
+    ship_package(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [("toxicity", toxic_out), ("line dedup", lines_once), ("n-gram Jaccard join", near_copies_out),
+          ("benchmark decontamination", leaks_out), ("BPE encoding and decoding", encoded)]
+#: The trees, SimHash and MinHash values have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on the documents; each result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
     return docs
