@@ -6,8 +6,9 @@ from tagweave.llm.bpe import op5_bpe_round_trip
 from tagweave.llm.decontaminate import op2_decontamination
 from tagweave.llm.jaccard import op3_ngram_jaccard
 from tagweave.llm.lines import op10_line_dedup
+from tagweave.llm.quality import op8_quality_rules
 from tagweave.llm.token_counts import op1_token_counts
 from tagweave.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_jaccard, op5_bpe_round_trip, op6_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_jaccard, op5_bpe_round_trip, op6_toxicity, op8_quality_rules, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
