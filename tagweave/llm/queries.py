@@ -7,8 +7,54 @@ from tagweave.llm.decontaminate import op2_decontamination
 from tagweave.llm.jaccard import op3_ngram_jaccard
 from tagweave.llm.lines import op10_line_dedup
 from tagweave.llm.quality import op8_quality_rules
+from tagweave.llm.secrets import op4_secret_scan
 from tagweave.llm.token_counts import op1_token_counts
 from tagweave.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_ngram_jaccard, op5_bpe_round_trip, op6_toxicity, op8_quality_rules, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_decontamination, op3_ngram_jaccard, op4_secret_scan, op5_bpe_round_trip, op6_toxicity,
+    op8_quality_rules, op10_line_dedup)}
+
+_SECRET_ASSIGN = (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
+                  r"[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+                  r"""["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+))""")
+SECRET_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS src, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, src, 0 AS k, 'assign' AS kind, t, '{_SECRET_ASSIGN}' AS p, 2 AS grp, 6 AS need FROM d
+  UNION ALL SELECT doc_id, src, 1, 'access', t, '(AKIA[A-Z0-9]+)', 1, 20 FROM d
+  UNION ALL SELECT doc_id, src, 2, 'hex', t, '([0-9a-f]+)', 1, 24 FROM d
+  UNION ALL SELECT doc_id, src, 3, 'owned', t, '([A-Za-z0-9+/_=-]+)', 1, 20 FROM d),
+f AS (
+  SELECT doc_id, src, k, kind, need, string_split_regex(t, p) AS g, regexp_extract_all(t, p) AS w,
+         CASE WHEN grp = 2 THEN regexp_extract_all(t, '{_SECRET_ASSIGN}', 2) ELSE regexp_extract_all(t, p) END AS v
+  FROM m),
+n AS (
+  SELECT doc_id, src, k, kind, need, unnest(w) AS one, unnest(v) AS val, unnest(g[1:len(w)]) AS gap,
+         unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) > 0),
+c AS (
+  SELECT *, sum(length(gap) + length(one)) OVER (PARTITION BY doc_id, k ORDER BY i) AS fin FROM n),
+s AS (
+  SELECT doc_id, src, k, kind, val, CAST(fin - length(one) AS BIGINT) AS st, CAST(fin AS BIGINT) AS en FROM c
+  WHERE length(val) >= need AND (k < 3 OR regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')
+        AND regexp_matches(val, '[0-9].*[0-9]'))),
+o AS (SELECT val, count(DISTINCT src) AS owners FROM s GROUP BY val),
+j AS (SELECT s.*, owners FROM s JOIN o USING (val)),
+base AS (SELECT * FROM j WHERE k < 3),
+more AS (
+  SELECT * FROM j a WHERE k = 3 AND owners <= 1 AND NOT EXISTS (
+    SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.st < a.en AND a.st < b.en)),
+per_base AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+         count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (owners <= 1) AS n_live,
+         count(*) FILTER (owners >= 3) AS n_copied,
+         string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k) AS l FROM base GROUP BY doc_id),
+per_all AS (
+  SELECT doc_id, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, k, en) AS l
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b.l, '')) AS base_sha256, coalesce(a.l, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN per_base b USING (doc_id) LEFT JOIN per_all a USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op4_secret_scan": SECRET_SQL}
