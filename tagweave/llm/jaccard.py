@@ -33,7 +33,8 @@ HASHES, ROWS = 64, 3
 STEP = 16
 #: Posterior probability below which a pair is dropped.
 TOLERANCE = 1e-7
-PART = 256
+#: Classes of one part of a bucket, and shingles of all their sets.
+PART, PART_SHINGLES = 1024, 4_000_000
 
 
 @functools.cache
@@ -55,12 +56,12 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, ha
 
 
 def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """`doc`, `cls` and `check` (hashes of the shingle set), `sig` (MinHash values) of each row.
+    """`doc`, `cls` and `check` (hashes of the shingle set), `sig` (MinHash values), `size` (shingles) of each row.
 
-    The last three are null for texts without words and rows without a key.
+    The last four are null for texts without words and rows without a key.
     """
     schema = docs.select(F.col(f"`{key}`").alias("doc")).schema
-    for name, kind in (("cls", "long"), ("check", "long"), ("sig", "binary")):
+    for name, kind in (("cls", "long"), ("check", "long"), ("sig", "binary"), ("size", "long")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +70,11 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
             sets = [shingle_set(t) if k else None for t, k in zip(texts, keyed)]
             full = [s for s in sets if s is not None and len(s)]
             signs = iter([row.tobytes() for row in signatures(full, HASHES)] if full else [])
-            rows = [(*set_digest(s), next(signs)) if s is not None and len(s) else (None, None, None) for s in sets]
-            cls, check, sig = zip(*rows)
+            rows = [(*set_digest(s), next(signs), len(s)) if s is not None and len(s) else (None,) * 4 for s in sets]
+            cls, check, sig, size = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(cls, pa.int64()), pa.array(check, pa.int64()),
-                 pa.array(sig, pa.binary())], names=schema.names)
+                 pa.array(sig, pa.binary()), pa.array(size, pa.int64())], names=schema.names)
 
     return docs.select(F.col(f"`{key}`").alias("doc"), text_of(text).alias("text")).mapInArrow(run, schema)
 
@@ -82,10 +83,10 @@ def buckets(classes: DataFrame) -> DataFrame:
     """`bucket`, `band`, `cls`, `parts`: the buckets that two classes or more fall into."""
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + width * b, width)) for b in range(HASHES // ROWS)])
-    keyed = classes.select("cls", F.posexplode(bands).alias("band", "bucket"))
-    parts = settle(keyed.groupBy("bucket").count().filter("count > 1").select(
-        "bucket", F.ceil(F.col("count") / PART).cast("int").alias("parts")))
-    return keyed.join(parts, "bucket")
+    keyed = classes.select("cls", "size", F.posexplode(bands).alias("band", "bucket"))
+    held = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    parts = F.ceil(F.greatest(F.col("count") / PART, F.col("size") / PART_SHINGLES)).cast("int")
+    return keyed.drop("size").join(settle(held.filter("count > 1").select("bucket", parts.alias("parts"))), "bucket")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -227,9 +228,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     placed = everything.filter(F.col("cls").isNotNull())
     classes = settle(placed.groupBy("cls").agg(
         F.min("doc").alias("text_id"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig"),
-        F.min("check").alias("low"), F.max("check").alias("high"))
+        F.max("size").alias("size"), F.min("check").alias("low"), F.max("check").alias("high"))
         .filter("low = high").drop("low", "high"))
-    active = settle(pruned(dealt(buckets(classes.select("cls", "sig"))).join(classes.select("cls", "sig"), "cls")))
+    active = settle(pruned(dealt(buckets(classes.select("cls", "sig", "size"))).join(classes.select("cls", "sig"), "cls")))
     wanted = active.select("cls").distinct().join(classes, "cls")
     sets = _sets(keep_matching(docs.select(F.col(f"`{key}`").alias("doc"), text_of(text).alias("text")),
                                settle(wanted.select(F.col("text_id").alias("doc")).distinct()), ["doc"],
