@@ -5,6 +5,7 @@ from __future__ import annotations
 from tagweave.llm.bpe import op5_bpe_round_trip
 from tagweave.llm.decontaminate import op2_decontamination
 from tagweave.llm.jaccard import op3_ngram_jaccard
+from tagweave.llm.licenses import TEMPLATES, op9_license_scan
 from tagweave.llm.lines import op10_line_dedup
 from tagweave.llm.quality import op8_quality_rules
 from tagweave.llm.secrets import op4_secret_scan
@@ -13,7 +14,7 @@ from tagweave.llm.toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_ngram_jaccard, op4_secret_scan, op5_bpe_round_trip, op6_toxicity,
-    op8_quality_rules, op10_line_dedup)}
+    op8_quality_rules, op9_license_scan, op10_line_dedup)}
 
 _SECRET_ASSIGN = (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
                   r"[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -57,4 +58,28 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN per_base b USING (doc_id) LEFT JOIN per_all a USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op4_secret_scan": SECRET_SQL}
+
+_TEMPLATE_ROWS = ", ".join("('" + "', '".join(v.replace("'", "''") for v in row) + "')" for row in TEMPLATES)
+_WORDS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+LICENSE_SQL = f"""
+WITH t AS (SELECT license, family, {_WORDS.format("text")} AS w
+           FROM (VALUES {_TEMPLATE_ROWS}) v(license, family, text)),
+ts AS (SELECT DISTINCT license, family, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM t)),
+tn AS (SELECT license, family, count(*) AS n, greatest(ceil(log(greatest(count(*), 1)) / log(4) - 1e-9), 0) AS c
+       FROM ts GROUP BY ALL),
+steps AS (SELECT c, max(n) AS step FROM tn GROUP BY c),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+m AS (SELECT DISTINCT doc_id, license, family, n, i, step, ds.s
+      FROM ds JOIN ts ON ds.s = ts.s JOIN tn USING (license, family) JOIN steps USING (c)),
+win AS (SELECT doc_id, license, family, n, s, i // step AS win FROM m
+        UNION ALL SELECT doc_id, license, family, n, s, i // step - 1 FROM m),
+per AS (SELECT doc_id, license, family, n, win, count(DISTINCT s) AS k FROM win GROUP BY ALL),
+best AS (SELECT doc_id, license, family, n, max(k) AS k FROM per WHERE k >= 0.8 * n - 1e-9 GROUP BY ALL)
+SELECT doc_id, license, family, k AS n_shared, n AS n_shingles, CAST(k AS DOUBLE) / n AS containment,
+       row_number() OVER (PARTITION BY doc_id, family ORDER BY CAST(k AS DOUBLE) / n DESC, n DESC, license) = 1 AS best
+FROM best
+"""
+ORACLES: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op9_license_scan": LICENSE_SQL}
