@@ -11,9 +11,10 @@ from tagweave.llm.quality import op8_quality_rules
 from tagweave.llm.secrets import op4_secret_scan
 from tagweave.llm.token_counts import op1_token_counts
 from tagweave.llm.toxicity import op6_toxicity
+from tagweave.llm.warc import op7_warc_revisits
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_decontamination, op3_ngram_jaccard, op4_secret_scan, op5_bpe_round_trip, op6_toxicity,
+    op1_token_counts, op2_decontamination, op3_ngram_jaccard, op4_secret_scan, op5_bpe_round_trip, op6_toxicity, op7_warc_revisits,
     op8_quality_rules, op9_license_scan, op10_line_dedup)}
 
 _SECRET_ASSIGN = (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
@@ -82,4 +83,48 @@ SELECT doc_id, license, family, k AS n_shared, n AS n_shingles, CAST(k AS DOUBLE
        row_number() OVER (PARTITION BY doc_id, family ORDER BY CAST(k AS DOUBLE) / n DESC, n DESC, license) = 1 AS best
 FROM best
 """
-ORACLES: dict[str, str] = {"op4_secret_scan": SECRET_SQL, "op9_license_scan": LICENSE_SQL}
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id AS n, html, md5(html) AS tag, 'day ' || page_id AS day,
+         regexp_replace(url, '#.*$', '') AS bare FROM pages),
+q AS (
+  SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS front,
+         regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM p),
+u AS (
+  SELECT n, html, tag, day,
+         regexp_replace(regexp_replace(front, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+         || CASE WHEN regexp_replace(rest, '\?.*$', '') = '' THEN '/' ELSE regexp_replace(rest, '\?.*$', '') END AS path,
+         list_sort(list_filter(string_split(CASE WHEN contains(rest, '?') THEN regexp_replace(rest, '^[^?]*\?', '')
+           ELSE '' END, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS params
+  FROM q),
+c AS (SELECT n, html, tag, day, path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END
+      AS url FROM u),
+full_ AS (
+  SELECT 'page-' || n || '-1' AS id, url, n * 10 + 1 AS ts, '"' || tag || '"' AS etag, day AS lm,
+         strlen(html)::VARCHAR AS size, html AS body FROM c WHERE n % 4 <> 3
+  UNION ALL
+  SELECT 'page-' || n || '-5', url, n * 10 + 5, '"' || tag || '-2"', day || ' late', NULL, html || '<!-- 2 -->'
+  FROM c WHERE n % 3 = 0),
+rev AS (
+  SELECT 'page-' || n || '-3' AS record_id, url, n * 10 + 3 AS ts, '"' || tag || '"' AS match, 'W/"' || tag || '"' AS etag,
+         NULL AS lm, '7' AS age, 'text/plain' AS kind FROM c
+  UNION ALL
+  SELECT 'page-' || n || '-7', url, n * 10 + 7, CASE WHEN n % 5 <> 1 THEN '"' || tag || '-2"' END,
+         CASE WHEN n % 5 <> 1 THEN '"' || tag || '-2"' END, day || ' late', '9', NULL FROM c),
+j AS (
+  SELECT r.*, f.id AS refers_to, f.etag AS old_etag, f.lm AS old_lm, f.size AS old_size, f.body,
+         CASE WHEN f.id IS NULL THEN 'no_earlier'
+              WHEN CASE WHEN r.match IS NOT NULL THEN r.match = f.etag ELSE r.lm = f.lm END THEN 'resolved'
+              ELSE 'mismatch' END AS outcome
+  FROM rev r ASOF LEFT JOIN full_ f ON r.url = f.url AND r.ts > f.ts)
+SELECT record_id, url, ts, outcome, refers_to,
+       sha256(array_to_string(list_sort(list_filter(CASE WHEN outcome = 'resolved'
+         THEN ['etag:' || coalesce(etag, old_etag), 'last-modified:' || coalesce(lm, old_lm), 'content-type:text/html',
+               'content-length:' || old_size, 'x-age:' || age]
+         ELSE ['etag:' || etag, 'last-modified:' || lm, 'content-type:' || kind, 'x-age:' || age] END,
+         lambda x: x IS NOT NULL)), chr(10))) AS headers_sha256,
+       CASE WHEN outcome = 'resolved' THEN sha256(body) END AS body_sha256
+FROM j
+"""
+ORACLES: dict[str, str] = {"op7_warc_revisits": WARC_SQL, "op4_secret_scan": SECRET_SQL, "op9_license_scan": LICENSE_SQL}
