@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,5 +49,26 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str,
             yield batch.slice(start), texts[start:]
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def groups(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one key after the other, as arrays by column, from rows sorted by the key (whole numbers)."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        if held:
+            rows = {n: np.concatenate([held[n], rows[n]]) for n in rows}
+        changed = np.zeros(len(rows[key[0]]) - 1, bool)
+        for name in key:
+            changed |= rows[name][1:] != rows[name][:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        for a, b in itertools.pairwise(cuts):
+            yield {n: values[a:b] for n, values in rows.items()}
+        held = {n: values[cuts[-1]:] for n, values in rows.items()}
+    if held:
+        yield held
+
+
+def together(parts: list[list[np.ndarray]], names: Sequence[str]) -> pa.RecordBatch:
+    """Rows gathered part by part, as one record batch."""
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=list(names))

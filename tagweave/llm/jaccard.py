@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import chunks, table, text_of
+from tagweave.llm.common import chunks, groups, table, text_of, together
 from tagweave.llm.components import connected
-from tagweave.llm.lines import runs
 from tagweave.llm.shingles import set_digest, shingle_set, signatures
 from tagweave.operators.joins import drop_matching, keep_matching
 from tagweave.session import settle, ship_package
@@ -127,20 +126,27 @@ def _pairs(sig: np.ndarray, own: np.ndarray, cross: bool, band: int) -> Iterator
 def pruned(placed: DataFrame) -> DataFrame:
     """`bucket`, `band`, `i`, `j`, `cls`: the classes of each part that have a candidate left in it."""
     names = ["bucket", "i", "j"]
+    kept = ["bucket", "band", "i", "j", "own", "cls"]
     sorted_rows = placed.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, names):
-            if rows.num_rows < 2:
+        out, held = [], 0
+        for rows in groups(batches, names):
+            if len(rows["cls"]) < 2:
                 continue
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
-            active = np.zeros(rows.num_rows, bool)
-            for x, y in _pairs(sig, rows.column("own").to_numpy(), i != j, band):
+            sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
+            i, j, band = (int(rows[c][0]) for c in ("i", "j", "band"))
+            active = np.zeros(len(sig), bool)
+            for x, y in _pairs(sig, rows["own"], i != j, band):
                 active[x] = active[y] = True
             if active.any():
-                some = rows.filter(pa.array(active)).select(["bucket", "band", "i", "j", "own", "cls"])
-                yield from some.combine_chunks().to_batches()
+                out.append([rows[c][active] for c in kept])
+                held += len(out[-1][0])
+            if held > 20_000:
+                yield together(out, kept)
+                out, held = [], 0
+        if out:
+            yield together(out, kept)
 
     return sorted_rows.mapInArrow(run, "bucket long, band int, i int, j int, own int, cls long")
 
@@ -170,19 +176,20 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sorted_rows = placed.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, names):
-            cls = rows.column("cls").to_numpy()
-            once = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))  # repeated documents come more than once
-            rows, cls = rows.take(pa.array(once)), cls[once]
-            n = len(cls)
+        out, held = [], 0
+        for rows in groups(batches, names):
+            cls = rows["cls"]
+            once = np.append(True, cls[1:] != cls[:-1])  # repeated documents come more than once
+            rows = {c: values[once] for c, values in rows.items()}
+            cls, n = rows["cls"], int(once.sum())
             if n < 2:
                 continue
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            sets = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
-            sizes, weight = np.array([len(s) for s in sets]), rows.column("n").to_numpy()
-            i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
+            sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
+            sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+            sizes, weight = np.array([len(s) for s in sets]), rows["n"]
+            i, j, band = (int(rows[c][0]) for c in ("i", "j", "band"))
             links, root = np.zeros(n, np.int64), np.arange(n)
-            for x, y in _pairs(sig, rows.column("own").to_numpy(), i != j, band):
+            for x, y in _pairs(sig, rows["own"], i != j, band):
                 both = _shared(sets, x, y)
                 same = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
                 x, y = x[same], y[same]
@@ -194,8 +201,13 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         root[root == high] = low
             found = np.flatnonzero(links)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[found]), pa.array(links[found]),
-                                                  pa.array(cls[root[found]])], names=["cls", "links", "peer"])
+                out.append([cls[found], links[found], cls[root[found]]])
+                held += len(found)
+            if held > 20_000:
+                yield together(out, ["cls", "links", "peer"])
+                out, held = [], 0
+        if out:
+            yield together(out, ["cls", "links", "peer"])
 
     return sorted_rows.mapInArrow(run, "cls long, links long, peer long")
 

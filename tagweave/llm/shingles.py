@@ -14,7 +14,7 @@ SIZE = 5
 _KNOWN: dict[str, int] = {}
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words; the ones seen lately are kept."""
     new = {w for w in words if w not in _KNOWN}
     if new:
@@ -43,7 +43,7 @@ def words_of(text: str) -> list[str]:
 
 def shingle_hashes(words: list[str], size: int = SIZE) -> np.ndarray:
     """A hash for each place where `size` words follow one another; fewer words make one shingle."""
-    hashes = _word_hashes(words)
+    hashes = word_hashes(words)
     if not len(hashes):
         return hashes
     size = min(size, len(hashes))

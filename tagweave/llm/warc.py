@@ -86,16 +86,21 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             F.regexp_extract(s, r"^([^:]*):", 1).alias("name"),
             F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("value")))
 
+    named = cut.select("head", "top", fields("head").alias("warc"), fields("top").alias("headers"),
+                       F.coalesce("rest", F.lit("")).alias("rest"))
     # the last record of a file still has its closing breaks
-    body = F.regexp_replace(F.coalesce("rest", F.lit("")), r"\r\n\r\n\z", "")
-    named = cut.select("head", "top", fields("head").alias("warc"), fields("top").alias("headers"), body.alias("body"))
-    size = F.octet_length("top") + 4 + F.octet_length("body")
+    stated = header("warc", "content-length").cast("long")
+    before = F.octet_length("top") + 4
+    body = F.when(before + F.octet_length("rest") == stated, F.col("rest")).otherwise(
+        F.regexp_replace("rest", r"\r\n\r\n\z", ""))
+    named = named.select("*", body.alias("body"))
+    size = before + F.octet_length("body")
     return named.select(
         F.regexp_extract(header("warc", "warc-record-id"), r"^<urn:(.*)>$", 1).alias("record_id"),
         F.regexp_extract("head", r"^([a-z]+)", 1).alias("type"), header("warc", "warc-target-uri").alias("url"),
         F.unix_timestamp(header("warc", "warc-date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         F.regexp_extract("top", r"^HTTP/[0-9.]+ ([0-9]{3})", 1).cast("int").alias("status"), "headers", "body",
-        F.coalesce(header("warc", "content-length").cast("long") == size, F.lit(False)).alias("complete"))
+        F.coalesce(stated == size, F.lit(False)).alias("complete"))
 
 
 def validated(new: Column, old: Column) -> Column:

@@ -3,9 +3,11 @@ import math
 import random
 import re
 
+import numpy as np
+
 from tagweave.llm import jaccard, lines
 from tagweave.llm.components import connected
-from tagweave.llm.shingles import shingle_set
+from tagweave.llm.shingles import shingle_set, word_hashes
 
 from .conftest import EDGE, prose
 
@@ -103,6 +105,8 @@ def test_edit_distance():
     for _ in range(3000):
         a, b = ("".join(draw.choice("abc") for _ in range(draw.randint(0, 12))) for _ in range(2))
         assert lines.edit_distance(a, b) == plain_distance(a, b)
+        a, b = " ".join(a), " ".join(b)
+        assert lines.alike(a, b, 0.8) == (plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
 def brute_lines(rows):
@@ -113,7 +117,7 @@ def brute_lines(rows):
             if norm(line).count(" ") >= 4:
                 names.setdefault(norm(line), len(names))
     words = list(names)
-    sims = [int(s) & (1 << 64) - 1 for s in lines.simhash(words)]
+    sims = [int(s) & (1 << 64) - 1 for s in lines.simhash([w.split(' ') for w in words])]
     root = list(range(len(words)))
 
     def find(x):
@@ -179,5 +183,7 @@ def test_line_edges(table):
 
 
 def test_one_very_long_line():
-    text = " ".join(f"w{n}" for n in range(250_000))
-    assert lines.simhash([text, "a b"])[0] == lines.simhash(["x y", text])[1]
+    words = [f"w{n}" for n in range(250_000)]
+    assert lines.simhash([words, ["a", "b"]])[0] == lines.simhash([["x", "y"], words])[1]
+    plain = sum(np.unpackbits(word_hashes([w]).view(np.uint8)).astype(int) * 2 - 1 for w in words[:700])
+    assert lines.simhash([words[:700]])[0] == int.from_bytes(np.packbits(plain > 0).tobytes(), "big", signed=True)
