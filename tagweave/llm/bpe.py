@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.common import chunks, kept_fields, table, text_of
+from tagweave.llm.common import Recent, chunks, kept_fields, table, text_of
 from tagweave.llm.pretokens import Special, added_tokens, byte_letters, load, splitter
 from tagweave.session import ship_package
 
 #: Words whose encodings one Python worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 240_000
 #: Pairs of tokens whose verdict one Python worker keeps.
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 300_000
 #: Bytes of a tokenizer file that may be broadcast.
 MODEL_BYTES = 64 << 20
 
@@ -51,9 +51,8 @@ class Encoder:
             self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
         self._ends = self._find_ends()
         self.split = splitter(self.specials)
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._words: dict = {Special(s): (i,) for s, i in self.specials.items()}
-        self._pinned = dict(self._words)
+        self._apart: dict[int, bool] = {}
+        self._words = Recent(CACHED_WORDS)
 
     def merged(self, spelling: bytes) -> list[int]:
         """The encoding by the definition: the lowest merge first, the leftmost of equal ones."""
@@ -95,18 +94,15 @@ class Encoder:
 
         They do not if a merge over their border comes before both of its parts are taken up elsewhere.
         """
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) >= CACHED_PAIRS:
-                self._apart.clear()
-            if self._ends is None:
-                known = self.merged(self.spell[left] + self.spell[right]) == [left, right]
-            else:
-                firsts, finals = self._ends
-                known = not any((merge := self.merges.get((a, b))) and merge[0] < until and merge[0] <= limit
-                                for a, until in finals[left] for b, limit in firsts[right])
-            self._apart[left, right] = known
-        return known
+        if self._ends is None:
+            return self.merged(self.spell[left] + self.spell[right]) == [left, right]
+        firsts, finals = self._ends
+        for a, until in finals[left]:
+            for b, limit in firsts[right]:
+                merge = self.merges.get((a, b))
+                if merge is not None and merge[0] < until and merge[0] <= limit:
+                    return False
+        return True
 
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[int, ...]]:
         """Encodings of sorted words: a depth-first walk over their trie.
@@ -114,8 +110,11 @@ class Encoder:
         `last[d]` and `size[d]` are the last token and its length at depth d of the current path. Going from
         one word to the next keeps the states of their shared prefix.
         """
-        ids, longest, apart = self.ids, self.longest, self.apart
+        find, longest = self.ids.get, self.longest
         last, size, path = [-1], [0], b""
+        verdicts = self._apart
+        if len(verdicts) > CACHED_PAIRS:
+            verdicts.clear()
         for word in words:
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
@@ -123,11 +122,20 @@ class Encoder:
             del last[shared + 1:], size[shared + 1:]
             for depth in range(shared + 1, len(word) + 1):
                 for length in range(min(depth, longest), 0, -1):
-                    token = ids.get(word[depth - length:depth])
-                    if token is not None and (length == depth or apart(last[depth - length], token)):
-                        last.append(token)
-                        size.append(length)
-                        break
+                    token = find(word[depth - length:depth])
+                    if token is None:
+                        continue
+                    if length < depth:
+                        before = last[depth - length]
+                        pair = before << 24 | token
+                        stays = verdicts.get(pair)
+                        if stays is None:
+                            stays = verdicts[pair] = self.apart(before, token)
+                        if not stays:
+                            continue
+                    last.append(token)
+                    size.append(length)
+                    break
             path, at, out = word, len(word), []
             while at:
                 out.append(last[at])
@@ -136,12 +144,11 @@ class Encoder:
 
     def encodings(self, pieces: list) -> list[tuple[int, ...]]:
         """The encoding of each piece, in order."""
-        known = self._words
-        new = {p for p in set(pieces) if p not in known}
+        new = self._words.missing(set(pieces))
+        known = self._words.young
         if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known = self._words = self._pinned | {p: known[p] for p in set(pieces) if p in known}
-            spelled = sorted((p.encode(), p) for p in new)
+            known.update((p, (self.specials[p.content],)) for p in new if isinstance(p, Special))
+            spelled = sorted((p.encode(), p) for p in new if isinstance(p, str))
             known.update(zip((p for _, p in spelled), self.walk(s for s, _ in spelled)))
         return list(map(known.__getitem__, pieces))
 
@@ -164,21 +171,38 @@ class Encoder:
                 if block:
                     held.extend(block)
                     owners.append((i, len(block)))
-                if len(held) > 500_000:
+                if len(held) > 250_000:
                     flush()
         flush()
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), counts
 
-    def decode(self, ids: Sequence[int]) -> str:
+
+class Decoder:
+    """The spellings of the tokens of one file."""
+
+    def __init__(self, content: str):
+        model = load(content)
+        letters = byte_letters()
+        named = {i: bytes(map(letters.__getitem__, token)) for token, i in model["model"]["vocab"].items()}
+        named |= {i: content.encode() for content, i in added_tokens(model).items()}
+        self.spell = [named.get(i, b"") for i in range(max(named) + 1)]
+
+    def decode(self, ids: np.ndarray) -> str:
         """Bytes of the ids as text; ids that are not in the file are passed over, broken UTF-8 is replaced."""
-        return b"".join(self.spell.get(i, b"") for i in ids).decode("utf-8", "replace")
+        ids = ids[(ids >= 0) & (ids < len(self.spell))]
+        return b"".join(map(self.spell.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(content: str) -> Encoder:
     return Encoder(content)
 
 
+@functools.lru_cache(maxsize=1)
+def decoder(content: str) -> Decoder:
+    return Decoder(content)
+
+
 def tokenizer_file(spark: SparkSession, path: str):
     """The tokenizer file as a broadcast value; its size does not depend on the corpus and is checked."""
     content = Path(path).read_text(encoding="utf-8")
@@ -231,12 +255,12 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     carried = [n for n in schema.names if n != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(content.value)
+        model, none = decoder(content.value), np.zeros(0, np.int32)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                texts = [model.decode(row.as_py() or []) if row.values is None else
-                         model.decode(row.values.to_pylist()) for row in part.column("__ids")]
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                texts = [model.decode(none if row.values is None else
+                                      row.values.drop_null().to_numpy()) for row in part.column("__ids")]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in carried] + [pa.array(texts, pa.string())],
                                                  names=[*carried, text])
 

@@ -37,16 +37,43 @@ def kept_fields(df: DataFrame, keep: Sequence[str], *new: T.StructField) -> T.St
 def chunks(batches: Iterator[pa.RecordBatch], column: str,
            limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut record batches so that one piece holds about `limit` characters, one row at least."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        start = size = 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+    for whole in batches:
+        for first in range(0, whole.num_rows, 500):
+            batch = whole.slice(first, 500)
+            texts = batch.column(column).to_pylist()
+            start = size = 0
+            for i, text in enumerate(texts):
+                if size and size + len(text) > limit:
+                    yield batch.slice(start, i - start), texts[start:i]
+                    start, size = i, 0
+                size += len(text)
+            if start < len(texts):
+                yield batch.slice(start), texts[start:]
+
+
+class Recent:
+    """Values of keys used lately: at most `size`, in a young and an old half.
+
+    When the young half is full it becomes the old one; what is used again moves back to the young half.
+    """
+
+    def __init__(self, size: int):
+        self.half = max(size // 2, 1)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that are not known; the others are in the young half afterwards."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.append(key)
+        return out
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:

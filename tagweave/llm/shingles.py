@@ -8,21 +8,19 @@ import re
 import numpy as np
 import xxhash
 
+from tagweave.llm.common import Recent
+
 WORD = re.compile(r"[^\W_]+")
 SIZE = 5
 
-_KNOWN: dict[str, int] = {}
+_KNOWN = Recent(200_000)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words; the ones seen lately are kept."""
-    new = {w for w in words if w not in _KNOWN}
-    if new:
-        if len(_KNOWN) + len(new) > 500_000:
-            _KNOWN.clear()
-            new = set(words)
-        _KNOWN.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+    new = _KNOWN.missing(set(words))
+    _KNOWN.young.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    return np.fromiter(map(_KNOWN.young.__getitem__, words), np.uint64, len(words))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
 from tagweave.llm.bpe import tokenizer_file
-from tagweave.llm.common import chunks, kept_fields, table, text_of
+from tagweave.llm.common import Recent, chunks, kept_fields, table, text_of
 from tagweave.llm.pretokens import added_tokens, load, splitter
 from tagweave.session import ship_package
 
@@ -31,7 +31,7 @@ FREQUENT = 32_768
 #: Longest pre-token (characters) that enters the table.
 LONGEST = 64
 #: Entries of the cache of one worker, and of a running count before its rare half goes.
-CACHED = 400_000
+CACHED = 240_000
 CONTEXT = 1024
 
 
@@ -47,18 +47,16 @@ class Counted:
         self._library.no_padding()
         self._library.encode_special_tokens = True
         self._library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._cache: dict = {}
+        self._cache = Recent(CACHED)
 
     def lengths(self, pieces: list, frequent: dict[str, int]) -> np.ndarray:
-        missing = {p for p in set(pieces) if p not in frequent and p not in self._cache}
+        missing = self._cache.missing({p for p in set(pieces) if p not in frequent})
+        first, second = frequent.get, self._cache.young
         if missing:
-            if len(self._cache) + len(missing) > CACHED:
-                self._cache = {p: self._cache[p] for p in set(pieces) if p in self._cache}
             texts = [p for p in missing if isinstance(p, str)]
             coded = self._library.encode_batch(texts, add_special_tokens=False)
-            self._cache.update((p, len(c.ids)) for p, c in zip(texts, coded))
-            self._cache.update((p, 1) for p in missing if not isinstance(p, str))  # added tokens
-        first, second = frequent.get, self._cache
+            second.update((p, len(c.ids)) for p, c in zip(texts, coded))
+            second.update((p, 1) for p in missing if not isinstance(p, str))  # added tokens
         return np.fromiter((first(p) or second[p] for p in pieces), np.int64, len(pieces))
 
     def counts(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
@@ -76,7 +74,7 @@ class Counted:
                 if block:
                     held.extend(block)
                     owners.append((i, len(block)))
-                if len(held) > 500_000:
+                if len(held) > 250_000:
                     flush()
         flush()
         return totals.tolist()

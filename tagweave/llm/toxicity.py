@@ -80,7 +80,7 @@ class Lexicon:
                 if known is None and len(word) > n:
                     known = self.weights.get(word[:n] + "*")
             known = known or 0.0
-            if len(self._seen) > 300_000:
+            if len(self._seen) > 150_000:
                 self._seen.clear()
             self._seen[word] = known
         return known
@@ -118,7 +118,7 @@ _SECOND = frozenset(SECOND_PERSON)
 _UNMASK = str.maketrans(LOOKALIKES)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _lexicon(entries: tuple[tuple[str, float], ...]) -> Lexicon:
     return Lexicon(dict(entries))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 from tagweave.llm import bpe, token_counts
 from tagweave.llm.bpe import Encoder
+from tagweave.llm.common import Recent
 from tagweave.llm.pretokens import splitter
 
 from .conftest import EDGE
@@ -60,11 +62,12 @@ def test_long_text_in_blocks(monkeypatch):
     assert [p for block in splitter({})(text) for p in block] == whole and "".join(whole) == text
 
 
-def test_decode_any_ids(library, encoder):
+def test_decode_any_ids(library):
+    decoder = bpe.Decoder(open(PATH, encoding="utf-8").read())
     draw = random.Random(6)
     for _ in range(500):
         ids = [draw.randrange(50257) for _ in range(9)]
-        assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert decoder.decode(np.array(ids)) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_round_trip_edges(table, library):
@@ -96,6 +99,15 @@ def test_counts(table, library):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_recent_values_stay():
+    known = Recent(4)
+    for n in range(50):
+        new = known.missing({0, n})
+        known.young.update((k, k) for k in new)
+        assert (0 in new) == (n == 0) and len(known.young) + len(known.old) <= 8
+    assert known.missing({49, 0, 1}) == [1]
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         Encoder(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
