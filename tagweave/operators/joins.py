@@ -61,13 +61,19 @@ def drop_matching(big: DataFrame, keys: DataFrame, on: Sequence[str], **options)
     return attach(big, keys.select(*on), on, "left_anti", **options)
 
 
+def settled_distinct(df: DataFrame) -> DataFrame:
+    """Distinct rows as a table: the planner would else move the aggregate above the join of raw rows."""
+    return settle(df.distinct())
+
+
 def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of `a` that are not in `b`; both sides are reduced before they meet."""
-    return a.subtract(b)
+    return settled_distinct(a).subtract(settled_distinct(b))
 
 
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    """Distinct rows of both; reduced before they meet."""
+    return settled_distinct(a).intersect(settled_distinct(b))
 
 
 def label_universe(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -98,9 +104,9 @@ def oov_occurrences(test_words: DataFrame, train_vocab: DataFrame, example: str
     """
     new = only_in(test_words.select(word), train_vocab.select(word))
     rest = [c for c in test_words.columns if c not in (example, word, position)]
-    firsts = test_words.groupBy(example, word).agg(F.min(F.struct(position, *rest)).alias("__first"))
-    kept = keep_matching(firsts, new, [word], salt_by=[example, word], settled=True)
-    return kept.select(example, F.col(f"__first.{position}").alias(position), word,
+    kept = keep_matching(test_words, new, [word], salt_by=[example, position], settled=True)
+    firsts = kept.groupBy(example, word).agg(F.min(F.struct(position, *rest)).alias("__first"))
+    return firsts.select(example, F.col(f"__first.{position}").alias(position), word,
                        *[F.col(f"__first.{c}").alias(c) for c in rest])
 
 

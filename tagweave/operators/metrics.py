@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.runs import MASK
@@ -20,11 +20,12 @@ def confusion_counts(df: DataFrame, y_true: str = "label", y_pred: str = "pred")
 
 
 def _label_totals(confusion: DataFrame) -> DataFrame:
-    as_true = confusion.select("label", F.col("count").alias("support"), F.lit(0).alias("predicted"),
-                               F.when(F.col("label") == F.col("pred"), F.col("count")).otherwise(0).alias("tp"))
-    as_pred = confusion.select(F.col("pred").alias("label"), F.lit(0).alias("support"),
-                               F.col("count").alias("predicted"), F.lit(0).alias("tp"))
-    return as_true.union(as_pred).groupBy("label").agg(
+    n, none = F.col("count"), F.lit(0).cast("long")
+    hits = F.when(F.col("label").eqNullSafe(F.col("pred")), n).otherwise(none)
+    roles = F.array(F.struct(F.col("label"), n.alias("support"), none.alias("predicted"), hits.alias("tp")),
+                    F.struct(F.col("pred").alias("label"), none.alias("support"), n.alias("predicted"), none.alias("tp")))
+    # both roles of a row in one pass
+    return confusion.select(F.inline(roles)).groupBy("label").agg(
         F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("support").alias("support"))
 
 
@@ -82,12 +83,11 @@ def metrics_report(per_label: DataFrame, names: DataFrame | Mapping[int, str], m
         F.col("label").alias("label_id"), F.coalesce("tag", F.lit(NO_NAME)).alias("tag"),
         "precision", "recall", "f1", "support")
     is_mask = F.col("tag") == mask
-    totals = rows.agg(F.sum("support").alias("__all"),
-                      F.coalesce(F.sum(F.when(~is_mask, F.col("support"))), F.lit(0)).alias("__rest"))
-    keyed = rows.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one")
-    base = F.when(is_mask, F.col("__all")).otherwise(F.col("__rest"))
+    every = Window.partitionBy()  # one row per label
+    rest = F.coalesce(F.sum(F.when(~is_mask, F.col("support"))).over(every), F.lit(0))
+    base = F.when(is_mask, F.sum("support").over(every)).otherwise(rest)
     share = F.when(base > 0, F.col("support") / base)
-    return keyed.select("label_id", "tag", "precision", "recall", "f1", "support",
+    return rows.select("label_id", "tag", "precision", "recall", "f1", "support",
                         share.alias("support_share"), is_mask.alias("is_mask"))
 
 
@@ -102,7 +102,7 @@ def report_totals(report: DataFrame) -> DataFrame:
     return rest.agg(*[F.sum(F.col(m) * F.col("support_share")).alias(m) for m in ("precision", "recall", "f1")])
 
 
-def word_accuracy(df: DataFrame, mask, part: str = "example_id", order: str = "pos", label: str = "label",
+def word_accuracy(df: DataFrame, mask, part: str = "example_id", order: str | Sequence[str] = "pos", label: str = "label",
                   pred: str = "pred", faithful: bool = False, block: int = BLOCK) -> DataFrame:
     """Share of words all of whose positions agree; a word starts at a non-mask label.
 
@@ -122,7 +122,7 @@ def word_accuracy(df: DataFrame, mask, part: str = "example_id", order: str = "p
         "accuracy", F.when(F.col("words") > 0, F.col("correct") / F.col("words")))
 
 
-def ffill_labels(df: DataFrame, mask, part: str = "example_id", order: str = "pos", label: str = "label",
+def ffill_labels(df: DataFrame, mask, part: str = "example_id", order: str | Sequence[str] = "pos", label: str = "label",
                  pad: int = IGNORED, block: int = BLOCK) -> DataFrame:
     """Carry the last label that is not `mask` forward inside its sequence; gaps at the start get `pad`."""
     real = F.when(F.col(label) != F.lit(mask), F.col(label))

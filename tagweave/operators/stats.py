@@ -96,13 +96,6 @@ def char_coverage(counts: DataFrame, share: float = 0.99995) -> DataFrame:
 
 def support_share(metrics: DataFrame, support: str = "support", part: Sequence[str] = (),
                   out: str = "support_share") -> DataFrame:
-    """Support over the total of its part; an aggregate joined back, one row per part."""
-    part = list(part)
-    if part:
-        totals = metrics.groupBy(*part).agg(F.sum(support).alias("__total"))
-        joined = metrics.join(totals, part)
-    else:
-        joined = metrics.withColumn("__one", F.lit(1)).join(
-            metrics.agg(F.sum(support).alias("__total")).withColumn("__one", F.lit(1)), "__one").drop("__one")
-    share = F.when(F.col("__total") > 0, F.col(support) / F.col("__total"))
-    return joined.withColumn(out, share).drop("__total")
+    """Support over the total of its part. `metrics` is a report with one row per label and part."""
+    total = F.sum(support).over(Window.partitionBy(*part))
+    return metrics.withColumn(out, F.when(total > 0, F.col(support) / total))

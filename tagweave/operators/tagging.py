@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.labels import strip_ends
 from tagweave.functions.text import MARKS, literal
 from tagweave.operators.runs import MASK
-from tagweave.operators.tokens import Encoding, SubwordModel, decoded_words, encode
+from tagweave.operators.tokens import UNDERLINE, Encoding, SubwordModel, encode
 
 # A model takes id arrays and gives, for each, label ids (1-d) or scores (2-d: token, label).
 Model = Callable[[list[np.ndarray]], Sequence[np.ndarray]]
@@ -93,18 +93,93 @@ def grouped_words(tokens: Column, labels: Column, mask: str = MASK, keep_head: b
     return F.concat(head, words)
 
 
+def window_ends(pieces: Sequence[str], limit: int, marks: Sequence[str] = MARKS) -> list[int]:
+    """Where windows of at most `limit` tokens end: after a mark or before a word if there is one, else anywhere."""
+    ends, start = [], 0
+    while len(pieces) - start > limit:
+        inside = range(start + limit, start, -1)
+        after_mark = next((e for e in inside if pieces[e - 1].endswith(tuple(marks))), None) if marks else None
+        before_word = next((e for e in inside if pieces[e].startswith(UNDERLINE)), None)
+        start = after_mark or before_word or start + limit
+        ends.append(start)
+    return [*ends, len(pieces)] if len(pieces) > start or not ends else ends
+
+
+def predict_windows(df: DataFrame, load: Callable[[], Model], name: str, bos: int, eos: int, max_length: int,
+                    marks: Sequence[str] = MARKS, errors: str = "raise", out: str = "predictions",
+                    batch_size: int = 64) -> DataFrame:
+    """Label ids for all `tokens` of every row, long rows window by window.
+
+    A window takes at most `max_length` tokens with the begin and end id that are put around it. With
+    errors="default" the tokens of a window on which the model fails get the id -1.
+    """
+    if errors not in ("raise", "default") or max_length < 3:
+        raise ValueError("errors is 'raise' or 'default', and max_length at least 3")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` array<int>"])
+
+    def ids_of(answer) -> np.ndarray:
+        answer = np.asarray(answer)
+        return (answer.argmax(axis=1) if answer.ndim == 2 else answer).astype(np.int32)
+
+    def run(batches):
+        for batch in batches:
+            if name not in _loaded:
+                _loaded[name] = load()
+            model = _loaded[name]
+            windows, rows = [], []
+            for row, (tokens, pieces) in enumerate(zip(batch["tokens"], batch["pieces"])):
+                start = 0
+                for end in window_ends(pieces, max_length - 2, marks):
+                    windows.append(np.array([bos, *tokens[start:end], eos], np.int64))
+                    rows.append(row)
+                    start = end
+            answers: list = [None] * len(windows)
+            by_length = np.argsort([len(w) for w in windows], kind="stable")
+            for at in range(0, len(by_length), batch_size):
+                chosen = by_length[at:at + batch_size]
+                try:
+                    found = [ids_of(a) for a in model([windows[i] for i in chosen])]
+                except Exception:
+                    if errors == "raise":
+                        raise
+                    found = []
+                    for i in chosen:  # one by one, so that a bad window spoils no other
+                        try:
+                            found.append(ids_of(model([windows[i]])[0]))
+                        except Exception:
+                            found.append(np.full(len(windows[i]), -1, np.int32))
+                for i, answer in zip(chosen, found):
+                    answers[i] = answer[1:-1]
+            labels = [[] for _ in range(len(batch))]
+            for row, answer in zip(rows, answers):
+                labels[row].extend(answer.tolist())
+            batch[out] = labels
+            yield batch
+
+    return df.mapInPandas(run, schema)
+
+
 def tag_text(df: DataFrame, model: SubwordModel, load: Callable[[], Model], name: str, id_to_label: Mapping[int, str],
-             text: str = "text", options: Encoding = Encoding(marks=MARKS, wrap=True, max_length=512),
-             mask: str = MASK, keep_head: bool = False) -> DataFrame:
-    """Words and tags of each text: adds `words`, `tags` and `cut` (tokens lost to truncation)."""
-    coded = encode(df, model, text, options).drop("pieces")
-    done = predict(coded, load, name)
-    names = F.create_map(*[F.lit(x) for pair in id_to_label.items() for x in pair])
+             text: str = "text", options: Encoding = Encoding(marks=MARKS), mask: str = MASK, keep_head: bool = False,
+             max_length: int = 512, errors: str = "raise", default: str = "") -> DataFrame:
+    """Words and tags of each whole text: adds `words` and `tags`.
+
+    Texts of more than `max_length` tokens are tagged in windows, every token once. With errors="default" a window on
+    which the model fails gets the label `default`; by default the failure is raised. `options` may not truncate or
+    wrap, as the windows are wrapped here.
+    """
+    if options.max_length is not None or options.wrap:
+        raise ValueError("tag_text cuts and wraps windows by itself: see max_length")
+    coded = encode(df, model, text, options).drop("cut")
+    specials = model.processor()
+    done = predict_windows(coded, load, name, specials.PieceToId("[CLS]"), specials.PieceToId("[SEP]"), max_length,
+                           options.marks, errors)
+    names = F.create_map(*[F.lit(x) for pair in {**id_to_label, -1: default}.items() for x in pair])
     labels = F.transform("predictions", lambda p: F.element_at(names, p))
     grouped = done.withColumn("__labels", labels).withColumn(
-        "__words", grouped_words(F.col("tokens"), F.col("__labels"), mask, keep_head))
-    return grouped.select(*df.columns, decoded_words(F.col("__words.tokens"), model).alias("words"),
-                          F.col("__words.tag").alias("tags"), "cut")
+        "__words", grouped_words(F.col("pieces"), F.col("__labels"), mask, keep_head))
+    words = F.transform("__words.tokens", lambda w: F.trim(F.replace(F.array_join(w, ""), F.lit(UNDERLINE), F.lit(" "))))
+    return grouped.select(*df.columns, words.alias("words"), F.col("__words.tag").alias("tags"))
 
 
 def segments_by_mark(text: Column, max_chars: int, marks: Sequence[str] = MARKS) -> Column:
@@ -120,7 +195,7 @@ def segments_by_mark(text: Column, max_chars: int, marks: Sequence[str] = MARKS)
 def tag_documents(df: DataFrame, segmenter: Callable[[Column], Column], preprocessors: Sequence[Callable[[Column], Column]],
                   model: SubwordModel, load: Callable[[], Model], name: str, id_to_label: Mapping[int, str],
                   doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Clean long texts, cut them into segments and tag each: (doc, seg, words, tags, cut)."""
+    """Clean long texts, cut them into segments and tag each whole: (doc, seg, words, tags)."""
     cleaned = F.col(text)
     for step in preprocessors:
         cleaned = step(cleaned)

@@ -1,34 +1,28 @@
 """Encoding text with a subword model as an Arrow-batched job.
 
-The model travels with the job and is opened once per Python worker. What surrounds the model
-call (cutting after marks, control tokens, underlines between space-separated parts) is done around
-each text.
+The model travels with the job and is opened once per Python worker. Texts are cut into parts (control tokens, after
+marks, between digit and comma, at spaces) as a column; the parts of a batch are encoded in one call. No stand-in
+characters are put into a text, so no text can be mistaken for one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import math
-import random
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tagweave.functions.text import MARKS, TSHEG, TSHEG_BSTAR, clean_text, protect_specials
-from tagweave.operators.sampling import order_hash
+from tagweave.functions.text import MARKS, TSHEG, TSHEG_BSTAR, clean_text, literal
 from tagweave.operators.tags import BAD, OK
 
 UNDERLINE = "▁"
 # Control tokens in the order of their ids after <pad> (0) and <unk> (1).
 CONTROL = ("[CLS]", "[SEP]", "[MASK]")
-_BARRIER = chr(0xF1000)
-_STAND_INS = re.compile("([\U000F0000-\U000F00FF])")
 
 _open: dict[str, object] = {}
 
@@ -43,9 +37,6 @@ class Encoding:
     lower: bool = False
     squeeze: bool = True
     keep_accents: bool = True
-    nbest: int = 0
-    alpha: float = 0.1
-    seed: int = 0
     wrap: bool = False
     max_length: int | None = None
 
@@ -71,139 +62,85 @@ class SubwordModel:
             _open[self.name] = spm.SentencePieceProcessor(model_proto=self.shared.value)
         return _open[self.name]
 
+    def inside(self):
+        """The same model for a part inside a text: no underline put before it, no space taken away."""
+        name = self.name + "-inside"
+        if name not in _open:
+            import sentencepiece as spm
+            from sentencepiece import sentencepiece_model_pb2 as pb
+            content = pb.ModelProto.FromString(self.shared.value)
+            content.normalizer_spec.add_dummy_prefix = content.normalizer_spec.remove_extra_whitespaces = False
+            _open[name] = spm.SentencePieceProcessor(model_proto=content.SerializeToString())
+        return _open[name]
+
+
+def cuts(text: Column, specials: Sequence[str] = CONTROL, marks: Sequence[str] = (), by_space: bool = False) -> Column:
+    """The parts of a text that are encoded on their own, in order: array<string>.
+
+    Control tokens stand alone, a mark ends a part, a comma after a digit stands alone, and with `by_space` so does
+    every space. Glued together the parts are the text.
+    """
+    if any(m in s for s in specials for m in [*marks, " "]):
+        raise ValueError("a control token may not hold a mark or a space")
+    places = [side.format(literal(s)) for s in specials for side in ("(?<={})", "(?={})")]
+    places += [f"(?<={literal(m)})" for m in marks]
+    places += [r"(?<=\p{Nd})(?=,)", r"(?<=\p{Nd},)", *(["(?<= )", "(?= )"] if by_space else [])]
+    return F.array_remove(F.split(text, "|".join(places)), "")
 
-def _split_digit_comma(pieces: list[str], encode: Callable[[str], list[str]]) -> list[str]:
-    """A piece that ends in digit and comma is encoded again without the comma, which stands alone."""
-    out: list[str] = []
-    for piece in pieces:
-        if not (len(piece) > 1 and piece.endswith(",") and piece[-2].isdigit()):
-            out.append(piece)
-            continue
-        inner = encode(piece[:-1].replace(UNDERLINE, ""))
-        if not piece.startswith(UNDERLINE) and inner and inner[0].startswith(UNDERLINE):
-            inner = [p for p in [inner[0][1:], *inner[1:]] if p]
-        out += [*inner, ","]
-    return out
-
-
-def _cut(pieces: list[str]) -> list[str]:
-    """Take barriers out and give every stand-in a piece of its own (unknown runs may hold them)."""
-    parts = (p for piece in pieces for half in piece.split(_BARRIER) for p in _STAND_INS.split(half))
-    return [p for p in parts if p]
-
-
-def text_pieces(text: str, encode: Callable[[str], list[str]], marks: Sequence[str] = (),
-                by_space: bool = False) -> list[str]:
-    """Pieces of one text; `encode` is the bare model."""
-    if by_space and " " in text:
-        out: list[str] = []
-        for part in text.split(" "):
-            pieces = text_pieces(part, encode, marks, by_space)
-            if pieces:
-                out += ([UNDERLINE] if out else []) + pieces
-        return out
-    for mark in marks:
-        text = text.replace(mark, mark + _BARRIER)
-    pieces = _cut(_split_digit_comma(encode(text), encode))
-    if by_space:
-        pieces = [p[1:] if p.startswith(UNDERLINE) else p for p in pieces if p != UNDERLINE]
-    return [p for p in pieces if p]
-
-
-def _sampler(model, options: Encoding, start: int) -> Callable[[str], list[str]]:
-    """Sampled segmentation that depends on the seed `start` only."""
-    rng = random.Random(start)
-
-    def by_nbest(text: str) -> list[str]:
-        found = model.NBestEncodeAsPieces(text, options.nbest)
-        if not found:
-            return []
-        scores = [sum(model.GetScore(model.PieceToId(p)) for p in pieces) for pieces in found]
-        weights = [math.exp(options.alpha * (score - max(scores))) for score in scores]
-        return list(rng.choices(found, weights)[0])
-
-    return by_nbest if _has_nbest(model) else lambda text: _merge_with_dropout(model, text, options.alpha, rng)
-
-
-def _merge_with_dropout(model, text: str, alpha: float, rng: random.Random) -> list[str]:
-    """Best merges first, each chance left out with probability `alpha`."""
-    parts = list(UNDERLINE + text.replace(" ", UNDERLINE))
-    after = list(range(1, len(parts) + 1))
-    before = list(range(-1, len(parts) - 1))
-    chances: list[tuple[float, int, int, str]] = []
-
-    def offer(left: int, right: int) -> None:
-        if left >= 0 and right < len(parts):
-            piece = parts[left] + parts[right]
-            found = model.PieceToId(piece)
-            if found != model.unk_id():
-                heapq.heappush(chances, (-model.GetScore(found), left, right, piece))
-
-    for at in range(len(parts) - 1):
-        offer(at, at + 1)
-    while chances:
-        _, left, right, piece = heapq.heappop(chances)
-        stale = not parts[left] or after[left] != right or parts[left] + parts[right] != piece
-        if stale or rng.random() < alpha:
-            continue
-        parts[left], parts[right] = piece, ""
-        after[left] = after[right]
-        if after[right] < len(parts):
-            before[after[right]] = left
-        offer(before[left], left)
-        offer(left, after[left])
-    return [p for p in parts if p]
-
-
-def _has_nbest(model) -> bool:
-    try:
-        return bool(model.NBestEncodeAsPieces(UNDERLINE, 2))
-    except Exception:
-        return False
-
-
-def _piece_ids(model, pieces: list[str], specials: Sequence[str]) -> tuple[list[str], list[int]]:
-    named = [specials[ord(p) - 0xF0000] if 0xF0000 <= ord(p[0]) <= 0xF00FF else p for p in pieces]
-    return named, model.PieceToId(named) if named else []
-
-
-def encoded(text: Column, model: SubwordModel, options: Encoding = Encoding(), key: Column | None = None) -> Column:
+
+def encoded(text: Column, model: SubwordModel, options: Encoding = Encoding()) -> Column:
     """Column struct<tokens array<int>, pieces array<string>, cut int>; see `encode`."""
+    specials, by_space = frozenset(options.specials), options.by_space
+
     @pandas_udf("tokens array<int>, pieces array<string>, cut int")
-    def run(texts: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        processor = model.processor()
+    def run(rows: pd.Series) -> pd.DataFrame:
+        processor, bare = model.processor(), model.inside()
+        rows = [[] if row is None else list(row) for row in rows]
+        # the parts of all texts in one call; only the first part of a text opens with an underline
+        wanted = [" " * (n == 0 and not by_space) + part for row in rows for n, part in enumerate(row)
+                  if part not in specials and not (by_space and part == " ")]
+        found = iter(bare.encode(wanted, out_type=str, num_threads=1) if wanted else [])
+        named = []
+        for row in rows:
+            pieces, gap = [], False
+            for part in row:
+                if by_space and part == " ":
+                    gap = True
+                    continue
+                more = [part] if part in specials else next(found)
+                if gap and pieces and more:
+                    pieces.append(UNDERLINE)
+                gap = False
+                pieces += more
+            named.append(pieces)
+        every = iter(processor.PieceToId([p for pieces in named for p in pieces]) if any(named) else [])
         begin, end = processor.PieceToId("[CLS]"), processor.PieceToId("[SEP]")
-        sampled = options.nbest > 1
-        rows = []
-        for value, start in zip(texts, seeds):
-            bare = (_sampler(processor, options, int(start)) if sampled
-                    else processor.EncodeAsPieces)
-            pieces = text_pieces(value or "", bare, options.marks, options.by_space)
-            pieces, ids = _piece_ids(processor, pieces, options.specials)
+        out = []
+        for pieces in named:
+            ids = [next(every) for _ in pieces]
             room = None if options.max_length is None else options.max_length - (2 if options.wrap else 0)
             lost = 0 if room is None else max(0, len(ids) - room)
             if lost:
                 pieces, ids = pieces[:room], ids[:room]
             if options.wrap:
                 pieces, ids = ["[CLS]", *pieces, "[SEP]"], [begin, *ids, end]
-            rows.append((ids, pieces, lost))
-        return pd.DataFrame(rows, columns=["tokens", "pieces", "cut"])
+            out.append((ids, pieces, lost))
+        return pd.DataFrame(out, columns=["tokens", "pieces", "cut"])
 
-    cleaned = clean_text(protect_specials(text, options.specials), options.lower, options.squeeze,
-                         options.keep_accents)
-    return run(cleaned, F.lit(0).cast("long") if key is None else key)
+    parts = cuts(clean_text(text, False, options.squeeze, options.keep_accents), options.specials, options.marks, by_space)
+    if options.lower:
+        parts = F.transform(parts, lambda p: F.when(p.isin(*options.specials), p).otherwise(F.lower(p)))
+    return run(parts)
 
 
-def encode(df: DataFrame, model: SubwordModel, text: str = "text", options: Encoding = Encoding(),
-           key: Sequence[str] = ("doc_id",)) -> DataFrame:
+def encode(df: DataFrame, model: SubwordModel, text: str = "text",
+           options: Encoding = Encoding()) -> DataFrame:
     """Add `tokens` (ids), `pieces` and `cut`, the number of tokens that truncation left out.
 
     `options`: `marks` keeps pieces from spanning a mark; `by_space` puts the underline only between
-    space-separated parts; `specials` are never cut; `nbest > 1` samples segmentations, seeded by the
-    row's `key`; `wrap` adds the begin and end ids; `max_length` truncates.
+    space-separated parts; `specials` are never cut; `wrap` adds the begin and end ids; `max_length` truncates.
     """
-    seed = order_hash(list(key), options.seed) if options.nbest > 1 else None
-    done = df.withColumn("__e", encoded(F.col(text), model, options, seed))
+    done = df.withColumn("__e", encoded(F.col(text), model, options))
     return done.select(*df.columns, "__e.tokens", "__e.pieces", "__e.cut")
 
 
@@ -238,42 +175,44 @@ def align_tokens(sections: DataFrame, model: SubwordModel, options: Encoding = E
                  old: str = TSHEG_BSTAR, new: str = TSHEG) -> DataFrame:
     """Encode the joined words of a section and hand the tokens out to the words.
 
-    A word takes tokens until their decoded text equals it; tokens after the last word are ignored.
-    `tokens` is an array of id arrays, one per word, null with status bad where a word is never met.
+    A word takes the pieces up to its end; pieces after the last word are ignored. `tokens` is an array of id arrays,
+    one per word, null with status bad where a word is empty or ends inside a piece.
     """
     @pandas_udf("tokens array<array<int>>, status string")
-    def match(ids: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        processor = model.processor()
+    def match(ids: pd.Series, pieces: pd.Series, targets: pd.Series) -> pd.DataFrame:
         rows = []
-        for row, wanted in zip(ids, targets):
-            found: list[list[int]] = []
-            run: list[int] = []
-            for token in map(int, row):
-                if len(found) == len(wanted):
-                    break
-                run.append(token)
-                if processor.DecodeIds(run) == wanted[len(found)]:
-                    found.append(run)
-                    run = []
-            rows.append((found, OK) if len(found) == len(wanted) else (None, BAD))
+        for row, parts, wanted in zip(ids, pieces, targets):
+            sizes = np.array([len(w) for w in wanted], np.int64)
+            lengths = np.array([len(p) for p in parts], np.int64)
+            if len(lengths):
+                lengths[0] -= parts[0].startswith(UNDERLINE)
+            ends = np.cumsum(lengths)
+            at = np.searchsorted(ends, np.cumsum(sizes))
+            met = (sizes > 0).all() and (at < len(ends)).all() and (ends[at] == np.cumsum(sizes)).all()
+            glued = "".join(parts).removeprefix(UNDERLINE).replace(UNDERLINE, " ")
+            if met and glued.startswith("".join(wanted)):
+                begins = [0, *(at[:-1] + 1)]
+                rows.append(([list(row[a:b + 1]) for a, b in zip(begins, at)], OK))
+            else:
+                rows.append((None, BAD))
         return pd.DataFrame(rows, columns=["tokens", "status"])
 
     unified = F.transform(words, lambda w: F.replace(w, F.lit(old), F.lit(new)))
-    joined = sections.withColumn("__words", unified)
-    coded = joined.withColumn("__ids", encoded(F.array_join("__words", ""), model, options).getField("tokens"))
-    done = coded.withColumn("__m", match("__ids", "__words"))
+    coded = sections.withColumn("__words", unified).withColumn(
+        "__e", encoded(F.array_join("__words", ""), model, options))
+    done = coded.withColumn("__m", match("__e.tokens", "__e.pieces", "__words"))
     return done.select(*sections.columns, "__m.tokens", "__m.status")
 
 
-def segment_words(lines: DataFrame, segment: Callable[[str], str], line: str = "line") -> DataFrame:
-    """Run the caller's word segmenter on every line; one row per word of its space-joined answer."""
+def segment_words(lines: DataFrame, segment: Callable[[list[str]], list[str]], line: str = "line") -> DataFrame:
+    """Run the caller's word segmenter on batches of lines; one row per word of its space-joined answers."""
     rest = [f for f in lines.schema.fields if f.name != line]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "__words array<string>"])
 
     def run(batches):
         for batch in batches:
             out = batch.drop(columns=[line])
-            out["__words"] = [segment(text).split(" ") for text in batch[line]]
+            out["__words"] = [answer.split(" ") for answer in segment(list(batch[line]))]
             yield out
 
     return lines.mapInPandas(run, schema).select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import literal, syllables
@@ -192,7 +192,7 @@ def _fixed(control: Sequence[str], user_symbols: Sequence[str]) -> list[Piece]:
             *(Piece(u, 0.0, "user") for u in user_symbols)]
 
 
-def model_bytes(pieces: Sequence[Piece], kind: str = "bpe") -> bytes:
+def model_bytes(pieces: Sequence[Piece]) -> bytes:
     """The vocabulary as a standard SentencePiece model: pad 0, unk 1, no begin or end."""
     from sentencepiece import sentencepiece_model_pb2 as pb
     model = pb.ModelProto()
@@ -200,7 +200,7 @@ def model_bytes(pieces: Sequence[Piece], kind: str = "bpe") -> bytes:
     for piece in pieces:
         model.pieces.add(piece=piece.text, score=piece.score, type=types[piece.kind])
     spec = model.trainer_spec
-    spec.model_type = {"unigram": 1, "bpe": 2}[kind]
+    spec.model_type = 2  # pair merges
     spec.vocab_size = len(pieces)
     spec.pad_id, spec.unk_id, spec.bos_id, spec.eos_id = 0, 1, -1, -1
     norm = model.normalizer_spec
@@ -209,22 +209,21 @@ def model_bytes(pieces: Sequence[Piece], kind: str = "bpe") -> bytes:
     return model.SerializeToString()
 
 
-def save_model(pieces: Sequence[Piece], path: str, kind: str = "bpe") -> str:
-    with open(path, "wb") as out:
-        out.write(model_bytes(pieces, kind))
+def save_model(spark: SparkSession, pieces: Sequence[Piece], path: str) -> str:
+    """Write the model through the file system that `path` names."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(model_bytes(pieces))
+    finally:
+        out.close()
     return path
 
 
-def train_vocab(df: DataFrame, size: int = 10_000, kind: str = "bpe", coverage: float = 1.0,
+def train_vocab(df: DataFrame, size: int = 10_000, coverage: float = 1.0,
                 text: str = "text", marks: Sequence[str] = (), control: Sequence[str] = CONTROL,
                 user_symbols: Sequence[str] = USER_SYMBOLS, **options) -> list[Piece]:
-    """Learn a vocabulary from all texts; `kind` is bpe or unigram."""
+    """Learn a vocabulary of pair merges from all texts."""
     chunks = settle(chunk_counts(df, text, marks, user_symbols))
-    if kind == "bpe":
-        pieces = bpe_pieces(chunks, size, coverage, control, user_symbols, **options)
-    elif kind == "unigram":
-        from tagweave.operators.unigram import unigram_pieces
-        pieces = unigram_pieces(chunks, size, coverage, control, user_symbols, **options)
-    else:
-        raise ValueError(f"unknown kind {kind!r}")
-    return pieces
+    return bpe_pieces(chunks, size, coverage, control, user_symbols, **options)

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import labels as lab
 from tagweave.functions import text as txt
-from tagweave.operators import (align, examples, joins, metrics, runs, sampling, scan, stats, tagging, tags, tokens,
-                                unigram, vocab)
+from tagweave.operators import (align, examples, joins, metrics, runs, sampling, scan, stats, tagging, tags, tokens, vocab)
 from tagweave.plans import corpus
 from tagweave.plans import fixtures as fx
 from tagweave.session import scratch_path, settle
@@ -299,6 +298,10 @@ def label_tokens_by_overlap(spark, folder):
     return labelled.select("doc_id", "section_pos", "idx", "value", "label")
 
 
+_TRAINED = {"ew": "SELECT * FROM example_words",
+            "trained": "SELECT DISTINCT key FROM ew WHERE split = 'train'"}
+
+
 def _split_vocab(spark, folder):
     """Words of the examples with their keys: (example_id, word_pos, key, tokens, tag, split)."""
     rows = fx.example_words(spark, folder)
@@ -307,8 +310,8 @@ def _split_vocab(spark, folder):
 
 @query(fx.sql("example_words", """
 SELECT example_id, min(word_pos) AS word_pos, key, min_by(n_tokens, word_pos) AS n_tokens,
-    min_by(tag, word_pos) AS tag FROM example_words WHERE split = 'test'
-    AND key NOT IN (SELECT key FROM example_words WHERE split = 'train') GROUP BY example_id, key"""))
+    min_by(tag, word_pos) AS tag FROM ew ANTI JOIN trained USING (key) WHERE split = 'test'
+    GROUP BY example_id, key""", **_TRAINED))
 def oov_occurrences(spark, folder):
     rows = _split_vocab(spark, folder)
     test = rows.filter("split = 'test'").select("example_id", "word_pos", "key", "tokens", "tag")
@@ -317,8 +320,7 @@ def oov_occurrences(spark, folder):
 
 
 @query(fx.sql("example_words", """
-SELECT example_id, word_pos, key FROM example_words WHERE split = 'test'
-    AND key NOT IN (SELECT key FROM example_words WHERE split = 'train')"""))
+SELECT example_id, word_pos, key FROM ew ANTI JOIN trained USING (key) WHERE split = 'test'""", **_TRAINED))
 def filter_test_only_tokens(spark, folder):
     rows = _split_vocab(spark, folder).select("example_id", "word_pos", "key", "split")
     test, train = (rows.filter(F.col("split") == s).drop("split") for s in ("test", "train"))
@@ -475,8 +477,7 @@ SELECT count(*) FILTER (good) AS correct, count(*) AS words, count(*) FILTER (go
     SELECT doc_id, pos, bool_and(label = pred) AS good FROM spread_rows GROUP BY doc_id, pos)"""))
 def word_accuracy(spark, folder):
     # each word starts with its tag and goes on with masks, so words of the stream are words of the text
-    return metrics.word_accuracy(fx.spread_rows(spark, folder).withColumn("at", F.col("pos") * 100 + F.col("piece")),
-                                 _MASK, "doc_id", "at", block=scan.BLOCK * 16)
+    return metrics.word_accuracy(fx.spread_rows(spark, folder), _MASK, "doc_id", ("pos", "piece"))
 
 
 @query(fx.sql("", """
@@ -545,9 +546,8 @@ def token_spans(spark, folder):
 SELECT doc_id, pos, max(label) FILTER (label <> '[MASK]') AS label, count(*) AS places FROM spread_rows
 GROUP BY doc_id, pos"""))
 def ffill_labels(spark, folder):
-    rows = fx.spread_rows(spark, folder).select("doc_id", "pos", "piece", "label",
-                                                (F.col("pos") * 100 + F.col("piece")).alias("at"))
-    filled = metrics.ffill_labels(rows, _MASK, "doc_id", "at", block=scan.BLOCK * 16)
+    rows = fx.spread_rows(spark, folder).select("doc_id", "pos", "piece", "label")
+    filled = metrics.ffill_labels(rows, _MASK, "doc_id", ("pos", "piece"))
     return filled.groupBy("doc_id", "pos", "label").agg(F.count(F.lit(1)).alias("places"))
 
 
@@ -851,16 +851,14 @@ def sentence_order_pairs(spark, folder):
 _models: dict[tuple, tokens.SubwordModel] = {}
 
 
-def _model(spark, folder, extra: int, kind: str = "bpe") -> tokens.SubwordModel:
+def _model(spark, folder, extra: int) -> tokens.SubwordModel:
     """A model learnt from all documents: every character and `extra` more pieces."""
-    key = (spark.sparkContext.applicationId, folder, extra, kind)
+    key = (spark.sparkContext.applicationId, folder, extra)
     if key not in _models:
         chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
         chars = vocab.alphabet(chunks).count()
         size = chars + len(tokens.CONTROL) + len(vocab.USER_SYMBOLS) + 2 + extra
-        make = vocab.bpe_pieces if kind == "bpe" else functools.partial(
-            unigram.unigram_pieces, coverage=1.0, seed_size=4 * extra, max_piece=6)
-        _models[key] = tokens.SubwordModel(spark, vocab.model_bytes(make(chunks, size), kind))
+        _models[key] = tokens.SubwordModel(spark, vocab.model_bytes(vocab.bpe_pieces(chunks, size)))
     return _models[key]
 
 
@@ -910,13 +908,6 @@ def train_bpe(spark, folder):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rules)], "rank long, left string, right string")
 
 
-@query()
-def train_unigram(spark, folder):
-    chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
-    pieces = unigram.train_unigram(chunks, 300, seed_size=1200, max_piece=6)
-    return spark.createDataFrame(pieces, "piece string, score double")
-
-
 @query(fx.sql("", f"SELECT doc_id, {_SQUEEZED} AS text, true AS tokens_match FROM documents"))
 def encode_and_decode(spark, folder):
     """Ids and pieces of every text; decoding gives the text back."""
@@ -926,20 +917,18 @@ def encode_and_decode(spark, folder):
         "doc_id", "text", (F.size("tokens") == F.size("pieces")).alias("tokens_match"))
 
 
-@query(fx.sql("", f"SELECT doc_id, '▁' || replace({_SQUEEZED}, ' ', '▁') AS text FROM documents"))
-def encode_sampled(spark, folder):
-    options = tokens.Encoding(nbest=64, alpha=0.1, seed=fx.SEED)
-    coded = tokens.encode(fx.documents(spark, folder), _model(spark, folder, 32), options=options)
-    return coded.select("doc_id", F.array_join("pieces", "").alias("text"))
-
-
-@query(fx.sql("", f"SELECT doc_id, replace({_SQUEEZED}, ' ', '▁') AS text, true AS cut_at_marks FROM documents"))
+@query(fx.sql("", f"""SELECT doc_id, replace({_SQUEEZED}, ' ', '▁') AS text, true AS cut_at_marks, true AS commas_alone
+FROM (SELECT doc_id, text || ' 1,5 ' || doc_id || ',' AS text FROM documents)"""))
 def tokenise_by_space(spark, folder):
-    """Underlines only between parts; with marks, no piece goes on after a comma or a digit and comma."""
+    """Underlines only between parts; no piece goes on after a comma, and one after a digit stands alone."""
     options = tokens.Encoding(by_space=True, marks=(",",))
-    coded = tokens.encode(fx.documents(spark, folder), _model(spark, folder, 32), options=options)
+    texts = fx.documents(spark, folder).withColumn("text", F.concat("text", F.lit(" 1,5 "), F.col("doc_id").cast("string"), F.lit(",")))
+    coded = tokens.encode(texts, _model(spark, folder, 32), options=options)
     inside = F.exists("pieces", lambda p: F.contains(F.substring(p, F.lit(1), F.length(p) - 1), F.lit(",")))
-    return coded.select("doc_id", F.array_join("pieces", "").alias("text"), (~inside).alias("cut_at_marks"))
+    joined = F.exists("pieces", lambda p: p.rlike(r"[0-9],$"))
+    alone = F.size(F.filter("pieces", lambda p: p == ",")) >= 2
+    return coded.select("doc_id", F.array_join("pieces", "").alias("text"), (~inside).alias("cut_at_marks"),
+                        (alone & ~joined).alias("commas_alone"))
 
 
 @query(fx.sql("words", "SELECT doc_id, pos, word, word AS text FROM words"))
@@ -956,10 +945,14 @@ def align_tokens(spark, folder):
     return done.groupBy("status").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.size("words")).alias("words"))
 
 
+def _lowered(batch):
+    return [line.lower() for line in batch]
+
+
 @query(fx.sql("lines", """
 SELECT word, count(*) AS "count" FROM (SELECT unnest(string_split(lower(line), ' ')) AS word FROM lines) GROUP BY word"""))
 def segment_words(spark, folder):
-    return stats.value_counts(tokens.segment_words(fx.lines(spark, folder), str.lower), "word", sort=False)
+    return stats.value_counts(tokens.segment_words(fx.lines(spark, folder), _lowered), "word", sort=False)
 
 
 def _by_remainder():
@@ -1003,8 +996,7 @@ _STARTS = {0: "NOUN", 1: _MASK}
 SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n, 'NOUN' AS tag FROM words GROUP BY doc_id"""))
 def tag_text(spark, folder):
     model = _model(spark, folder, 32)
-    done = tagging.tag_text(fx.documents(spark, folder), model, _word_starts(model), "starts-" + model.name, _STARTS,
-                            options=tokens.Encoding(wrap=True))
+    done = tagging.tag_text(fx.documents(spark, folder), model, _word_starts(model), "starts-" + model.name, _STARTS)
     return done.select("doc_id", F.array_join("words", " ").alias("words"), F.size("tags").cast("long").alias("n"),
                        F.array_join(F.array_distinct("tags"), " ").alias("tag"))
 
@@ -1016,7 +1008,7 @@ def tag_documents(spark, folder):
     model = _model(spark, folder, 32)
     done = tagging.tag_documents(
         fx.documents(spark, folder), lambda t: tagging.segments_by_mark(t, 200, [",", "."]), [F.lower], model,
-        _word_starts(model), "starts-" + model.name, _STARTS, options=tokens.Encoding(wrap=True))
+        _word_starts(model), "starts-" + model.name, _STARTS)
     return done.groupBy("doc_id").agg(
         runs.ordered(["seg"], F.array_join("words", "")).alias("i"),
         F.bool_and(F.size("words") == F.size("tags")).alias("short")).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -17,10 +18,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # ordered collects keep many short groups per task: stay on the hash path
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
 }
 _shipped: dict[str, str] = {}
+_folders: set[str] = set()
 
 
 def get_spark(app: str = "tagweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,8 +45,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a local one only if it is unset.
 
-    The setting is read from the session first. Where nothing is configured (tests on one
-    machine) a fresh temporary folder is made and remembered as the checkpoint folder.
+    The setting is read from the session first. Where nothing is configured a fresh temporary folder is made and
+    remembered as the checkpoint folder if all runs in one process (tests); on a cluster that is an error, as
+    executors do not share their own disks.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     context = spark.sparkContext
@@ -56,14 +57,29 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if not current:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-"))
         current = context.getCheckpointDir()
     return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path for one run below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, unused path below the folder of this application in the shared one, removed at its end."""
+    folder = os.path.join(shared_dir(spark), f"tagweave-{spark.sparkContext.applicationId}")
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(clear, spark, folder)
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
+
+
+def clear(spark: SparkSession, folder: str) -> None:
+    """Remove an application's intermediate tables, while its context still runs."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -79,7 +95,7 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a small intermediate result to a shared table and read it back.
+    """Write an intermediate result to a shared table and read it back.
 
     Cuts lineage and makes a later size check and the join that follows it see the same rows.
     """

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from tagweave.operators import unigram, vocab
+from tagweave.operators import vocab
 
 
 def bpe_by_hand(chunks, merges):
@@ -55,50 +55,3 @@ def test_chunks_end_at_marks_and_symbols(spark):
 def test_characters_outside_the_alphabet_are_not_merged(spark):
     rules = vocab.train_bpe(frame(spark, {"abz": 9, "ab": 1}), 5, allowed=["a", "b"])
     assert rules == [("a", "b")]
-
-
-def segmentations(text):
-    for cuts in itertools.product([0, 1], repeat=len(text) - 1):
-        parts, at = [], 0
-        for i, cut in enumerate([*cuts, 1], 1):
-            if cut:
-                parts.append(text[at:i])
-                at = i
-        yield parts
-
-
-def test_expected_counts_equal_the_sum_over_segmentations():
-    rng = random.Random(4)
-    scores = {p: -rng.random() * 5 for p in ("a", "b", "ab", "ba", "aba", "bab", "abab")}
-    for text in ("a", "abab", "babaab"):
-        into = {}
-        value = unigram.expected_counts(text, unigram.arcs(text, scores, -20, 4), 2.0, into)
-        paths = [(s, math.exp(sum(scores[p] for p in s))) for s in segmentations(text) if all(p in scores for p in s)]
-        whole = sum(w for _, w in paths)
-        want = Counter()
-        for s, w in paths:
-            for p in s:
-                want[p] += 2.0 * w / whole
-        assert value == pytest.approx(2.0 * math.log(whole))
-        assert {p: pytest.approx(c) for p, c in want.items()} == into
-        best = max(paths, key=lambda x: x[1])[0]
-        assert unigram.best_path(unigram.arcs(text, scores, -20, 4)) == best
-
-
-def test_digamma():
-    for x in (0.5, 1.0, 3.3, 20.0):
-        h = 1e-5
-        assert unigram.digamma(x) == pytest.approx((math.lgamma(x + h) - math.lgamma(x - h)) / (2 * h), abs=1e-6)
-
-
-def test_unigram_vocabulary(spark):
-    import sentencepiece as spm
-    words = ["hello", "help", "held", "world", "word", "wonder", "yellow"]
-    chunks = {"▁" + w: 5 + i for i, w in enumerate(words)}
-    pieces = vocab_pieces = unigram.unigram_pieces(frame(spark, chunks), 40, 1.0, seed_size=200)
-    assert len(vocab_pieces) <= 40 and {c for w in chunks for c in w} <= {p.text for p in pieces}
-    processor = spm.SentencePieceProcessor(model_proto=vocab.model_bytes(pieces, "unigram"))
-    for w in words:
-        assert processor.DecodeIds(processor.EncodeAsIds(w)) == w
-    assert sum(len(processor.EncodeAsPieces(w)) for w in words) < sum(len(w) + 1 for w in words)
-    assert len(processor.NBestEncodeAsPieces("hello", 5)) > 1
