@@ -436,6 +436,21 @@ def confusion_counts(spark, folder):
     return metrics.confusion_counts(fx.predicted(spark, folder), "tag", "pred")
 
 
+@query("""
+WITH c AS (SELECT quality AS t, toxic AS p, count(*) AS n FROM labels GROUP BY 1, 2),
+r AS (SELECT label, sum(hit) AS tp, sum(pred) AS predicted, sum(truth) AS support FROM (
+        SELECT t AS label, CASE WHEN t = p THEN n ELSE 0 END AS hit, 0 AS pred, n AS truth FROM c
+        UNION ALL SELECT p, 0, n, 0 FROM c) GROUP BY label)
+SELECT label, round(CASE WHEN predicted = 0 THEN 0.0 ELSE tp::DOUBLE / predicted END, 9) AS precision,
+    round(CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END, 9) AS recall,
+    round(CASE WHEN predicted + support = 0 THEN 0.0 ELSE 2 * tp::DOUBLE / (predicted + support) END, 9) AS f1,
+    support::BIGINT AS support FROM r""")
+def label_metrics(spark, folder):
+    """Metrics on given labels: `quality` as the truth, `toxic` as the prediction."""
+    rows = metrics.prf_per_label(metrics.confusion_counts(fx.table(spark, folder, "labels"), "quality", "toxic"))
+    return rows.select("label", *[F.round(m, 9).alias(m) for m in ("precision", "recall", "f1")], "support")
+
+
 @query(fx.sql("spread_rows", "SELECT label::INT AS label, precision, recall, f1, support FROM per_label", **_CONFUSION))
 def prf_per_label(spark, folder):
     return metrics.prf_per_label(_confusion(spark, folder), _label_ids(spark))
