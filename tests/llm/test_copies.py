@@ -7,7 +7,7 @@ import numpy as np
 
 from tagweave.llm import jaccard, lines
 from tagweave.llm.components import connected
-from tagweave.llm.shingles import shingle_set, word_hashes
+from tagweave.llm.shingles import shingle_set
 
 from .conftest import EDGE, prose
 
@@ -106,18 +106,24 @@ def test_edit_distance():
         a, b = ("".join(draw.choice("abc") for _ in range(draw.randint(0, 12))) for _ in range(2))
         assert lines.edit_distance(a, b) == plain_distance(a, b)
         a, b = " ".join(a), " ".join(b)
-        assert lines.alike(a, b, 0.8) == (plain_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+        assert lines.alike(a, b, 0.8) == (share(a, b) <= 0.2 + 1e-9)
+
+
+def share(a, b):
+    """Part of the words of the longer line to edit."""
+    a, b = a.split(" "), b.split(" ")
+    return plain_distance(a, b) / max(len(a), len(b))
 
 
 def brute_lines(rows):
-    norm = lambda s: re.sub(r"[^\w]+|_", " ", s.lower()).strip()
+    norm = lines.norm_of
     names = {}
     for _, text in rows:
         for line in text.split("\n"):
             if norm(line).count(" ") >= 4:
                 names.setdefault(norm(line), len(names))
     words = list(names)
-    sims = [int(s) & (1 << 64) - 1 for s in lines.simhash([w.split(' ') for w in words])]
+    sims = [int(s) & (1 << 64) - 1 for s in lines.sketched(words, 1)[3]]
     root = list(range(len(words)))
 
     def find(x):
@@ -125,7 +131,7 @@ def brute_lines(rows):
             x = root[x]
         return x
     for a, b in itertools.combinations(range(len(words)), 2):
-        if (sims[a] ^ sims[b]).bit_count() <= 3 and plain_distance(words[a], words[b]) <= 0.1 * max(len(words[a]), len(words[b])):
+        if (sims[a] ^ sims[b]).bit_count() <= 3 and lines.SIMILARITY <= 1 - share(words[a], words[b]) + 1e-9:
             root[find(b)] = find(a)
     seen, out = set(), []
     for key, text in sorted(rows):
@@ -182,8 +188,27 @@ def test_line_edges(table):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
 
 
-def test_one_very_long_line():
-    words = [f"w{n}" for n in range(250_000)]
-    assert lines.simhash([words, ["a", "b"]])[0] == lines.simhash([["x", "y"], words])[1]
-    plain = sum(np.unpackbits(word_hashes([w]).view(np.uint8)).astype(int) * 2 - 1 for w in words[:700])
-    assert lines.simhash([words[:700]])[0] == int.from_bytes(np.packbits(plain > 0).tobytes(), "big", signed=True)
+def test_sketches_do_not_hang_on_the_cut(monkeypatch):
+    texts = [prose(n, 40 * n) + "\n" * (n % 3) + "Ünï 漢字 Words,here.and THERE\n\n" + "x " * n for n in range(9)]
+    whole = lines.sketched(texts, 2)
+    one_by_one = [lines.sketched([t], 2) for t in texts]
+    for k in (1, 2, 3):
+        assert whole[k].tolist() == [v for found in one_by_one for v in found[k].tolist()]
+    monkeypatch.setattr(lines, "_PIECE", 50)
+    assert all((x == y).all() for x, y in zip(lines.sketched(texts, 2), whole))
+
+
+def test_simhash_counts_bits():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 2000, np.uint64)
+    sizes = np.array([1, 7, 255, 256, 700, 781])
+    got, at = lines.simhash(words, sizes), 0
+    for n, sim in zip(sizes, got):
+        plain = sum(np.unpackbits(words[at + k:at + k + 1].view(np.uint8)).astype(int) * 2 - 1 for k in range(n))
+        assert int(sim) == int.from_bytes(np.packbits(plain > 0).tobytes(), "big", signed=True)
+        at += n
+
+
+def test_equal_lines_only_hash_alike():
+    texts = [prose(n, 9) for n in range(3000)]
+    found = lines.sketched([*texts, *[t.upper() + "!" for t in texts]], 5)
+    assert len(set(found[2][:3000].tolist())) == 3000 and (found[2][:3000] == found[2][3000:]).all()
