@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.common import Recent, chunks, kept_fields, table, text_of
+from tagweave.llm.common import Recent, chunks, enter, kept_fields, on_leave, table, text_of
 from tagweave.llm.pretokens import Special, added_tokens, byte_letters, load, splitter
 from tagweave.session import ship_package
 
@@ -49,7 +49,7 @@ class Encoder:
         self.merges = {}
         for rank, (left, right) in enumerate(pairs):
             self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        self._ends = self._find_ends()
+        self._made = self._find_parts()
         self.split = splitter(self.specials)
         self._apart: dict[int, bool] = {}
         self._words = Recent(CACHED_WORDS)
@@ -66,39 +66,40 @@ class Encoder:
             parts[at:at + 2] = [self.merges[parts[at], parts[at + 1]][1]]
         return parts
 
-    def _find_ends(self) -> tuple[dict, dict] | None:
-        """For each token the tokens that its first and its last bytes pass through while it is merged.
+    def _find_parts(self) -> dict[int, tuple[int, int, int]] | None:
+        """The merge of each token: its rank and two parts.
 
-        Each comes with the rank of the merge that takes it up (none for the token itself). None if the file
-        makes a token in two ways or before its parts: then pairs are tried by the definition.
+        None if the file makes a token in two ways or before its parts: then pairs are tried by the definition.
         """
         made: dict[int, tuple[int, int, int]] = {}
         for (left, right), (rank, token) in self.merges.items():
             if token in made or any(made[p][0] > rank for p in (left, right) if p in made):
                 return None
             made[token] = rank, left, right
-        firsts, finals = {}, {}
-        for token in self.spell:
-            for side, out in ((1, firsts), (2, finals)):
-                steps, at, until = [], token, float("inf")
-                while True:
-                    steps.append((at, until))
-                    if at not in made:
-                        break
-                    until, at = made[at][0], made[at][side]
-                out[token] = steps
-        return firsts, finals
+        return made
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """The tokens that its first (1) or last (2) bytes pass through while a token is merged.
+
+        Each comes with the rank of the merge that takes it up (none for the token itself).
+        """
+        steps, until = [], float("inf")
+        while True:
+            steps.append((token, until))
+            if token not in self._made:
+                return steps
+            until, token = self._made[token][0], self._made[token][side]
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two neighbouring tokens stay as they are when their bytes are encoded together.
 
         They do not if a merge over their border comes before both of its parts are taken up elsewhere.
         """
-        if self._ends is None:
+        if self._made is None:
             return self.merged(self.spell[left] + self.spell[right]) == [left, right]
-        firsts, finals = self._ends
-        for a, until in finals[left]:
-            for b, limit in firsts[right]:
+        firsts = self._edge(right, 1)
+        for a, until in self._edge(left, 2):
+            for b, limit in firsts:
                 merge = self.merges.get((a, b))
                 if merge is not None and merge[0] < until and merge[0] <= limit:
                     return False
@@ -171,7 +172,7 @@ class Encoder:
                 if block:
                     held.extend(block)
                     owners.append((i, len(block)))
-                if len(held) > 250_000:
+                if len(held) > 150_000:
                     flush()
         flush()
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), counts
@@ -203,6 +204,10 @@ def decoder(content: str) -> Decoder:
     return Decoder(content)
 
 
+on_leave("bpe", encoder.cache_clear)
+on_leave("bpe decoder", decoder.cache_clear)
+
+
 def tokenizer_file(spark: SparkSession, path: str):
     """The tokenizer file as a broadcast value; its size does not depend on the corpus and is checked."""
     content = Path(path).read_text(encoding="utf-8")
@@ -232,6 +237,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
     carried = [n for n in schema.names if n != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         model = encoder(content.value)
         for batch, texts in chunks(batches, "__text"):
             found, counts = model.encode(texts)
@@ -255,6 +261,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     carried = [n for n in schema.names if n != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe decoder")
         model, none = decoder(content.value), np.zeros(0, np.int32)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,28 @@ from pyspark.sql import types as T
 from tagweave.session import ship_package
 
 #: Characters of text that a Python task holds as separate words at one time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+
+_leave: dict[str, Callable[[], None]] = {}
+_inside: list[str] = []
+
+
+def on_leave(name: str, clear: Callable[[], None]) -> None:
+    """What a Python worker lets go when it turns from operator `name` to another one."""
+    _leave[name] = clear
+
+
+def enter(name: str) -> None:
+    """Called where a task of operator `name` starts: a worker that served another one gives its memory back."""
+    if _inside and _inside[-1] != name:
+        for other, clear in _leave.items():
+            if other != name:
+                clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+    _inside[:] = [name]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import chunks, table, text_of
+from tagweave.llm.common import chunks, enter, table, text_of
 from tagweave.llm.shingles import words_of
 from tagweave.operators.joins import drop_matching, measured_size
 from tagweave.session import settle, ship_package
@@ -130,6 +130,7 @@ def gathered(docs: DataFrame, space: Space) -> tuple[int, np.ndarray, np.ndarray
     schema = "word int, held long, " + ", ".join(f"{c} double" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("leaks")
         known = shared.value
         size = len(known.vocabulary)
         held, total, passages = np.zeros(size, np.int64), np.zeros((size, rank)), 0
@@ -254,6 +255,7 @@ def _search(docs: DataFrame, space: Space, key: str, item_type: str, cosine: flo
     names = ["doc", "item", "cosine", "common", "answered", "first_word", "last_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("leaks")
         known = shared.value
         for batch, texts in chunks(batches, "text"):
             words, ids, half, owner = _halves(texts, known.vocabulary)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import chunks, groups, table, text_of, together
+from tagweave.llm.common import chunks, enter, groups, table, text_of, together
 from tagweave.llm.components import connected
 from tagweave.llm.shingles import set_digest, shingle_set, signatures
 from tagweave.operators.joins import drop_matching, keep_matching
@@ -64,7 +64,8 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text", 1_000_000):
+        enter("shingles")
+        for batch, texts in chunks(batches, "text"):
             keyed = batch.column("doc").is_valid().to_pylist()
             sets = [shingle_set(t) if k else None for t, k in zip(texts, keyed)]
             full = [s for s in sets if s is not None and len(s)]
@@ -130,6 +131,7 @@ def pruned(placed: DataFrame) -> DataFrame:
     sorted_rows = placed.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("shingles")
         out, held = [], 0
         for rows in groups(batches, names):
             if len(rows["cls"]) < 2:
@@ -176,6 +178,7 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sorted_rows = placed.repartition(*[F.col(n) for n in names]).sortWithinPartitions(*names, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("shingles")
         out, held = [], 0
         for rows in groups(batches, names):
             cls = rows["cls"]
@@ -215,7 +218,8 @@ def verified(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _sets(docs: DataFrame, text: str) -> DataFrame:
     """`cls` and `shingles` (the whole set) of the given documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches, "text", 1_000_000):
+        enter("shingles")
+        for _, texts in chunks(batches, "text"):
             sets = [s for s in map(shingle_set, texts) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_digest(s)[0] for s in sets], pa.int64()),

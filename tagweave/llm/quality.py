@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.common import chunks, kept_fields, table, text_of
+from tagweave.llm.common import chunks, enter, kept_fields, table, text_of
 from tagweave.operators.joins import attach
 from tagweave.session import settle, ship_package
 
@@ -82,6 +82,7 @@ def measured(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
     carried = schema.names[:len(schema) - len(COUNTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch, texts in chunks(batches, "__text"):
             values = np.array([measure(t) for t in texts], np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import xxhash
 
-from tagweave.llm.common import Recent
+from tagweave.llm.common import Recent, on_leave
 
 WORD = re.compile(r"[^\W_]+")
 SIZE = 5
@@ -23,6 +23,14 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_KNOWN.young.__getitem__, words), np.uint64, len(words))
 
 
+def _forget() -> None:
+    global _KNOWN
+    _KNOWN = Recent(200_000)
+
+
+on_leave("shingles", _forget)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (multiply and shift)."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

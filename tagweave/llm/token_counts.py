@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
 from tagweave.llm.bpe import tokenizer_file
-from tagweave.llm.common import Recent, chunks, kept_fields, table, text_of
+from tagweave.llm.common import Recent, chunks, enter, kept_fields, on_leave, table, text_of
 from tagweave.llm.pretokens import added_tokens, load, splitter
 from tagweave.session import ship_package
 
@@ -74,7 +74,7 @@ class Counted:
                 if block:
                     held.extend(block)
                     owners.append((i, len(block)))
-                if len(held) > 250_000:
+                if len(held) > 150_000:
                     flush()
         flush()
         return totals.tolist()
@@ -90,6 +90,9 @@ def _as_table(names: tuple[str, ...], lengths: bytes) -> dict[str, int]:
     return dict(zip(names, np.frombuffer(lengths, np.uint8).tolist()))
 
 
+on_leave("token counts", lambda: (counter.cache_clear(), _as_table.cache_clear()))
+
+
 def _most(counts: Counter, size: int) -> Counter:
     return counts if len(counts) <= size else Counter(dict(counts.most_common(size)))
 
@@ -98,6 +101,7 @@ def frequent_pretokens(docs: DataFrame, content: Broadcast, text: str = "text",
                        size: int = FREQUENT) -> tuple[tuple[str, ...], bytes]:
     """The frequent pre-tokens of all texts and their numbers of tokens, one byte each."""
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token counts")
         split, seen = counter(content.value).split, Counter()
         for _, texts in chunks(batches, "text"):
             for t in texts:
@@ -138,6 +142,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequ
     carried = [n for n in schema.names if n != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token counts")
         model, known = counter(content.value), _as_table(*frequent.value)
         for batch, texts in chunks(batches, "__text"):
             yield pa.RecordBatch.from_arrays(

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.llm.common import chunks, kept_fields, table, text_of
+from tagweave.llm.common import chunks, enter, kept_fields, on_leave, table, text_of
 from tagweave.session import settle, ship_package
 
 #: Labelled rows that a model is fitted on, about; more are sampled by a hash of their key.
@@ -123,6 +123,9 @@ def _lexicon(entries: tuple[tuple[str, float], ...]) -> Lexicon:
     return Lexicon(dict(entries))
 
 
+on_leave("toxicity", _lexicon.cache_clear)
+
+
 def features(df: DataFrame, lexicon: dict[str, float], text: str = "text",
              keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and one double per name of FEATURES; a null text counts as empty."""
@@ -132,8 +135,9 @@ def features(df: DataFrame, lexicon: dict[str, float], text: str = "text",
     carried = schema.names[:len(schema) - len(FEATURES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         known = _lexicon(entries.value)
-        for batch, texts in chunks(batches, "__text"):
+        for batch, texts in chunks(batches, "__text", 500_000):
             values = np.array([text_features(t, known) for t in texts], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in carried] + [pa.array(values[:, i]) for i in range(len(FEATURES))],
@@ -152,7 +156,8 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", label: str = "__label
     ship_package(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "__text", 4_000_000):
+        enter("toxicity")
+        for batch, texts in chunks(batches, "__text"):
             tally = {0: Counter(), 1: Counter()}
             for value, words in zip(batch.column("__label").to_pylist(), map(terms_of, texts)):
                 tally[value].update(words)
