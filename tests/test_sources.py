@@ -93,3 +93,14 @@ def test_named_shared_folder_comes_first(spark, tmp_path):
 
     assert shared_dir(Named()) == str(tmp_path)
     assert shared_dir(spark) != str(tmp_path)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError, match=CHECKPOINT_CONF):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
