@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +31,17 @@ def shard_name(path: Column, max_seq: int, seed: int | None = None) -> Column:
 
 
 def present_shards(spark: SparkSession, out: str, shard: str = "shard") -> DataFrame:
-    empty = spark.createDataFrame([], f"{shard} string")
-    try:
-        return spark.read.parquet(out).select(F.col(shard).cast("string")).distinct()
-    except AnalysisException:
-        return empty
+    """The shards that `out` holds, by its partition folders; none if the folder does not exist.
+
+    No data file is opened, and a folder that cannot be read is an error.
+    """
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(out)
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    folders = system.listStatus(where) if system.exists(where) else []
+    names = [f.getPath().getName() for f in folders if f.isDirectory()]
+    found = [unquote(n.removeprefix(f"{shard}=")) for n in names if n.startswith(f"{shard}=")]
+    return spark.createDataFrame([(n,) for n in found], f"{shard} string")
 
 
 def build_missing_shards(df: DataFrame, out: str, build: Callable[[DataFrame], DataFrame],
