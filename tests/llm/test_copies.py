@@ -212,3 +212,40 @@ def test_equal_lines_only_hash_alike():
     texts = [prose(n, 9) for n in range(3000)]
     found = lines.sketched([*texts, *[t.upper() + "!" for t in texts]], 5)
     assert len(set(found[2][:3000].tolist())) == 3000 and (found[2][:3000] == found[2][3000:]).all()
+
+
+def edited(text, seed, times):
+    """A line with words replaced, put in or taken out."""
+    draw, words = random.Random(seed), text.split(" ")
+    for _ in range(times):
+        at, kind = draw.randrange(len(words)), draw.randrange(3)
+        words[at:at + (kind != 1)] = [f"new{draw.randrange(10 ** 6)}"] if kind < 2 else []
+    return " ".join(words)
+
+
+def alike_lines():
+    """Lines of 9 to 130 words and edits of them, some at the very bound of the similarity."""
+    rows = [edited(prose(n, size), 10 * n + k, k * size // 30)
+            for n, size in enumerate([9, 10, 11, 14, 19, 20, 21, 29, 30, 45, 60, 100, 130] * 4) for k in range(5)]
+    return list(enumerate([*rows, "ab " * 40, "ab " * 43, "ab ba " * 20, "a b c d e f g h i", "a b c d x e f g h i"]))
+
+
+def without_simhash(rows):
+    """What stays of one-line texts by edit similarity of all pairs."""
+    norms = [lines.norm_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(root[:], 2):
+        x, y = norms[a].split(" "), norms[b].split(" ")
+        if abs(len(x) - len(y)) <= 0.1 * max(len(x), len(y)) + 1e-9 and share(norms[a], norms[b]) <= 0.1 + 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return {rows[a][0] for a in range(len(rows)) if root[a] == a}
+
+
+def test_every_pair_at_the_similarity_is_found(table, monkeypatch):
+    rows = alike_lines()
+    want = without_simhash(rows)
+    assert len(want) < len(rows) - 100
+    assert {r.doc_id for r in lines.keep_unrepeated(table(rows)).collect()} == want
+    monkeypatch.setattr(lines, "PART", 2)  # buckets cut into parts
+    assert {r.doc_id for r in lines.keep_unrepeated(table(rows)).collect()} == want
