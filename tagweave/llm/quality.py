@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs come with a guarantee on false rejection.
 
-Every document is measured whole. For each stratum and rule the cutoffs run from lenient to strict; on the
-labelled good documents of the stratum an exact binomial test asks of each in turn whether it rejects at most a
-share `RISK` of them, and the last one that passes before the first failure is taken (fixed sequence, so the
-cutoffs of one rule need no correction). The level is shared out over all strata and rules (Bonferroni). A rule
-without a cutoff that passes is not used in that stratum. All counts are over all labelled rows.
+Every document is measured whole. For each stratum the cutoffs of all rules stand in one sequence; after each step an
+exact binomial test asks whether all rules together, as they then are, reject at most a share `RISK` of the labelled
+good documents. The order of the steps hangs on the bad documents alone, so a sequence needs no correction up to its
+first failure; a rule that fails stays as it was and the others go on, at a level that pays for all places where the
+failures may have been. The level is shared out over the strata (Bonferroni). With too few good labels (see
+`labels_needed`) a stratum has no rules. All counts are over all labelled rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from tagweave.llm.common import chunks, enter, kept_fields, table, text_of
 from tagweave.operators.joins import attach
 from tagweave.session import settle, ship_package
 
-#: Share of a stratum's good documents that one rule may reject, and the chance to be wrong about any of them.
-RISK, LEVEL = 0.005, 0.05
+#: Share of a stratum's good documents that all rules together may reject, and the chance to be wrong about any stratum.
+RISK, LEVEL = 0.02, 0.05
 WINDOW = 5
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -132,30 +133,75 @@ def last_safe(rejected: Sequence[int], n: int, risk: float, level: float) -> int
     return len(rejected)
 
 
+def level_after(failures: int, level: float) -> float:
+    """The level of a test after so many failures: halves, shared by all sequences that their places allow."""
+    steps = sum(map(len, CUTOFFS.values()))
+    return level / 2 ** (failures + 1) / steps ** failures
+
+
+def labels_needed(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
+    """Good labelled documents from which on a stratum can have a rule, one that rejects none of them."""
+    return math.ceil(math.log(level_after(0, level / max(strata, 1))) / math.log1p(-risk))
+
+
+def _next_rule(force: np.ndarray, first: np.ndarray, bad: np.ndarray, open_rules: list[int]) -> int:
+    """The rule to tighten next: of most bad documents gained per step, else the most lenient one."""
+    left = ~(first < force).any(1) & (bad > 0)
+    best, choice = 0.0, None
+    for r in open_rules:
+        size = len(tuple(CUTOFFS.values())[r])
+        gained = np.bincount(first[left, r], bad[left], size + 1)[force[r]:size].cumsum()
+        rate = (gained / np.arange(1, len(gained) + 1)).max()
+        if rate > best:
+            best, choice = rate, r
+    if choice is None:
+        choice = min(open_rules, key=lambda r: force[r] / len(tuple(CUTOFFS.values())[r]))
+    return choice
+
+
+def safe_cutoffs(first: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> np.ndarray:
+    """How many cutoffs of each rule are in force at the end of the sequence.
+
+    A row of `first` says for each rule which cutoff is the first to reject; `good` and `bad` count the documents.
+    """
+    sizes = np.array([len(c) for c in CUTOFFS.values()])
+    force, failed, n = np.zeros(len(sizes), np.int64), set(), int(good.sum())
+    while open_rules := [r for r in range(len(sizes)) if r not in failed and force[r] < sizes[r]]:
+        rule = _next_rule(force, first, bad, open_rules)
+        tighter = force.copy()
+        tighter[rule] += 1
+        rejected = int(good[(first < tighter).any(1)].sum())
+        if at_most(rejected, n, risk) <= level_after(len(failed), level):
+            force = tighter
+        else:
+            failed.add(rule)
+    return force
+
+
 def cutoffs(holdout: DataFrame, stratum: str = "__stratum", good: str = "__good", risk: float = RISK,
             level: float = LEVEL) -> DataFrame:
-    """One row per stratum: a cutoff for each rule, null where none is safe.
+    """One row per stratum: a cutoff for each rule, null where none is safe, and `__n_good`, the documents it rests on.
 
-    `holdout` holds the rules' values of labelled documents. Only rows with `good` = 1 count.
+    `holdout` holds the rules' values of labelled documents; those with `good` = 0 only order the steps.
     """
-    names = [f"{rule}__{i}" for rule, cuts in CUTOFFS.items() for i in range(len(cuts))]
-    rejected = [F.count_if(F.col(rule) > cut) for rule, cuts in CUTOFFS.items() for cut in cuts]
-    counted = settle(holdout.filter(F.col(good) == 1).groupBy(stratum).agg(
-        F.count(F.lit(1)).alias("__n"), *[c.alias(n) for c, n in zip(rejected, names)]))
-    share = level / max(counted.count() * len(CUTOFFS), 1)
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = {stratum: frame[stratum]}
-            for rule, cuts in CUTOFFS.items():
-                columns = frame[[f"{rule}__{i}" for i in range(len(cuts))]].to_numpy()
-                safe = [last_safe(row, int(n), risk, share) for row, n in zip(columns, frame["__n"])]
-                out[f"{rule}__cut"] = [cuts[s - 1] if s else None for s in safe]
-            yield pd.DataFrame(out).astype({f"{r}__cut": float for r in CUTOFFS})
-
-    schema = f"{stratum} string, " + ", ".join(f"{rule}__cut double" for rule in CUTOFFS)
-    chosen = counted.mapInPandas(choose, schema)
-    return chosen.select(stratum, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in chosen.columns[1:]])
+    steps = [sum((F.col(rule) <= cut).cast("int") for cut in cuts).alias(f"__{rule}") for rule, cuts in CUTOFFS.items()]
+    counted = settle(holdout.filter(F.col(good).isNotNull()).select(stratum, (F.col(good) == 1).alias("__is"), *steps)
+                     .groupBy(stratum, *[f"__{rule}" for rule in CUTOFFS])
+                     .agg(F.count_if("__is").alias("__n"), F.count_if(~F.col("__is")).alias("__bad")))
+    share = level / max(counted.filter("__n > 0").select(stratum).distinct().count(), 1)
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([f"__{rule}" for rule in CUTOFFS])
+        force = safe_cutoffs(frame[[f"__{rule}" for rule in CUTOFFS]].to_numpy(np.int64), frame["__n"].to_numpy(np.int64),
+                             frame["__bad"].to_numpy(np.int64), risk, share)
+        out = {stratum: frame[stratum].iloc[:1].to_list(), "__n_good": [int(frame["__n"].sum())]}
+        out |= {f"{rule}__cut": [cuts[k - 1] if k else None] for (rule, cuts), k in zip(CUTOFFS.items(), force)}
+        return pd.DataFrame(out).astype({f"{r}__cut": float for r in CUTOFFS})
+
+    schema = f"{stratum} string, __n_good long, " + ", ".join(f"{rule}__cut double" for rule in CUTOFFS)
+    chosen = counted.groupBy(stratum).applyInPandas(choose, schema)
+    return chosen.select(stratum, "__n_good", *[
+        F.when(~F.isnan(c), F.col(c)).alias(c) for c in chosen.columns[2:]])
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang",

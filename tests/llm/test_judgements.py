@@ -98,6 +98,32 @@ def test_cutoffs_hold_their_risk(spark, table):
     assert all(got[k].kept for k, _ in few) and got[9999].kept
 
 
+def test_ordinary_strata_have_rules(spark, table):
+    """310 good documents in each of four strata are enough for a rule that rejects none of them."""
+    docs, labelled = table([]), []
+    for k, lang in enumerate(("de", "en", "es", "fr")):
+        good = [(10_000 * k + n, prose(n, 12)) for n in range(310)]
+        bad = [(10_000 * k + 5000 + n, prose(n, 12) + " ##") for n in range(30)]
+        docs = docs.union(table(good + bad, lang=lang))
+        labelled += [(d, 1) for d, _ in good] + [(d, 0) for d, _ in bad]
+    got = quality.judge(docs, spark.createDataFrame(labelled, "doc_id long, quality int")).collect()
+    assert {r.doc_id for r in got if r.kept} == {d for d, g in labelled if g}
+    assert quality.labels_needed(4) <= 310 < quality.labels_needed(4, 0.005)
+
+
+def test_all_rules_together_keep_the_risk():
+    """Each rule alone would reject 1 in 100 good documents, other ones each time."""
+    sizes = [len(c) for c in quality.CUTOFFS.values()]
+    first = np.array([sizes] + [[0 if r == k else n for k, n in enumerate(sizes)] for r in range(len(sizes))])
+    good, bad = np.array([9400] + [100] * 6), np.array([0] + [50 + r for r in range(6)])
+    force = quality.safe_cutoffs(first, good, bad, 0.02, 0.05)
+    assert (force > 0).sum() == 1 and good[(first < force).any(1)].sum() <= 0.02 * good.sum()
+    # one rule rejects too many, the others none: it stays out, they go on
+    good = np.array([9000, 0, 1000, 0, 0, 0, 0])
+    force = quality.safe_cutoffs(first, good, bad, 0.02, 0.05)
+    assert force.tolist() == [n if k != 1 else 0 for k, n in enumerate(sizes)]
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
