@@ -237,8 +237,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     connected group, `text_id` the least key among documents with an equal set, `n_links` the number of other
     documents it links to, copies included. Null and empty texts, texts without words and rows without a key
     come back with a null class and no links. A row that repeats a key and text counts as a copy. Other columns
-    are not looked at. An empty table gives an empty table.
+    are not looked at. An empty table gives an empty table. Buckets and pruning are set for `THRESHOLD`; a lower
+    `threshold` would lose pairs and is refused.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {THRESHOLD}, for which buckets and pruning are set")
     ship_package(docs.sparkSession)
     everything = settle(signed(docs, text, key))
     placed = everything.filter(F.col("cls").isNotNull())

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tagweave.llm import jaccard, lines
 from tagweave.llm.components import connected
@@ -249,3 +250,9 @@ def test_every_pair_at_the_similarity_is_found(table, monkeypatch):
     assert {r.doc_id for r in lines.keep_unrepeated(table(rows)).collect()} == want
     monkeypatch.setattr(lines, "PART", 2)  # buckets cut into parts
     assert {r.doc_id for r in lines.keep_unrepeated(table(rows)).collect()} == want
+
+
+def test_jaccard_refuses_thresholds_that_would_lose_pairs(table):
+    with pytest.raises(ValueError, match="below"):
+        jaccard.jaccard_classes(table([(1, prose(1, 20))]), threshold=0.5)
+    assert jaccard.jaccard_classes(table([(1, prose(1, 20))]), threshold=0.9).count() == 1
