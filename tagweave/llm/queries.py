@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from tagweave.llm.bpe import op5_bpe_round_trip
 from tagweave.llm.decontaminate import op2_decontamination
+from tagweave.llm.exact import op11_exact_dedup
 from tagweave.llm.jaccard import op3_ngram_jaccard
 from tagweave.llm.licenses import TEMPLATES, op9_license_scan
 from tagweave.llm.lines import op10_line_dedup
+from tagweave.llm.prefix_trie import op12_prefix_trie
 from tagweave.llm.quality import op8_quality_rules
 from tagweave.llm.secrets import op4_secret_scan
 from tagweave.llm.token_counts import op1_token_counts
 from tagweave.llm.toxicity import op6_toxicity
 from tagweave.llm.warc import op7_warc_revisits
+from tagweave.llm.whitening import op13_embedding_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_ngram_jaccard, op4_secret_scan, op5_bpe_round_trip, op6_toxicity, op7_warc_revisits,
-    op8_quality_rules, op9_license_scan, op10_line_dedup)}
+    op8_quality_rules, op9_license_scan, op10_line_dedup, op11_exact_dedup, op12_prefix_trie, op13_embedding_whitening)}
 
 _SECRET_ASSIGN = (r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"
                   r"[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -127,4 +130,37 @@ SELECT record_id, url, ts, outcome, refers_to,
        CASE WHEN outcome = 'resolved' THEN sha256(body) END AS body_sha256
 FROM j
 """
-ORACLES: dict[str, str] = {"op7_warc_revisits": WARC_SQL, "op4_secret_scan": SECRET_SQL, "op9_license_scan": LICENSE_SQL}
+
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+# one step of crc32 takes a byte into the value: eight shifts by the reversed polynomial
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role,
+               sha256(octet_length(encode(role)) || ':' || role || text)) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT *, ({_CRC.format("conv_id::VARCHAR")}) % 9 AS h FROM own),
+r AS (SELECT h.conv_id, list_concat(coalesce(d.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+      FROM h LEFT JOIN own d ON d.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(turns) AS len, unnest(range(0, len(turns) + 1)) AS d, turns FROM r),
+m AS (SELECT conv_id, len, d, turns[1:d] AS path FROM p),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = d), '')) AS ends_sha256
+          FROM m GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(n, 0) AS n_children,
+                 CASE WHEN nodes.d > 0 THEN (n_convs - 1) * strlen(nodes.path[nodes.d].text) ELSE 0 END AS own
+          FROM nodes LEFT JOIN kids USING (path, d)),
+up AS (SELECT path[1:a] AS path, a AS d, own, n_children FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_)),
+subs AS (SELECT path, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM up GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN subs USING (path, d) LEFT JOIN nodes q ON q.d = f.d - 1 AND q.path = f.path[1:f.d - 1]
+"""
+ORACLES: dict[str, str] = {"op7_warc_revisits": WARC_SQL, "op4_secret_scan": SECRET_SQL, "op9_license_scan": LICENSE_SQL,
+                           "op11_exact_dedup": EXACT_SQL, "op12_prefix_trie": TRIE_SQL}
