@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tagweave.operators.runs import MASK, ordered
-from tagweave.operators.sampling import coin, order_hash
+from tagweave.operators.sampling import coin, order_hash, text_hash
 from tagweave.operators.scan import BLOCK, running_sums
 from tagweave.operators.tags import IGNORED
 
@@ -143,20 +140,51 @@ def sentence_order_pairs(segments: DataFrame, seed: int = 0, part: str = "doc_id
         swapped.cast("int").alias("is_swapped"))
 
 
-def _choose(tokens: np.ndarray, rng: np.random.Generator, wanted: int, weights: np.ndarray,
-            open_places: np.ndarray) -> np.ndarray:
-    """Places to predict: n-grams at random starts that neither overlap nor pass `wanted` in sum."""
-    taken = np.zeros(len(tokens), dtype=bool)
-    left = wanted
-    for start in rng.permutation(np.flatnonzero(open_places)):
-        if left == 0:
-            break
-        length = min(left, 1 + rng.choice(len(weights), p=weights))
-        end = start + length
-        if end <= len(tokens) and open_places[start:end].all() and not taken[start:end].any():
-            taken[start:end] = True
-            left -= length
-    return np.flatnonzero(taken)
+def _length_limits(ngram: int, favor_short: bool) -> list[int]:
+    """Limits in millionths below which a draw means a length of 1, 2, ...; lengths weigh 1/n or the other way round."""
+    weights = [1 / n for n in range(1, ngram + 1)]
+    if not favor_short:
+        weights.reverse()
+    return [round(1_000_000 * sum(weights[:n]) / sum(weights)) for n in range(1, ngram)]
+
+
+def mask_places(tokens: Column, key: Column, special_ids: Sequence[int] = (0, 2, 3, 4), prob: float = 0.15,
+                max_pred: int = 20, ngram: int = 3, favor_short: bool = False, seed: int = 12345) -> Column:
+    """Places to predict, rising: array<int>.
+
+    Every place draws a number from the key; it ranks the n-gram that starts there and, by its remainder, gives the
+    length. N-grams are taken by rank while any of the wanted places are left: one that overlaps a taken one or holds
+    a special id gives way, one that is longer than what is left is cut to it. An n-gram ends with its sequence.
+    """
+    size = F.size(tokens)
+    wanted = F.least(F.lit(max_pred), F.greatest(F.lit(1), F.bround(size * F.lit(prob)).cast("int")), size)
+    draw = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(
+        text_hash(F.concat_ws("|", key, i.cast("string"), F.lit(f"{seed}-mask"))).alias("h"), i.alias("i")))
+
+    def length(h: Column) -> Column:
+        out = F.lit(ngram)
+        for n, limit in reversed(list(enumerate(_length_limits(ngram, favor_short), 1))):
+            out = F.when(h % 1_000_000 < limit, n).otherwise(out)
+        return out
+
+    ranked = F.sort_array(draw)  # compares natively; array_sort would interpret a comparator per pair
+    start = F.struct(wanted.alias("left"), F.array().cast("array<int>").alias("taken"))
+
+    def step(state: Column, gram: Column) -> Column:
+        last = gram["i"] + F.least(length(gram["h"]), state["left"]) - 1
+        free = (state["left"] > 0) & (last < size) & ~F.exists(state["taken"], lambda t: (t >= gram["i"]) & (t <= last))
+        if special_ids:
+            free = free & ~F.exists(F.slice(tokens, gram["i"] + 1, F.greatest(last - gram["i"] + 1, F.lit(1))),
+                                    lambda t: t.isin(*special_ids))
+        return F.when(free, F.struct((state["left"] - (last - gram["i"] + 1)).alias("left"),
+                                     F.concat(state["taken"], F.sequence(gram["i"], last)).alias("taken"))).otherwise(state)
+
+    # nearly always the first n-grams fill all places; the others are looked at only where they do not
+    first = 2 * max_pred
+    some = F.aggregate(F.slice(ranked, 1, first), start, step)
+    rest = F.slice(ranked, first + 1, F.greatest(size, F.lit(1)))
+    taken = F.transform(F.array(some), lambda s: F.when(s["left"] > 0, F.aggregate(rest, s, step)["taken"]).otherwise(s["taken"]))
+    return F.when(size > 0, F.sort_array(taken[0])).otherwise(F.array().cast("array<int>"))
 
 
 def mask_tokens(df: DataFrame, vocab_size: int, mask_id: int = 4, special_ids: Sequence[int] = (0, 2, 3, 4),
@@ -164,31 +192,22 @@ def mask_tokens(df: DataFrame, vocab_size: int, mask_id: int = 4, special_ids: S
                 seed: int = 12345, key: Sequence[str] = ("doc_id", "seq_no"), tokens: str = "tokens") -> DataFrame:
     """Choose places to predict and hide them: adds `masked`, `positions` and `originals`.
 
-    About `prob` of the tokens, at most `max_pred`, in n-grams of up to `ngram` whose lengths weigh
-    1/n (the other way round unless `favor_short`). Of the chosen ones 80% become the mask id, 10% a
-    random id and 10% stay. Special ids are never chosen. The draw hangs on the key and the seed.
+    About `prob` of the tokens, at most `max_pred`, in n-grams of up to `ngram` (see `mask_places`). Of the
+    chosen ones 80% become the mask id, 10% a random id and 10% stay. Special ids are never chosen. Everything is
+    drawn by hashes of the key, the place and the seed, in columns.
     """
-    weights = 1.0 / np.arange(1, ngram + 1)
-    weights /= weights.sum()
-    if not favor_short:
-        weights = weights[::-1].copy()
-    special = np.array(sorted(special_ids))
-
-    @pandas_udf("masked array<int>, positions array<int>, originals array<int>")
-    def hide(sequences: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        rows = []
-        for values, start in zip(sequences, seeds):
-            ids = np.asarray(values, dtype=np.int32)
-            rng = np.random.default_rng(start)
-            open_places = ~np.isin(ids, special)
-            wanted = min(max_pred, max(1, round(len(ids) * prob)), int(open_places.sum()))
-            places = _choose(ids, rng, wanted, weights, open_places)
-            draw = rng.random(len(places))
-            other = rng.integers(0, vocab_size, len(places))
-            masked = ids.copy()
-            masked[places] = np.where(draw < 0.8, mask_id, np.where(draw < 0.9, other, ids[places]))
-            rows.append((masked, places.astype(np.int32), ids[places]))
-        return pd.DataFrame(rows, columns=["masked", "positions", "originals"])
-
-    drawn = hide(F.col(tokens), order_hash(list(key), f"{seed}-mask"))
-    return df.withColumn("__m", drawn).select(*df.columns, "__m.masked", "__m.positions", "__m.originals")
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    held = df.withColumn("__name", name).withColumn("positions", mask_places(
+        F.col(tokens), F.col("__name"), special_ids, prob, max_pred, ngram, favor_short, seed))
+
+    def hidden(place: Column) -> Column:
+        draw = text_hash(F.concat_ws("|", F.col("__name"), place.cast("string"), F.lit(f"{seed}-hide")))
+        other = F.shiftright(draw, 8) % vocab_size
+        return F.when(draw % 10 < 8, mask_id).when(draw % 10 == 8, other.cast("int")).otherwise(F.get(tokens, place))
+
+    # the map is bound to a name of its own: it would else be built again for every place
+    new = F.map_from_arrays("positions", F.transform("positions", hidden))
+    masked = F.transform(F.array(new), lambda m: F.transform(tokens, lambda t, i: F.coalesce(F.element_at(m, i), t).cast("int")))
+    return held.select(
+        *df.columns, masked[0].alias("masked"), "positions",
+        F.transform("positions", lambda p: F.get(tokens, p).cast("int")).alias("originals"))

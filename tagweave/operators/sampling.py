@@ -19,7 +19,10 @@ _SMALL = 10_000
 def order_hash(key: str | Sequence[str], seed: int | str) -> Column:
     """A 60-bit number from the md5 of the key columns and the seed."""
     key = [key] if isinstance(key, str) else list(key)
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    return text_hash(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+
+
+def text_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _HASH_BITS // 4), 16, 10).cast("long")
 
 

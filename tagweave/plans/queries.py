@@ -829,19 +829,39 @@ def mlm_windows(spark, folder):
     return rows.select("doc_id", "seq_no", "half", lab.token_key(F.col("tokens")).alias("tokens"))
 
 
+_NAME = "doc_id || '|' || seq_no || '|' || half"
+_PLACE = "list_transform(range(len(tokens)), lambda i: {'h': " + fx.hash_sql(f"{_NAME} || '|' || i", "12345-mask") + ", 'i': i})"
+_HIDDEN = fx.hash_sql(f"{_NAME} || '|' || p", "12345-hide")
+# n-grams one after the other, by rank of their draws, while any of the wanted places are left
+_MASKED = dict(
+    ranked=f"""SELECT *, list_sort({_PLACE}) AS draws FROM halves""",
+    grams="""SELECT *, list_transform(draws, lambda d: {{'i': d.i, 'n': CASE WHEN d.h % 1000000 < {0} THEN 1
+        WHEN d.h % 1000000 < {1} THEN 2 ELSE 3 END}}) AS grams,
+        least(20, greatest(1, round_even(len(tokens) * 0.15, 0)))::BIGINT AS wanted FROM ranked""".format(
+        *examples._length_limits(3, False)),
+    steps="""SELECT doc_id, seq_no, half, 0 AS k, wanted AS "left", []::BIGINT[] AS taken, grams, tokens FROM grams
+        UNION ALL SELECT doc_id, seq_no, half, k + 1, CASE WHEN ok THEN "left" - n ELSE "left" END,
+            CASE WHEN ok THEN list_concat(taken, range(i, i + n)) ELSE taken END, grams, tokens FROM (
+            SELECT *, i + n <= len(tokens) AND NOT list_has_any(taken, range(i, i + n)) AS ok FROM (
+                SELECT *, grams[k + 1].i AS i, least(grams[k + 1].n, "left") AS n FROM steps
+                WHERE k < len(tokens) AND "left" > 0))""",
+    chosen="""SELECT doc_id, seq_no, half, tokens, list_sort(arg_max(taken, k)) AS taken FROM steps
+        GROUP BY doc_id, seq_no, half, tokens""",
+    new=f"""SELECT *, list_transform(taken, lambda p: CASE WHEN {_HIDDEN} % 10 < 8 THEN 4
+        WHEN {_HIDDEN} % 10 = 8 THEN ({_HIDDEN} >> 8) % 1000 ELSE tokens[p + 1] END) AS hidden FROM chosen""",
+)
+
+
 @query(fx.sql("lines", """
-SELECT doc_id, seq_no, half, array_to_string(tokens, ' ') AS restored, true AS within, true AS kept FROM halves""", **_WINDOWS))
+SELECT doc_id, seq_no, half, array_to_string([CASE WHEN list_contains(taken, i - 1) THEN hidden[list_position(taken, i - 1)]
+    ELSE tokens[i] END for i in range(1, len(tokens) + 1)], ' ') AS masked, array_to_string(taken, ' ') AS positions,
+    array_to_string([tokens[p + 1] for p in taken], ' ') AS originals FROM new""", **_WINDOWS, **_MASKED).replace(
+    "WITH ", "WITH RECURSIVE ", 1))
 def mask_tokens(spark, folder):
-    """Put back what was hidden: the tokens as they were, within the limit, other places untouched."""
+    """N-grams of up to three hidden in every sequence, with their places and what stood there."""
     rows = examples.mlm_windows(_line_examples(spark, folder), 128, 0.05, fx.SEED)
     done = examples.mask_tokens(rows, 1000, special_ids=(), key=("doc_id", "seq_no", "half"))
-    restored = F.transform("masked", lambda x, i: F.coalesce(
-        F.get("originals", (F.array_position("positions", i) - 1).cast("int")), x))
-    count = F.size("positions")
-    limit = F.least(F.lit(20), F.greatest(F.lit(1), F.round(F.size("tokens") * 0.15).cast("int") + 1))
-    return done.select("doc_id", "seq_no", "half", lab.token_key(restored).alias("restored"),
-                       ((count >= 1) & (count <= limit)).alias("within"),
-                       (F.size("masked") == F.size("tokens")).alias("kept"))
+    return done.select("doc_id", "seq_no", "half", *[lab.token_key(F.col(c)).alias(c) for c in ("masked", "positions", "originals")])
 
 
 @query(fx.sql("lines", 'SELECT doc_id, line_no, line, "dupe" FROM lines, range(1, 5) r("dupe")'))

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import examples
@@ -29,6 +31,33 @@ def test_masks(spark):
     assert {r.doc_id: r.masked for r in rows} != {r.doc_id: r.masked for r in other}
 
 
+def masks_by_hand(key, tokens, special, seed, limits, ngram, prob, max_pred):
+    """Positions by rank of the draws, one n-gram after the other."""
+    def draw(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+    left = min(max_pred, max(1, round(len(tokens) * prob)), len(tokens))
+    taken = set()
+    for h, i in sorted((draw(key, i, f"{seed}-mask"), i) for i in range(len(tokens))):
+        n = next((k for k, limit in enumerate(limits, 1) if h % 1_000_000 < limit), ngram)
+        span = range(i, i + min(n, left))
+        if left and span[-1] < len(tokens) and not taken & set(span) and not any(tokens[p] in special for p in span):
+            taken |= set(span)
+            left -= len(span)
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("ngram,short,max_pred", [(3, False, 20), (3, True, 20), (1, False, 5), (5, False, 8)])
+def test_masks_equal_one_ngram_after_the_other(spark, ngram, short, max_pred):
+    df = sequences(spark).union(spark.createDataFrame([(90, 0, []), (91, 0, [2]), (92, 0, [7]), (93, 1, [2, 9, 3] * 60)],
+                                                      "doc_id int, seq_no long, tokens array<int>"))
+    limits = examples._length_limits(ngram, short)
+    rows = examples.mask_tokens(df, 500, ngram=ngram, favor_short=short, max_pred=max_pred).collect()
+    for r in rows:
+        assert r.positions == masks_by_hand(f"{r.doc_id}|{r.seq_no}", r.tokens, (0, 2, 3, 4), 12345, limits, ngram, 0.15, max_pred)
+        assert len(r.masked) == len(r.tokens)
+    assert {r.doc_id for r in rows if not r.positions} == {90, 91}
+
+
 def test_longer_grams_are_favoured_unless_told_otherwise(spark):
     df = sequences(spark, 200)
     def single(short):
