@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import labels as lab
 from tagweave.functions import text as txt
-from tagweave.operators import (align, examples, joins, metrics, runs, sampling, scan, stats, tagging, tags, tokens, vocab)
+from tagweave.operators import (align, examples, joins, metrics, packing, runs, sampling, scan, stats, tagging, tags, tokens, vocab)
 from tagweave.plans import corpus
 from tagweave.plans import fixtures as fx
 from tagweave.session import scratch_path, settle
@@ -829,6 +829,44 @@ def mlm_windows(spark, folder):
     return rows.select("doc_id", "seq_no", "half", lab.token_key(F.col("tokens")).alias("tokens"))
 
 
+_BUDGET = 125
+_AT = "doc_id || '|' || p.ofs"
+_SEQ = "doc_id || '|' || seq_at"
+_PACKED = dict(
+    cut=f"""SELECT doc_id, line_no, k, tokens[k * {_BUDGET} + 1 : (k + 1) * {_BUDGET}] AS tokens FROM (
+        SELECT *, unnest(range((len(tokens) + {_BUDGET - 1}) // {_BUDGET})) AS k FROM ex)""",
+    places="""SELECT *, len(tokens) AS n, coalesce(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line_no, k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ofs FROM cut""",
+    goals=f"""SELECT *, ofs + CASE WHEN {fx.hash_sql(_AT, f"{fx.SEED}-short")} % 1000000 < 100000
+        THEN {fx.hash_sql(_AT, f"{fx.SEED}-target")} % {_BUDGET - 1} + 2 ELSE {_BUDGET} END AS goal FROM places p""",
+    follows="""SELECT g.doc_id, g.ofs, greatest(g.ofs + g.n, coalesce(max(q.ofs + q.n), 0)) AS next FROM goals g
+        LEFT JOIN places q ON q.doc_id = g.doc_id AND q.ofs >= g.ofs AND q.ofs + q.n <= g.goal GROUP BY g.doc_id, g.ofs, g.n""",
+    openings="""SELECT doc_id, ofs FROM follows WHERE ofs = 0
+        UNION ALL SELECT f.doc_id, f.ofs FROM openings o JOIN follows p ON p.doc_id = o.doc_id AND p.ofs = o.ofs
+            JOIN follows f ON f.doc_id = p.doc_id AND f.ofs = p.next""",
+    grouped="""SELECT p.doc_id, o.ofs AS seq_at, list(p.tokens ORDER BY p.ofs) AS l, count(*) AS m FROM places p
+        ASOF JOIN openings o ON p.doc_id = o.doc_id AND p.ofs >= o.ofs GROUP BY p.doc_id, o.ofs""",
+    cuts=f"""SELECT *, flatten(l) AS s, {fx.hash_sql(_SEQ, f"{fx.SEED}-cut")} AS h,
+        {fx.hash_sql(_SEQ, f"{fx.SEED}-order")} % 1000000 < 500000 AS coin FROM grouped""",
+    split="""SELECT *, CASE WHEN m > 1 THEN len(flatten(l[1:h % (m - 1) + 1])) ELSE h % greatest(len(s) - 1, 1) + 1 END AS c FROM cuts""",
+    sides="""SELECT doc_id, seq_at, coin AND c < len(s) AS w, s[:c] AS a, s[c + 1:] AS b FROM split""",
+    turned="""SELECT doc_id, seq_at, w, CASE WHEN w THEN b ELSE a END AS a, CASE WHEN w THEN a ELSE b END AS b FROM sides""",
+)
+
+
+@query(fx.sql("lines", """
+SELECT doc_id, seq_at, w::INT AS is_swapped,
+    array_to_string(list_concat([2], a, [3], CASE WHEN len(b) > 0 THEN list_concat(b, [3]) ELSE [] END), ' ') AS input_ids,
+    array_to_string(list_concat([0 for i in range(len(a) + 2)],
+        CASE WHEN len(b) > 0 THEN [1 for i in range(len(b) + 1)] ELSE [] END), ' ') AS segment_ids
+FROM turned""", ex=_LINE_EXAMPLES, **_PACKED).replace("WITH ", "WITH RECURSIVE ", 1))
+def pretraining_pairs(spark, folder):
+    """Lines packed into sequences of at most 128 ids, in two segments that are swapped or not."""
+    done = packing.pretraining_sequences(_line_examples(spark, folder), 128, True, 0.1, fx.SEED)
+    return done.select("doc_id", "seq_at", "is_swapped", lab.token_key(F.col("input_ids")).alias("input_ids"),
+                       lab.token_key(F.col("segment_ids")).alias("segment_ids"))
+
+
 _NAME = "doc_id || '|' || seq_no || '|' || half"
 _PLACE = "list_transform(range(len(tokens)), lambda i: {'h': " + fx.hash_sql(f"{_NAME} || '|' || i", "12345-mask") + ", 'i': i})"
 _HIDDEN = fx.hash_sql(f"{_NAME} || '|' || p", "12345-hide")
