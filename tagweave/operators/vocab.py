@@ -1,29 +1,38 @@
 """Learning a subword vocabulary with Spark.
 
 The corpus is reduced once to distinct chunks (space-separated words, optionally cut after marks)
-with their counts. Adjacent pairs are counted over all chunks, weighted, and merged in rounds. Only
-the best pairs of a round come to the driver.
+with their counts. Adjacent pairs are counted over all chunks, weighted, and merged in rounds. An index from pairs to
+chunks lets a round touch only the chunks that hold its pairs; it yields changes of counts, not counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import itertools
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.text import literal, syllables
+from tagweave.operators.joins import keep_matching
 from tagweave.operators.stats import char_coverage
 from tagweave.operators.tokens import CONTROL, UNDERLINE
 from tagweave.session import settle
 
 # Symbols that are always pieces of their own.
 USER_SYMBOLS = ("(", ")", '"', "-", ".", "–", "£", "€")
-# A symbol of a chunk is written between these two, which do not occur in text.
-_OPEN, _CLOSE = "\x01", "\x02"
-_PENDING = 16
-_CANDIDATES = 1024
+#: Merges that are tried in one round, and that wait at most before the chunks are rewritten.
+_GUESSES, _PENDING = 128, 128
+#: Chunks on which the driver tries merges, and leading pairs from which it starts.
+_SAMPLE, _LEADING = 20_000, 4096
+#: Where a round touches more than one chunk in so many, a scan of all is cheaper than a look-up.
+_SCAN = 4
+
+Pair = tuple[str, str]
 
 
 @dataclass(frozen=True)
@@ -62,115 +71,293 @@ def alphabet(chunks: DataFrame, share: float = 1.0) -> DataFrame:
     return counts if share >= 1 else char_coverage(counts, share)
 
 
-def _symbols(chunk: Column) -> Column:
-    return F.regexp_replace(chunk, r"(?s)(.)", f"{_OPEN}$1{_CLOSE}")
-
-
-def _apply(state: Column, merges: Sequence[tuple[str, str]]) -> Column:
-    """All merges in order, folded over one constant array so that every round compiles alike."""
-    if not merges:
-        return state
-    rules = F.array(*[F.struct(F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}").alias("apart"),
-                               F.lit(f"{_OPEN}{left}{right}{_CLOSE}").alias("joined")) for left, right in merges])
-    return F.aggregate(rules, state, lambda s, rule: F.replace(s, rule.getField("apart"), rule.getField("joined")))
-
-
-def spread_chunks(chunks: DataFrame) -> DataFrame:
-    """Store the chunks in at least as many parts as there are cores; the rounds work hard on few bytes."""
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
-    return settle(chunks.repartition(max(cores, chunks.rdd.getNumPartitions())))
+def initial_states(chunks: DataFrame) -> DataFrame:
+    """Every chunk as the array of its characters."""
+    return chunks.select(F.array_remove(F.split("chunk", ""), "").alias("symbols"), "count")
 
 
 def pair_counts(states: DataFrame) -> DataFrame:
     """Weighted counts of adjacent symbols: (left, right, count)."""
-    symbols = F.split(F.regexp_replace("state", f"^{_OPEN}|{_CLOSE}$", ""), f"{_CLOSE}{_OPEN}")
-    listed = states.select(symbols.alias("s"), "count").filter(F.size("s") > 1)
-    pairs = listed.select("count", F.explode(F.arrays_zip(
-        F.slice("s", 1, F.size("s") - 1).alias("left"), F.slice("s", 2, F.size("s")).alias("right"))).alias("p"))
-    return pairs.groupBy("p.left", "p.right").agg(F.sum("count").alias("count"))
-
-
-def initial_states(chunks: DataFrame) -> DataFrame:
-    return chunks.select(_symbols(F.col("chunk")).alias("state"), "count")
-
-
-def _independent(best: list, room: int) -> list[tuple[str, str]]:
-    """How far the ranked pairs can be merged in one round with the result of one at a time.
-
-    A merge of (a, b) changes only counts of pairs with a or b, and no new pair is more frequent than
-    some old pair (x, a) or (b, y). So a pair may join the round as long as it shares no symbol with
-    those before it and is strictly more frequent than the first pair that does. A pair of equal
-    symbols ends the round, for its new pairs are bounded by its own count only.
+    return _pairs(states).groupBy("left", "right").agg(F.sum("count").alias("count"))
+
+
+def _pairs(states: DataFrame) -> DataFrame:
+    """One row for each two adjacent symbols, with the other columns of the chunk."""
+    listed = states.filter(F.size("symbols") > 1)
+    rest = [c for c in states.columns if c != "symbols"]
+    return listed.select(*rest, F.explode(F.arrays_zip(
+        F.slice("symbols", 1, F.size("symbols") - 1).alias("left"),
+        F.slice("symbols", 2, F.size("symbols")).alias("right"))).alias("p")).select(*rest, "p.left", "p.right")
+
+
+def _merged(symbols: list[str], left: str, right: str) -> list[str]:
+    """The symbols with every `left`, `right` joined, from left to right."""
+    out, at, last = [], 0, len(symbols) - 1
+    while at <= last:
+        if symbols[at] == left and at < last and symbols[at + 1] == right:
+            out.append(left + right)
+            at += 2
+        else:
+            out.append(symbols[at])
+            at += 1
+    return out
+
+
+def _steps(symbols: list[str], turns: dict[Pair, int]) -> Iterator[tuple[int, list[str], list[str]]]:
+    """Which of the merges, taken in turn, change the symbols: (turn, symbols before, symbols after)."""
+    turn = -1
+    while True:
+        turn = min((n for pair in itertools.pairwise(symbols) if (n := turns.get(pair, -1)) > turn), default=None)
+        if turn is None:
+            return
+        pair = next(p for p in itertools.pairwise(symbols) if turns.get(p) == turn)
+        after = _merged(symbols, *pair)
+        yield turn, symbols, after
+        symbols = after
+
+
+def _applied(symbols: list[str], turns: dict[Pair, int]) -> list[str]:
+    for _, _, symbols in _steps(symbols, turns):
+        pass
+    return symbols
+
+
+def _turns(rules: Sequence[Pair]) -> dict[Pair, int]:
+    """Merges by their turn. No pair stands twice in such a list: only a text made anew can bring one back, and ends it."""
+    return {pair: n for n, pair in enumerate(rules)}
+
+
+def _changes(before: list[str], after: list[str]) -> Iterator[tuple[Pair, int]]:
+    for pair in itertools.pairwise(before):
+        yield pair, -1
+    for pair in itertools.pairwise(after):
+        yield pair, 1
+
+
+def _deltas(pending: Sequence[Pair], guesses: Sequence[Pair]):
+    """What each of the guessed merges, one after the other, changes in the pair counts of the chunks of a task."""
+    waiting, turns = _turns(pending), _turns(guesses)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, Pair], int] = defaultdict(int)
+        for batch in batches:
+            for symbols, count in zip(batch.column("symbols").to_pylist(), batch.column("count").to_pylist()):
+                for turn, before, after in _steps(_applied(symbols, waiting), turns):
+                    for pair, sign in _changes(before, after):
+                        found[turn, pair] += sign * count
+        rows = [(turn, left, right, change) for (turn, (left, right)), change in found.items() if change]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+            zip(*rows) if rows else ((), (), (), ()), (pa.int32(), pa.string(), pa.string(), pa.int64()))],
+            names=["step", "left", "right", "change"])
+    return run
+
+
+class _Sample:
+    """The most frequent chunks, on which the driver tries merges ahead. They decide nothing: guesses that the counts
+    of the whole corpus do not confirm are taken back."""
+
+    def __init__(self, rows: list, total: int):
+        self.states = [list(r["symbols"]) for r in rows]
+        self.weights = [r["count"] for r in rows]
+        self.scale = total / max(sum(self.weights), 1)
+        self.holds: dict[Pair, set[int]] = defaultdict(set)
+        for n, symbols in enumerate(self.states):
+            for pair in itertools.pairwise(symbols):
+                self.holds[pair].add(n)
+        self.undo: list[list[tuple[int, list[str]]]] = []
+
+    def merge(self, pair: Pair) -> dict[Pair, int]:
+        changes: dict[Pair, int] = defaultdict(int)
+        before = []
+        for n in list(self.holds[pair]):
+            symbols = self.states[n]
+            after = _merged(symbols, *pair)
+            if len(after) < len(symbols):
+                before.append((n, symbols))
+                self.states[n] = after
+                for other, sign in _changes(symbols, after):
+                    changes[other] += sign * self.weights[n]
+                    if sign > 0:
+                        self.holds[other].add(n)
+        self.undo.append(before)
+        return changes
+
+    def guesses(self, best: list[tuple], allowed: Callable[[Pair], bool], counts: dict[Pair, int], many: int) -> list[Pair]:
+        """The likely next merges, from the leading pairs and what they change in the sample."""
+        self.undo, likely = [], dict(counts)
+        heap = list(best)
+        heapq.heapify(heap)
+        out: list[Pair] = []
+        while heap and len(out) < many:
+            rank, pair = heapq.heappop(heap)
+            if -rank[0] != likely.get(pair, 0) or rank[0] >= 0:
+                continue
+            if pair in out:
+                break
+            out.append(pair)
+            for other, change in self.merge(pair).items():
+                likely[other] = round(likely.get(other, 0) + change * self.scale)
+                if likely[other] > 0 and allowed(other):
+                    heapq.heappush(heap, (_rank(other, likely[other]), other))
+            likely[pair] = 0
+        return out
+
+    def share(self) -> float:
+        """Part of the sample that the guessed merges touch; the rarer chunks outside it are touched less."""
+        touched = {n for before in self.undo for n, _ in before}
+        return len(touched) / max(len(self.states), 1)
+
+    def keep(self, steps: int) -> None:
+        """Take back all but the first of the guessed merges."""
+        for before in reversed(self.undo[steps:]):
+            for n, symbols in before:
+                self.states[n] = symbols
+                for pair in itertools.pairwise(symbols):
+                    self.holds[pair].add(n)
+        self.undo = []
+
+
+def _rank(pair: Pair, count: int) -> tuple:
+    """Order of merging: most frequent first, then by shorter, then by smaller text."""
+    text = pair[0] + pair[1]
+    return -count, len(text), text, pair[0]
+
+
+class _Corpus:
+    """Distinct chunks as stored symbols, with an index from pairs to the chunks that hold them.
+
+    Merges since the last rewrite are kept as a short list and applied when a chunk is read. A pair stands only in
+    chunks that held, at the last rewrite, the pair of its inner ends, so the index of then serves until the next.
     """
-    used: set[str] = set()
-    chosen = []
-    bound = best[-1]["count"] if len(best) == _CANDIDATES else 0
-    for row in best:
-        if {row["left"], row["right"]} & used:
-            bound = row["count"]
-            break
-        used |= {row["left"], row["right"]}
-        chosen.append(row)
-        if row["left"] == row["right"]:
-            bound = row["count"]
-            break
-    kept = [r for i, r in enumerate(chosen[:room]) if i == 0 or r["count"] > bound]
-    return [(r["left"], r["right"]) for r in kept]
+
+    def __init__(self, states: DataFrame):
+        cores = states.sparkSession.sparkContext.defaultParallelism
+        self.parts = max(cores, states.rdd.getNumPartitions())
+        self.pending: list[Pair] = []
+        self._store(states.repartition(self.parts).withColumn("id", F.monotonically_increasing_id()))
+
+    def _store(self, states: DataFrame) -> None:
+        self.states = settle(states)
+        # sorted by pair, so that a look-up reads the row groups of its pairs
+        self.index = settle(_pairs(self.states.drop("count")).distinct().repartitionByRange(self.parts, "left", "right")
+                            .sortWithinPartitions("left", "right"))
+        self.ends: dict[str, tuple[str, str]] = {}
+
+    def rewrite(self) -> None:
+        pending = _turns(self.pending)
+
+        def run(batches):
+            for batch in batches:
+                done = [_applied(s, pending) for s in batch.column("symbols").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.list_(pa.string())), batch.column("count"), batch.column("id")],
+                                                 names=["symbols", "count", "id"])
+        self._store(self.states.select("symbols", "count", "id").mapInArrow(run, "symbols array<string>, count long, id long"))
+        self.pending = []
+
+    def accept(self, pairs: Sequence[Pair]) -> None:
+        for left, right in pairs:
+            # a text made in two ways has two kinds of ends; the rewrite that follows settles it
+            self.ends[left + right] = self.ends.get(left, (left, left))[0], self.ends.get(right, (right, right))[1]
+        self.pending += pairs
+
+    def holding(self, guesses: Sequence[Pair], share: float) -> DataFrame:
+        """Chunks that may hold one of the guessed pairs when its turn comes; all of them if a large share does."""
+        if share * _SCAN > 1:
+            return self.states
+        ends, wanted = dict(self.ends), set()
+        for left, right in guesses:
+            wanted.add((self.ends.get(left, (left, left))[1], self.ends.get(right, (right, right))[0]))
+            self.ends[left + right] = self.ends.get(left, (left, left))[0], self.ends.get(right, (right, right))[1]
+        self.ends = ends
+        listed = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in sorted(wanted)])
+        here = F.col("left").isin(*sorted({a for a, _ in wanted})) & F.array_contains(listed, F.struct("left", "right"))
+        return keep_matching(self.states, self.index.filter(here).select("id").distinct(), ["id"], settled=True)
+
+    def deltas(self, guesses: Sequence[Pair], share: float = 1.0) -> list[dict[Pair, int]]:
+        """Exact changes of the pair counts by each of the guessed merges in turn."""
+        rows = self.holding(guesses, share).select("symbols", "count").mapInArrow(
+            _deltas(list(self.pending), list(guesses)), "step int, left string, right string, change long")
+        out: list[dict[Pair, int]] = [{} for _ in guesses]
+        for r in rows.groupBy("step", "left", "right").agg(F.sum("change").alias("change")).filter("change <> 0").collect():
+            out[r["step"]][r["left"], r["right"]] = r["change"]
+        return out
+
+    def leading(self, held: int) -> tuple[dict[Pair, int], int]:
+        """The most frequent pairs with their counts, and the count that no other pair exceeds (0 if these are all)."""
+        top = pair_counts(self.states).orderBy(F.col("count").desc(), "left", "right").limit(held).collect()
+        return ({(r["left"], r["right"]): r["count"] for r in top}, top[-1]["count"] if len(top) == held else 0)
 
 
 def train_bpe(chunks: DataFrame, merges: int, min_count: int = 1, allowed: Sequence[str] | None = None,
-              batch: bool = True) -> list[tuple[str, str]]:
+              batch: bool = True, held: int = 1 << 17) -> list[Pair]:
     """Merge rules in order, until they make `merges` different pieces.
 
-    The most frequent pair comes first, ties by shorter, then smaller text.
-
-    Exact: `batch` merges several pairs in a round only where one at a time would choose the same.
-    Counts are carried from round to round and corrected by the chunks that changed. Merges are kept as
-    a short list over a stored table, which is rewritten once the list is long, so plans stay small and
-    a lost executor repeats one round. `allowed` restricts the alphabet.
+    The most frequent pair comes first, ties by shorter, then smaller text. Exact: a round guesses the next merges
+    on a bounded sample, and the chunks of the whole corpus that hold them say what each of them in turn changes in the
+    pair counts. Guesses count as far as each is the most frequent pair after those before it; at least the first one
+    is. The driver holds the counts of at most about `held` leading pairs and counts anew when these are used up.
+    `batch=False` takes one merge a round. `allowed` restricts the alphabet.
     """
-    ok = None
-    if allowed is not None:
-        # a pair with a character outside the alphabet is never merged
-        outside = "[^" + "".join(literal(c) for c in allowed) + "]"
-        ok = ~F.concat("left", "right").rlike(outside)
-    done: list[tuple[str, str]] = []
-    pending: list[tuple[str, str]] = []
+    letters = None if allowed is None else set(allowed)
+
+    def usable(pair: Pair) -> bool:
+        return letters is None or all(c in letters for c in pair[0] + pair[1])
+    corpus = _Corpus(initial_states(chunks))
+    counts, floor = corpus.leading(held)
+    total = corpus.states.agg(F.sum("count")).first()[0] or 0
+    sample = _Sample(corpus.states.orderBy(F.col("count").desc(), "symbols").limit(_SAMPLE if batch else 0).collect(), total)
+    done: list[Pair] = []
     made: set[str] = set()
-    base = spread_chunks(initial_states(chunks))
-    counts = settle(pair_counts(base))
-    text = F.concat("left", "right")
+    many = _GUESSES if batch else 1
     while len(made) < merges:
-        usable = counts.filter(F.col("count") >= min_count)
-        best = (usable if ok is None else usable.filter(ok)).orderBy(
-            F.col("count").desc(), F.length(text), text, "left").limit(_CANDIDATES).collect()
+        best = heapq.nsmallest(_LEADING, ((_rank(p, n), p) for p, n in counts.items() if n >= min_count and usable(p)))
+        if floor and (not best or -best[0][0][0] <= floor or len(counts) > 4 * held):
+            corpus.rewrite()
+            counts, floor = corpus.leading(held)
+            if floor and max(counts.values(), default=0) <= floor:
+                held *= 2  # more pairs of one count than are held
+                counts, floor = corpus.leading(held)
+            continue
         if not best:
             break
-        new = _independent(best, merges - len(made) if batch else 1)
-        made |= {left + right for left, right in new}
-        done += new
-        if len(made) < merges:
-            states = base.select(_apply(F.col("state"), pending).alias("state"), "count")
-            counts = settle(_recounted(counts, states, new))
-        pending += new
-        if len(pending) >= _PENDING:
-            base = settle(base.select(_apply(F.col("state"), pending).alias("state"), "count"))
-            pending = []
+        guesses = sample.guesses(best, usable, counts, min(many, merges - len(made))) if batch else [best[0][1]]
+        heap, kept, again = best, 0, False
+        heapq.heapify(heap)
+        for pair, changes in zip(guesses, corpus.deltas(guesses, sample.share())):
+            while heap and -heap[0][0][0] != counts.get(heap[0][1], 0):
+                heapq.heappop(heap)  # counted differently by now
+            if not heap or heap[0][1] != pair or -heap[0][0][0] <= floor or len(heap) < _LEADING // 2 < len(counts) // 4:
+                break
+            text = pair[0] + pair[1]
+            fresh = text not in made
+            for other, change in changes.items():
+                if other in counts or not floor or (fresh and text in other):
+                    now = counts[other] = counts.get(other, 0) + change
+                    if now <= 0:
+                        del counts[other]
+                    elif now >= min_count and usable(other):
+                        heapq.heappush(heap, (_rank(other, now), other))
+                elif change > 0:
+                    again = True  # an old pair grew whose count is not held
+            counts.pop(pair, None)
+            made.add(text)
+            kept += 1
+            if again or not fresh or len(made) >= merges:
+                again = again or not fresh
+                break
+        if not kept:
+            raise RuntimeError(f"pair {guesses[0]} was not confirmed")
+        done += guesses[:kept]
+        sample.keep(kept)
+        corpus.accept(guesses[:kept])
+        many = min(2 * many, _GUESSES) if kept == len(guesses) else max(_GUESSES // 8, 2 * kept) if batch else 1
+        if again or len(corpus.pending) >= _PENDING:
+            corpus.rewrite()
+        if again and floor:
+            counts, floor = corpus.leading(held)
     return done
 
 
-def _recounted(counts: DataFrame, states: DataFrame, new: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pair counts after the merges: only chunks that hold a merged pair are counted again."""
-    holds = F.lit(False)
-    for left, right in new:
-        holds = holds | F.contains("state", F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}"))
-    versions = F.array(F.struct(F.col("state"), (-F.col("count")).alias("count")),
-                       F.struct(_apply(F.col("state"), new).alias("state"), F.col("count")))
-    changed = states.filter(holds).select(F.inline(versions))
-    return counts.unionByName(pair_counts(changed)).groupBy("left", "right").agg(
-        F.sum("count").alias("count")).filter("count > 0")
-
-
 def bpe_pieces(chunks: DataFrame, size: int, coverage: float = 1.0, control: Sequence[str] = CONTROL,
                user_symbols: Sequence[str] = USER_SYMBOLS, batch: bool = True) -> list[Piece]:
     """A whole vocabulary of `size` pieces: specials, merged pieces in order, then characters."""

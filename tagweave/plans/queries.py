@@ -941,12 +941,10 @@ _CHUNKS = dict(
         WHERE w <> '' GROUP BY w""",
     chunks="""SELECT chunk, sum(n)::BIGINT AS n FROM (
         SELECT unnest(regexp_extract_all('▁' || w, '[^()".£€–-]+')) AS chunk, n FROM raw) GROUP BY chunk""",
-    states="""SELECT chr(1) || array_to_string(string_split(chunk, ''), chr(2) || chr(1)) || chr(2) AS state, n FROM chunks""",
+    states="""SELECT string_split(chunk, '') AS s, n FROM chunks""",
 )
 _PAIRS = """SELECT p[1] AS "left", p[2] AS "right", sum(n)::BIGINT AS "count" FROM (
-    SELECT unnest([[s[i], s[i + 1]] for i in range(1, len(s))]) AS p, n FROM (
-        SELECT string_split(trim(replace(state, chr(2) || chr(1), ' '), chr(1) || chr(2)), ' ') AS s, n FROM {states}))
-    GROUP BY 1, 2"""
+    SELECT unnest([[s[i], s[i + 1]] for i in range(1, len(s))]) AS p, n FROM states) GROUP BY 1, 2"""
 
 
 @query(fx.sql("", "SELECT chunk, n AS \"count\" FROM chunks", **_CHUNKS))
@@ -954,28 +952,46 @@ def chunk_counts(spark, folder):
     return vocab.chunk_counts(fx.documents(spark, folder))
 
 
-@query(fx.sql("", _PAIRS.format(states="states"), **_CHUNKS))
+@query(fx.sql("", _PAIRS, **_CHUNKS))
 def pair_counts(spark, folder):
     return vocab.pair_counts(vocab.initial_states(vocab.chunk_counts(fx.documents(spark, folder))))
 
 
-_MERGES = 16
-
-
-def _merge_rounds() -> str:
-    """One merge per round, unrolled."""
-    rounds = ["WITH " + ", ".join(f"{n} AS MATERIALIZED ({t})" for n, t in {**_CHUNKS, "s0": "SELECT * FROM states"}.items())]
-    for i in range(_MERGES):
-        rounds.append(f"""p{i} AS MATERIALIZED (SELECT "left" AS l, "right" AS r FROM ({_PAIRS.format(states=f"s{i}")})
-            ORDER BY "count" DESC, length("left" || "right"), "left" || "right", "left" LIMIT 1)""")
-        rounds.append(f"""s{i + 1} AS MATERIALIZED (SELECT replace(state, chr(1) || l || chr(2) || chr(1) || r || chr(2),
-            chr(1) || l || r || chr(2)) AS state, n FROM s{i}, p{i})""")
-    picks = " UNION ALL ".join(f'SELECT {i}::BIGINT AS rank, l AS "left", r AS "right" FROM p{i}' for i in range(_MERGES))
-    return ", ".join(rounds) + " " + picks
-
-
-@query(_merge_rounds())
+_MERGES = 1000
+# one merge a round: a table of chunks (c), pair counts (p) and merges (m) by key, of which a round replaces what changes
+_BEST = """SELECT b AS l, c AS r FROM recurring.rounds WHERE kind = 'p' AND n > 0
+    ORDER BY n DESC, length(b || c), b || c, b LIMIT 1"""
+_LISTED = "unnest([[s[i], s[i + 1]] for i in range(1, len(s))])"
+
+
+@query("WITH RECURSIVE " + ", ".join(f"{n} AS ({t})" for n, t in _CHUNKS.items()) + f""",
+rounds(kind, a, b, c, n) USING KEY (kind, a, b, c) AS (
+  SELECT * FROM (
+    SELECT 'c' AS kind, chunk AS a, '' AS b, '' AS c, 0::BIGINT AS n, string_split(chunk, '') AS s, n AS w FROM chunks WHERE length(chunk) > 1
+    UNION ALL SELECT 'p', '', p[1], p[2], sum(n)::BIGINT, NULL, NULL FROM (SELECT {_LISTED} AS p, n FROM states) GROUP BY p[1], p[2]
+    UNION ALL SELECT 'm', '', '', '', 0, NULL, NULL)
+  UNION (WITH
+    best AS MATERIALIZED ({_BEST}),
+    step AS MATERIALIZED (SELECT n + 1 AS i FROM recurring.rounds WHERE kind = 'm' AND a = ''),
+    now AS MATERIALIZED (SELECT a, w, s AS old, string_split(replace(replace(chr(1) || array_to_string(s, chr(2) || chr(1)) || chr(2),
+        chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2))[2:-2], chr(2) || chr(1), chr(2)), chr(2)) AS s
+      FROM recurring.rounds, best WHERE kind = 'c' AND list_contains(s, l) AND list_contains(s, r)),
+    changed AS MATERIALIZED (SELECT * FROM now WHERE len(s) < len(old)),
+    moved AS (SELECT p[1] AS b, p[2] AS c, sum(k)::BIGINT AS k FROM (
+        SELECT {_LISTED} AS p, w AS k FROM changed UNION ALL SELECT {_LISTED} AS p, -w FROM (SELECT old AS s, w FROM changed))
+      GROUP BY 1, 2)
+    SELECT * FROM (
+      SELECT 'c', a, '', '', 0::BIGINT, s, w FROM changed
+      UNION ALL SELECT 'p', '', m.b, m.c, coalesce(o.n, 0) + k, NULL, NULL FROM moved m
+        LEFT JOIN (SELECT * FROM recurring.rounds WHERE kind = 'p') o ON o.b = m.b AND o.c = m.c WHERE k <> 0
+      UNION ALL SELECT 'm', i::VARCHAR, l, r, i, NULL, NULL FROM best, step
+      UNION ALL SELECT 'm', '', '', '', i, NULL, NULL FROM best, step)
+    WHERE (SELECT i FROM step) <= {_MERGES})
+)
+SELECT (n - 1)::BIGINT AS rank, b AS "left", c AS "right" FROM rounds WHERE kind = 'm' AND a <> ''""".replace(
+    "rounds(kind, a, b, c, n)", "rounds(kind, a, b, c, n, s, w)"))
 def train_bpe(spark, folder):
+    """A thousand merges of the whole corpus, in order."""
     chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
     rules = vocab.train_bpe(chunks, _MERGES)[:_MERGES]
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rules)], "rank long, left string, right string")

@@ -41,11 +41,35 @@ def test_merges_in_rounds_equal_one_at_a_time(spark, seed, monkeypatch):
     letters = "ab" if seed == 3 else "abcdef"
     chunks = {"".join(rng.choices(letters, k=rng.randrange(1, 9))): rng.randrange(1, 9) for _ in range(60)}
     monkeypatch.setattr(vocab, "_PENDING", 7)
+    monkeypatch.setattr(vocab, "_SAMPLE", 20)
     rules = vocab.train_bpe(frame(spark, chunks), 20)
     assert rules == bpe_by_hand(chunks, 20)
     assert rules[:8] == vocab.train_bpe(frame(spark, chunks), 8, batch=False)
 
 
+@pytest.mark.parametrize("held", [6, 40])
+def test_few_held_counts_change_nothing(spark, held, monkeypatch):
+    """The driver may hold any number of pairs; beyond them it counts anew. Poor guesses cost rounds only."""
+    rng = random.Random(held)
+    chunks = {"".join(rng.choices("abcd", k=rng.randrange(2, 12))): rng.randrange(1, 4) for _ in range(50)}
+    monkeypatch.setattr(vocab, "_SAMPLE", 5)
+    assert vocab.train_bpe(frame(spark, chunks), 15, held=held) == bpe_by_hand(chunks, 15)
+
+
+def test_lookups_by_the_index_find_every_chunk(spark, monkeypatch):
+    """With every round answered from the index, and with symbols of control characters, which are letters like others."""
+    rng = random.Random(5)
+    chunks = {"".join(rng.choices("a\x01\x02b😀e\u0301", k=rng.randrange(1, 9))): rng.randrange(1, 9) for _ in range(40)}
+    monkeypatch.setattr(vocab, "_SCAN", 0)
+    assert vocab.train_bpe(frame(spark, chunks), 15) == bpe_by_hand(chunks, 15)
+
+
+def test_two_hundred_merges_of_the_corpus(spark):
+    chunks = {r.chunk: r["count"] for r in vocab.chunk_counts(
+        spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)).collect()}
+    assert vocab.train_bpe(frame(spark, chunks), 200) == bpe_by_hand(chunks, 200)
+
+
 def test_chunks_end_at_marks_and_symbols(spark):
     df = spark.createDataFrame([("ab་cd (x) ab་",)], "text string")
     got = {r.chunk: r["count"] for r in vocab.chunk_counts(df, marks=("་",)).collect()}
