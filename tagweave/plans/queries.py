@@ -958,28 +958,27 @@ def pair_counts(spark, folder):
 
 
 _MERGES = 1000
-# one merge a round: a table of chunks (c), pair counts (p) and merges (m) by key, of which a round replaces what changes
-_BEST = """SELECT b AS l, c AS r FROM recurring.rounds WHERE kind = 'p' AND n > 0
-    ORDER BY n DESC, length(b || c), b || c, b LIMIT 1"""
-_LISTED = "unnest([[s[i], s[i + 1]] for i in range(1, len(s))])"
+# one merge a round, over a table of chunks (c), pair counts (p) and merges (m), of which a round replaces what changes;
+# a chunk is written with every symbol between two signs
+_TORN = """unnest([[q[i], q[i + 1]] for i in range(1, len(q))]) AS p, {w} AS k FROM (
+    SELECT string_split({s}[2:-2], chr(2) || chr(1)) AS q, w FROM changed)"""
 
 
 @query("WITH RECURSIVE " + ", ".join(f"{n} AS ({t})" for n, t in _CHUNKS.items()) + f""",
-rounds(kind, a, b, c, n) USING KEY (kind, a, b, c) AS (
+rounds(kind, a, b, c, n, s, w) USING KEY (kind, a, b, c) AS (
   SELECT * FROM (
-    SELECT 'c' AS kind, chunk AS a, '' AS b, '' AS c, 0::BIGINT AS n, string_split(chunk, '') AS s, n AS w FROM chunks WHERE length(chunk) > 1
-    UNION ALL SELECT 'p', '', p[1], p[2], sum(n)::BIGINT, NULL, NULL FROM (SELECT {_LISTED} AS p, n FROM states) GROUP BY p[1], p[2]
+    SELECT 'c' AS kind, chunk AS a, '' AS b, '' AS c, 0::BIGINT AS n,
+        chr(1) || array_to_string(string_split(chunk, ''), chr(2) || chr(1)) || chr(2) AS s, n AS w FROM chunks WHERE length(chunk) > 1
+    UNION ALL SELECT 'p', '', "left", "right", "count", NULL, NULL FROM ({_PAIRS})
     UNION ALL SELECT 'm', '', '', '', 0, NULL, NULL)
   UNION (WITH
-    best AS MATERIALIZED ({_BEST}),
+    best AS MATERIALIZED (SELECT b AS l, c AS r, chr(1) || b || chr(2) || chr(1) || c || chr(2) AS apart, chr(1) || b || c || chr(2) AS joined
+      FROM recurring.rounds WHERE kind = 'p' AND n > 0 ORDER BY n DESC, length(b || c), b || c, b LIMIT 1),
     step AS MATERIALIZED (SELECT n + 1 AS i FROM recurring.rounds WHERE kind = 'm' AND a = ''),
-    now AS MATERIALIZED (SELECT a, w, s AS old, string_split(replace(replace(chr(1) || array_to_string(s, chr(2) || chr(1)) || chr(2),
-        chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2))[2:-2], chr(2) || chr(1), chr(2)), chr(2)) AS s
-      FROM recurring.rounds, best WHERE kind = 'c' AND list_contains(s, l) AND list_contains(s, r)),
-    changed AS MATERIALIZED (SELECT * FROM now WHERE len(s) < len(old)),
-    moved AS (SELECT p[1] AS b, p[2] AS c, sum(k)::BIGINT AS k FROM (
-        SELECT {_LISTED} AS p, w AS k FROM changed UNION ALL SELECT {_LISTED} AS p, -w FROM (SELECT old AS s, w FROM changed))
-      GROUP BY 1, 2)
+    changed AS MATERIALIZED (SELECT a, w, x.s AS old, replace(x.s, apart, joined) AS s
+      FROM recurring.rounds x, best WHERE kind = 'c' AND contains(x.s, apart)),
+    moved AS MATERIALIZED (SELECT p[1] AS b, p[2] AS c, sum(k)::BIGINT AS k FROM (
+        SELECT {_TORN.format(s="s", w="w")} UNION ALL SELECT {_TORN.format(s="old", w="-w")}) GROUP BY 1, 2)
     SELECT * FROM (
       SELECT 'c', a, '', '', 0::BIGINT, s, w FROM changed
       UNION ALL SELECT 'p', '', m.b, m.c, coalesce(o.n, 0) + k, NULL, NULL FROM moved m
@@ -988,8 +987,7 @@ rounds(kind, a, b, c, n) USING KEY (kind, a, b, c) AS (
       UNION ALL SELECT 'm', '', '', '', i, NULL, NULL FROM best, step)
     WHERE (SELECT i FROM step) <= {_MERGES})
 )
-SELECT (n - 1)::BIGINT AS rank, b AS "left", c AS "right" FROM rounds WHERE kind = 'm' AND a <> ''""".replace(
-    "rounds(kind, a, b, c, n)", "rounds(kind, a, b, c, n, s, w)"))
+SELECT (n - 1)::BIGINT AS rank, b AS "left", c AS "right" FROM rounds WHERE kind = 'm' AND a <> ''""")
 def train_bpe(spark, folder):
     """A thousand merges of the whole corpus, in order."""
     chunks = settle(vocab.chunk_counts(fx.documents(spark, folder)))
