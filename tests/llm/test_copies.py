@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,7 +117,7 @@ def share(a, b):
     return plain_distance(a, b) / max(len(a), len(b))
 
 
-def brute_lines(rows):
+def brute_lines(rows, distance=3):
     norm = lines.norm_of
     names = {}
     for _, text in rows:
@@ -125,6 +126,8 @@ def brute_lines(rows):
                 names.setdefault(norm(line), len(names))
     words = list(names)
     sims = [int(s) & (1 << 64) - 1 for s in lines.sketched(words, 1)[3]]
+    bags = [Counter(w.split(" ")) for w in words]
+    sizes = [b.total() for b in bags]
     root = list(range(len(words)))
 
     def find(x):
@@ -132,7 +135,12 @@ def brute_lines(rows):
             x = root[x]
         return x
     for a, b in itertools.combinations(range(len(words)), 2):
-        if (sims[a] ^ sims[b]).bit_count() <= 3 and lines.SIMILARITY <= 1 - share(words[a], words[b]) + 1e-9:
+        # words that two lines do not share have to be edited, so most pairs need no full comparison
+        most = max(sizes[a], sizes[b])
+        near = (min(sizes[a], sizes[b]) >= lines.SIMILARITY * most - 1e-9
+                and (bags[a] & bags[b]).total() >= lines.SIMILARITY * most - 1e-9 if distance is None
+                else (sims[a] ^ sims[b]).bit_count() <= distance)
+        if near and lines.SIMILARITY <= 1 - share(words[a], words[b]) + 1e-9:
             root[find(b)] = find(a)
     seen, out = set(), []
     for key, text in sorted(rows):
