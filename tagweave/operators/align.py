@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tagweave.operators.batches import whole_groups
 from tagweave.operators.runs import MASK, WORD_END
 from tagweave.operators.scan import BLOCK, running_sums
 from tagweave.operators.tags import BAD, OK
 
 SECTION = ("doc_id", "section_pos")
-WIDTH = 32
+#: Characters of a section that one block holds.
+WIDTH = 1 << 14
 
 
 def word_spans(df: DataFrame, section: Sequence[str] = SECTION, order: Sequence[str] = ("pos",),
@@ -31,63 +36,102 @@ def token_spans(pieces: DataFrame, section: Sequence[str] = SECTION, order: Sequ
 
 def fixed_pieces(sections: DataFrame, width: int = 4, section: Sequence[str] = SECTION,
                  text: str = "text") -> DataFrame:
-    """Cut the text of each section into pieces of `width` characters: (section, idx, value)."""
+    """Cut the text of each section into pieces of `width` characters: (section, idx, value, start, end).
+
+    Where the pieces are all of one width their spans are known as they are cut; `token_spans` finds the spans of any pieces.
+    """
     starts = F.sequence(F.lit(1), F.length(text), F.lit(width))
     cut = sections.filter(F.length(text) > 0).select(*section, text, F.posexplode(starts).alias("idx", "__at"))
-    return cut.select(*section, F.col("idx").cast("long"), F.substring(F.col(text), F.col("__at"), F.lit(width)).alias("value"))
-
-
-def _bucket(place: str, width: int) -> Column:
-    return F.expr(f"({place}) div {int(width)}")
+    start = (F.col("__at") - 1).cast("long")
+    return cut.select(*section, F.col("idx").cast("long"), F.substring(F.col(text), F.col("__at"), F.lit(width)).alias("value"),
+                      start.alias("start"), F.least(start + width, F.length(text).cast("long")).alias("end"))
+
+
+def _overlapping(section: Sequence[str], rest: Sequence[str], word_end: str):
+    """Labels of the tokens of a block from its words: one search over sorted places serves all blocks of a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, firsts in whole_groups(batches, [*section, "__blk"]):
+            start, end = rows.column("__start").to_numpy(), rows.column("__end").to_numpy()
+            is_word = rows.column("__word").to_numpy(zero_copy_only=False)
+            group = np.zeros(len(start), np.int64)
+            group[firsts[1:]] = 1
+            group = np.cumsum(group)
+            # blocks are laid one after the other, so that spans of different ones never meet
+            low, high = np.minimum.reduceat(start, firsts), np.maximum.reduceat(end, firsts)
+            room = high - low + 2
+            shift = np.cumsum(room) - room - low
+            words, tokens = np.flatnonzero(is_word), np.flatnonzero(~is_word)
+            if not len(tokens):
+                continue
+            ws, we = start[words] + shift[group[words]], end[words] + shift[group[words]]
+            ts, te = start[tokens] + shift[group[tokens]], end[tokens] + shift[group[tokens]]
+            # words that can touch a token stand between the first that reaches beyond its start and the last that begins by its end
+            first = np.searchsorted(np.maximum.accumulate(we), ts, "right") if len(words) else np.zeros(len(ts), np.int64)
+            count = np.maximum(np.searchsorted(ws, te, "right") - first, 0)
+            token = np.repeat(np.arange(len(tokens)), count)
+            word = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+            over = (ws[word] < te[token]) & (we[word] > ts[token])
+            ends = (we[word] > ts[token]) & (we[word] <= te[token])
+            tags = rows.column("__tag").take(pa.array(words)).combine_chunks().dictionary_encode()
+            names = [word_end, *(t for t in tags.dictionary.to_pylist() if t is not None)]
+            order = sorted(set(names))
+            place = np.array([order.index(n) for n in names], np.int64)
+            code = tags.indices.fill_null(-2).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            over &= code[word] > 0  # a word without a tag gives no label
+            pairs = np.unique(np.concatenate([
+                token[over] * len(order) + place[code[word[over]]], token[ends] * len(order) + place[0]]).astype(np.int64))
+            sizes = np.bincount(pairs // len(order), minlength=len(tokens))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            found = pa.ListArray.from_arrays(offsets, pa.array(order, pa.string()).take(pa.array(pairs % len(order))))
+            kept = rows.select([*section, *rest]).take(pa.array(tokens)).combine_chunks()
+            yield from kept.append_column("__labels", found).to_batches()
+    return run
 
 
 def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequence[str] = SECTION,
                             idx: str = "idx", width: int = WIDTH, mask: str = MASK,
-                            word_end: str = WORD_END) -> DataFrame:
+                            word_end: str = WORD_END, longest: int | None = None) -> DataFrame:
     """Give every token the tags of the words it overlaps, and `word_end` if a word ends in it.
 
-    Spans meet through buckets of `width` characters, which hold few spans however long the section
-    is. A token of at most half a bucket goes to the bucket it starts in and the words go to every
-    bucket such a token can reach them from, so one join gives all its labels. Longer tokens go to all
-    buckets they touch and are gathered by a second shuffle. Both inputs are read more than once: store
-    them where they are costly. Labels are upper-cased,
-    distinct, sorted and joined with `+`; a token without a match gets `mask`.
+    One shuffle: sections are cut into blocks of `width` characters; a token goes to the block it starts in, a word to
+    all blocks it touches and to the one before if it starts near a border, and a sweep over the sorted spans of a
+    block gives its labels, however long the section is. Tokens longer than half a block go to all blocks they touch and
+    are gathered by a second shuffle; where `longest` says that there are none, that part of the plan is left out.
+    Labels are upper-cased, distinct, sorted and joined with `+`; a token without a match gets `mask`.
     """
     section = list(section)
-    reach = max(1, width // 2)
-    spans = words.select(*section, F.col("start").alias("__ws"), F.col("end").alias("__we"),
-                         F.upper("tag").alias("__tag"))
-    # words that take room tile the section; only empty ones can pile up at one place
-    spans = spans.filter("__we > __ws").unionByName(spans.filter("__we = __ws").distinct())
-    size = F.col("end") - F.col("start")
-    keep = [c for c in tokens.columns if c not in (*section, idx)]
-
-    short = tokens.filter(size <= reach).withColumn("__bucket", _bucket("start", width))
-    near = spans.withColumn("__bucket", F.explode(F.sequence(
-        _bucket(f"greatest(__ws - {reach}, 0)", width), _bucket("__we", width))))
-    long = tokens.filter(size > reach).withColumn("__bucket", F.explode(F.sequence(
-        _bucket("start", width), _bucket("end", width))))
-    wide = spans.withColumn("__bucket", F.explode(F.sequence(_bucket("__ws", width), _bucket("__we", width))))
-
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Labels of each token from the words of its bucket, at most a few dozen."""
-        at_hand = right.groupBy(*section, "__bucket").agg(
-            F.collect_list(F.struct("__ws", "__we", "__tag")).alias("__words"))
-        def overlaps(w: Column) -> Column:
-            return (w["__ws"] < F.col("end")) & (w["__we"] > F.col("start"))
-        def ends(w: Column) -> Column:
-            return (w["__we"] > F.col("start")) & (w["__we"] <= F.col("end"))
-        over = F.transform(F.filter("__words", overlaps), lambda w: w["__tag"])
-        found = F.when(F.exists("__words", ends), F.array_append(over, F.lit(word_end))).otherwise(over)
-        none = F.slice(F.array(F.lit("")), 1, 0)
-        return left.join(at_hand, [*section, "__bucket"], "left").select(
-            *section, idx, *keep, F.coalesce(found, none).alias("__labels"))
-
-    apart = met(long, wide).groupBy(*section, idx, *keep).agg(
-        F.flatten(F.collect_list("__labels")).alias("__labels"))
-    joined = F.array_join(F.sort_array(F.array_distinct("__labels")), "+")
-    return met(short, near).unionByName(apart).select(
-        *section, idx, *keep, F.when(F.size("__labels") > 0, joined).otherwise(F.lit(mask)).alias("label"))
+    reach = width // 2
+    if longest is not None and longest > reach:
+        longest = None
+    rest = [c for c in tokens.columns if c not in section]
+    blocks = T.StructType([T.StructField(c, tokens.schema[c].dataType) for c in [*section, *rest]])
+    schema = T.StructType([*blocks.fields, T.StructField("__labels", T.ArrayType(T.StringType()))])
+    spans = words.select(*section, F.col("start").cast("long").alias("__start"), F.col("end").cast("long").alias("__end"),
+                         F.upper("tag").alias("__tag"), F.lit(True).alias("__word"))
+    places = tokens.select(*section, *rest, F.col("start").cast("long").alias("__start"), F.col("end").cast("long").alias("__end"),
+                           F.lit(False).alias("__word"))
+
+    def block(place: str) -> Column:
+        return F.expr(f"({place}) div {int(width)}")
+
+    def swept(pieces: DataFrame, near: DataFrame) -> DataFrame:
+        both = pieces.unionByName(near, allowMissingColumns=True).repartition(*section, "__blk")
+        columns = [*section, *rest, "__blk", "__start", "__end", "__word", "__tag"]
+        return both.select(*columns).sortWithinPartitions(*section, "__blk", "__start", "__end").mapInArrow(
+            _overlapping(section, rest, word_end), schema)
+
+    touched = F.explode(F.sequence(block(f"greatest(__start - {reach}, 0)"), block("__end")))
+    short = places if longest is not None else places.filter(F.col("__end") - F.col("__start") <= reach)
+    labelled = swept(short.withColumn("__blk", block("__start")), spans.withColumn("__blk", touched))
+    if longest is None:
+        whole = F.explode(F.sequence(block("__start"), block("__end")))
+        long = places.filter(F.col("__end") - F.col("__start") > reach).withColumn("__blk", whole)
+        apart = swept(long, spans.withColumn("__blk", whole)).groupBy(*section, *rest).agg(
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("__labels")))).alias("__labels"))
+        labelled = labelled.unionByName(apart)
+    keep = [c for c in rest if c != idx]
+    return labelled.select(*section, idx, *keep, F.when(F.size("__labels") > 0, F.array_join("__labels", "+")).otherwise(
+        F.lit(mask)).alias("label"))
 
 
 def align_pieces(pieces: DataFrame, words: DataFrame, section: Sequence[str] = SECTION,

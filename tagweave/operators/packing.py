@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.operators.batches import whole_groups
 from tagweave.operators.joins import attach, keep_matching
 from tagweave.operators.runs import ordered
 from tagweave.operators.sampling import coin, order_hash
@@ -28,29 +29,6 @@ from tagweave.session import settle
 BLOCK_TOKENS = 1 << 16
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by the keys, cut only between groups, with the first row of each group."""
-    held = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        firsts = _firsts(held, keys)
-        if len(firsts) > 1:
-            yield held.slice(0, firsts[-1]).combine_chunks(), firsts[:-1]
-            held = held.slice(firsts[-1])
-    if held is not None and held.num_rows:
-        yield held.combine_chunks(), _firsts(held, keys)
-
-
-def _firsts(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
-    changed = np.zeros(rows.num_rows, bool)
-    changed[:1] = True
-    for key in keys:
-        values = rows.column(key).to_pandas().to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(changed)
-
-
 def _jumps(rows: pa.Table, firsts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """For each line: the last line of a sequence that opens there, and the line after it (the row count where none).
 
@@ -71,7 +49,7 @@ def _jumps(rows: pa.Table, firsts: np.ndarray, gap: int) -> tuple[np.ndarray, np
 def _exits(part: str, budget: int, block: int):
     """For each line at which a block may be entered: where the chain leaves the block, and its last opening in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, firsts in _whole_groups(batches, [part, "blk"]):
+        for rows, firsts in whole_groups(batches, [part, "blk"]):
             last, following = _jumps(rows, firsts, budget + 1)
             at, size, blk = (rows.column(c).to_numpy() for c in ("at", "size", "blk"))
             inside = np.append(at // block == blk, False)
@@ -93,7 +71,7 @@ def _exits(part: str, budget: int, block: int):
 def _marked(part: str, budget: int):
     """Add to each line the opening of its sequence."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, firsts in _whole_groups(batches, [part, "blk"]):
+        for rows, firsts in whole_groups(batches, [part, "blk"]):
             _, to = _jumps(rows, firsts, budget + 1)
             at, n = rows.column("at").to_numpy(), rows.num_rows
             entry = rows.column("entry").to_pandas().to_numpy()

@@ -199,11 +199,16 @@ def _section_spans(rows):
     return align.word_spans(rows)
 
 
-def _section_pieces(rows):
+def _cut_sections(rows):
     """Pieces of four characters of the joined sections."""
     sections = rows.groupBy("doc_id", "section_pos").agg(runs.ordered(["pos"], F.col("word")).alias("i")).select(
         "doc_id", "section_pos", F.array_join("i.v0", "").alias("text"))
-    return align.token_spans(settle(align.fixed_pieces(sections)))
+    return align.fixed_pieces(sections)
+
+
+def _section_pieces(rows):
+    """The pieces with spans found from their running lengths."""
+    return align.token_spans(settle(_cut_sections(rows).drop("start", "end")))
 
 
 _STATUS = """SELECT doc_id, section_pos, count(*) AS words, CASE WHEN bool_and(we % 4 = 0 OR we = total) THEN 'ok'
@@ -294,7 +299,7 @@ FROM pieces p LEFT JOIN spans s ON s.doc_id = p.doc_id AND s.section_pos = p.sec
 GROUP BY p.doc_id, p.section_pos, p.idx, p.value""", **_SPANS))
 def label_tokens_by_overlap(spark, folder):
     rows = _section_rows(spark, folder)
-    labelled = align.label_tokens_by_overlap(settle(_section_pieces(rows)), settle(_section_spans(rows)))
+    labelled = align.label_tokens_by_overlap(_cut_sections(rows), _section_spans(rows), longest=4)
     return labelled.select("doc_id", "section_pos", "idx", "value", "label")
 
 

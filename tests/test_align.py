@@ -54,6 +54,30 @@ def test_labels_by_overlap(spark, width):
     assert not got
 
 
+def test_overlap_takes_one_shuffle_of_its_own(spark):
+    words, pieces = tilings(4)
+    w, p, _ = frames(spark, words, pieces)
+    exchanges = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (
+        w, p, align.label_tokens_by_overlap(p, w, longest=20))]
+    assert exchanges[2] == exchanges[0] + exchanges[1] + 1
+
+
+def test_spans_that_overlap_each_other_or_cross_many_blocks(spark):
+    rng = random.Random(9)
+    spans = {kind: [(s, i, a, a + rng.randrange(0, 40)) for s in range(4) for i in range(60) for a in [rng.randrange(200)]]
+             for kind in "wp"}
+    w = spark.createDataFrame([(s, 0, i, a, b, "t%d" % (i % 9)) for s, i, a, b in spans["w"]],
+                              "doc_id int, section_pos long, pos long, start long, end long, tag string")
+    p = spark.createDataFrame([(s, 0, i, a, b) for s, i, a, b in spans["p"]],
+                              "doc_id int, section_pos long, idx long, start long, end long")
+    for width in (8, 64, 1 << 14):
+        got = {(r.doc_id, r.idx): r.label for r in align.label_tokens_by_overlap(p, w, width=width).collect()}
+        for s, i, a, b in spans["p"]:
+            labels = {f"T{k % 9}" for t, k, c, d in spans["w"] if t == s and c < b and d > a}
+            labels |= {WORD_END for t, _, c, d in spans["w"] if t == s and a < d <= b}
+            assert got[s, i] == ("+".join(sorted(labels)) or MASK)
+
+
 def test_pieces_to_words(spark):
     w = spark.createDataFrame([("good", 0, 0, "ab"), ("good", 0, 1, "cde"), ("bad", 0, 0, "abc"), ("bad", 0, 1, "d"),
                                ("empty", 0, 0, ""), ("empty", 0, 1, "ab")],
