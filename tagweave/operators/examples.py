@@ -65,7 +65,7 @@ def walks(words: DataFrame, dupe_count: int = 0, dupe_offset: int = 3, index: st
 
 def truncate_pad(df: DataFrame, max_len: int = 128, pad: int = 0, ignore: int = IGNORED,
                  tokens: str = "tokens", labels: str = "label_ids") -> DataFrame:
-    """Equal-length model inputs: long sequences are cut, short ones padded."""
+    """Equal-length model inputs: long sequences are cut, short ones padded; `cut` is the number of tokens left out."""
     missing = F.greatest(F.lit(max_len) - F.size(tokens), F.lit(0))
     kept = F.least(F.lit(max_len), F.size(tokens))
     def fill(items: Column, filler: int, kind: str) -> Column:
@@ -76,7 +76,8 @@ def truncate_pad(df: DataFrame, max_len: int = 128, pad: int = 0, ignore: int =
         fill(F.col(tokens), pad, "int").alias("input_ids"),
         fill(F.col(labels), ignore, "int").alias("label_ids"),
         F.concat(F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
-        F.array_repeat(F.lit(0), max_len).alias("token_type_ids"))
+        F.array_repeat(F.lit(0), max_len).alias("token_type_ids"),
+        F.greatest(F.size(tokens) - max_len, F.lit(0)).alias("cut"))
 
 
 def build_label_map(df: DataFrame, label: str = "label", extra: Sequence[str] = ()) -> DataFrame:

@@ -798,12 +798,12 @@ def walks(spark, folder):
 SELECT doc_id, line_no, array_to_string([CASE WHEN i < n THEN tokens[i + 1] ELSE 0 END for i in range(32)], ' ') AS input_ids,
     array_to_string([CASE WHEN i < n THEN labels[i + 1] ELSE -100 END for i in range(32)], ' ') AS label_ids,
     array_to_string([CASE WHEN i < n THEN 1 ELSE 0 END for i in range(32)], ' ') AS attention_mask,
-    array_to_string([0 for i in range(32)], ' ') AS token_type_ids FROM (SELECT *, len(tokens) AS n FROM ex)""",
+    array_to_string([0 for i in range(32)], ' ') AS token_type_ids, greatest(n - 32, 0)::INT AS cut FROM (SELECT *, len(tokens) AS n FROM ex)""",
               ex=_LINE_EXAMPLES))
 def truncate_pad(spark, folder):
     rows = examples.truncate_pad(_line_examples(spark, folder), 32, labels="labels")
     return rows.select("doc_id", "line_no", *[lab.token_key(F.col(c)).alias(c) for c in (
-        "input_ids", "label_ids", "attention_mask", "token_type_ids")])
+        "input_ids", "label_ids", "attention_mask", "token_type_ids")], "cut")
 
 
 @query(fx.sql("tagged", """
