@@ -90,8 +90,8 @@ def test_packing(spark):
 def test_padding(spark):
     df = spark.createDataFrame([([1, 2, 3], [7, 8, 9]), ([1], [7])], "tokens array<int>, label_ids array<int>")
     rows = examples.truncate_pad(df, 2).collect()
-    assert tuple(rows[0]) == ([1, 2], [7, 8], [1, 1], [0, 0])
-    assert tuple(rows[1]) == ([1, 0], [7, -100], [1, 0], [0, 0])
+    assert tuple(rows[0]) == ([1, 2], [7, 8], [1, 1], [0, 0], 1)
+    assert tuple(rows[1]) == ([1, 0], [7, -100], [1, 0], [0, 0], 0)
 
 
 def test_walks_and_copies(spark):
