@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,19 +61,25 @@ def drop_matching(big: DataFrame, keys: DataFrame, on: Sequence[str], **options)
     return attach(big, keys.select(*on), on, "left_anti", **options)
 
 
-def settled_distinct(df: DataFrame) -> DataFrame:
-    """Distinct rows as a table: the planner would else move the aggregate above the join of raw rows."""
-    return settle(df.distinct())
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of both with the sides they are on (`__a`, `__b`).
+
+    One aggregate over the union: rows are reduced where they are read and no raw row meets another in a join.
+    Columns go by position, nulls are equal.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    both = a.select("*", yes.alias("__a"), no.alias("__b")).union(b.select("*", no, yes))
+    return both.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.bool_or("__a").alias("__a"), F.bool_or("__b").alias("__b"))
 
 
 def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of `a` that are not in `b`; both sides are reduced before they meet."""
-    return settled_distinct(a).subtract(settled_distinct(b))
+    return _sides(a, b).filter(~F.col("__b")).drop("__a", "__b")
 
 
 def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of both; reduced before they meet."""
-    return settled_distinct(a).intersect(settled_distinct(b))
+    return _sides(a, b).filter(F.col("__a") & F.col("__b")).drop("__a", "__b")
 
 
 def label_universe(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -110,6 +116,29 @@ def oov_occurrences(test_words: DataFrame, train_vocab: DataFrame, example: str
                        *[F.col(f"__first.{c}").alias(c) for c in rest])
 
 
+def occurrence_counts(words: DataFrame, trained: Column, example: str = "example_id", word: str = "key",
+                      position: str = "word_pos",
+                      values: Sequence[str] = ("tokens", "predictions", "labels")) -> DataFrame:
+    """How often each test word comes with the same values, and whether training saw it.
+
+    `trained` says which rows are training ones; they only tell which words were seen (null: a test row).
+    Returns one row per word and values: `n` occurrences, `n_first` of them the first of their word in an example,
+    and `seen`. The input is read once and nothing is joined: of the training rows one per word is left before the
+    first shuffle, and the windows run over counts, so neither a word nor an example that holds a third of all rows
+    is a large group. Positions are unique in an example; null words and values are values like others.
+    """
+    trained = F.coalesce(trained, F.lit(False))
+    rows = words.select(F.col(word), trained.alias("__trained"),
+                        *[F.when(~trained, F.col(c)).alias(c) for c in (example, position, *values)])
+    places = rows.groupBy("__trained", example, word, *values).agg(
+        F.min(position).alias("__at"), F.count(F.lit(1)).alias("n"))
+    earliest = F.min("__at").over(Window.partitionBy("__trained", example, word))
+    counts = places.withColumn("__first", (F.col("__at") == earliest).cast("long")).groupBy(
+        "__trained", word, *values).agg(F.sum("n").alias("n"), F.sum("__first").alias("n_first"))
+    seen = F.max("__trained").over(Window.partitionBy(word))
+    return counts.withColumn("seen", seen).filter(~F.col("__trained")).select(word, *values, "n", "n_first", "seen")
+
+
 def explode_occurrences(occurrences: DataFrame, tokens: str = "tokens", predictions: str = "predictions",
                         labels: str = "labels", keep: Sequence[str] = ("example_id", "word_pos", "key")) -> DataFrame:
     """Occurrences to one row per token with its prediction and label."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.operators.joins import explode_occurrences
 from tagweave.operators.runs import MASK
-from tagweave.operators.scan import BLOCK, running
+from tagweave.operators.scan import BLOCK, _names, running
 from tagweave.operators.tags import IGNORED, as_map
 
 NO_NAME = "WTF"
@@ -19,13 +20,38 @@ def confusion_counts(df: DataFrame, y_true: str = "label", y_pred: str = "pred")
     return df.groupBy(F.col(y_true).alias("label"), F.col(y_pred).alias("pred")).count()
 
 
-def _label_totals(confusion: DataFrame) -> DataFrame:
+#: What each scope counts of an occurrence: every token, those of words that training saw, and for words that it
+#: never saw their first occurrence in each example.
+SCOPES = {"all": "n", "seen": "if(seen, n, 0)", "unseen": "if(seen, 0, n_first)"}
+
+
+def scoped_confusion(occurrences: DataFrame, scopes: Mapping[str, str] = SCOPES) -> DataFrame:
+    """Confusion counts per scope, (scope, label, pred, count), from `joins.occurrence_counts`.
+
+    `scopes` names counts as SQL over the columns `n`, `n_first` and `seen`. All scopes come from one pass over the tokens;
+    a label without a prediction, or the other way round, is counted with a null. Pairs that a scope never counts
+    give no row.
+    """
+    tokens = explode_occurrences(occurrences, keep=("n", "n_first", "seen"))
+    pairs = tokens.groupBy("seen", "label", F.col("prediction").alias("pred")).agg(
+        F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
+    each = [F.struct(F.lit(name).alias("scope"), F.expr(count).cast("long").alias("count")) for name, count in scopes.items()]
+    return pairs.select("label", "pred", F.inline(F.array(*each))).filter("count > 0").groupBy(
+        "scope", "label", "pred").agg(F.sum("count").alias("count"))
+
+
+def labels_of_scopes(labels: DataFrame, scopes: Iterable[str] = SCOPES) -> DataFrame:
+    """Every label once per scope, as `prf_per_label(..., by="scope")` takes them."""
+    return labels.withColumn("scope", F.explode(F.array(*[F.lit(name) for name in scopes])))
+
+
+def _label_totals(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     n, none = F.col("count"), F.lit(0).cast("long")
     hits = F.when(F.col("label").eqNullSafe(F.col("pred")), n).otherwise(none)
     roles = F.array(F.struct(F.col("label"), n.alias("support"), none.alias("predicted"), hits.alias("tp")),
                     F.struct(F.col("pred").alias("label"), none.alias("support"), n.alias("predicted"), none.alias("tp")))
     # both roles of a row in one pass
-    return confusion.select(F.inline(roles)).groupBy("label").agg(
+    return confusion.select(*by, F.inline(roles)).groupBy(*by, "label").agg(
         F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("support").alias("support"))
 
 
@@ -34,23 +60,24 @@ def _ratio(top: Column, bottom: Column, zero_division: float) -> Column:
 
 
 def prf_per_label(confusion: DataFrame, labels: DataFrame | None = None, zero_division: float = 0.0,
-                  swap: bool = False) -> DataFrame:
-    """Precision, recall, F1 and support of every label.
+                  swap: bool = False, by: str | Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support of every label, within each group of the columns `by`.
 
     `labels` (one column) lists the labels to report, also those that never occur; by default those
-    seen in either role. `swap` takes the predictions as the truth, as two of the reports compared
+    seen in either role. With `by` it has those columns after the label. `swap` takes the predictions as the truth, as two of the reports compared
     here do.
     """
-    totals = _label_totals(confusion)
+    by = _names(by)
+    totals = _label_totals(confusion, by)
     if swap:
-        totals = totals.select("label", "tp", F.col("support").alias("predicted"),
+        totals = totals.select(*by, "label", "tp", F.col("support").alias("predicted"),
                                F.col("predicted").alias("support"))
     if labels is not None:
-        wanted = labels.select(F.col(labels.columns[0]).alias("label")).distinct()
-        totals = wanted.join(totals, "label", "left").fillna(0, ["tp", "predicted", "support"])
+        wanted = labels.select(F.col(labels.columns[0]).alias("label"), *by).distinct()
+        totals = wanted.join(totals, ["label", *by], "left").fillna(0, ["tp", "predicted", "support"])
     tp, predicted, support = (F.col(c) for c in ("tp", "predicted", "support"))
     return totals.select(
-        "label",
+        *by, "label",
         _ratio(tp, predicted, zero_division).alias("precision"),
         _ratio(tp, support, zero_division).alias("recall"),
         _ratio(2 * tp, predicted + support, zero_division).alias("f1"),
@@ -71,23 +98,25 @@ def prf_weighted(confusion: DataFrame, swap: bool = False, zero_division: float
                     total.alias("support"))
 
 
-def metrics_report(per_label: DataFrame, names: DataFrame | Mapping[int, str], mask: str = MASK) -> DataFrame:
-    """Named metrics with the share of support.
+def metrics_report(per_label: DataFrame, names: DataFrame | Mapping[int, str], mask: str = MASK,
+                   by: str | Sequence[str] = ()) -> DataFrame:
+    """Named metrics with the share of support, within each group of the columns `by`.
 
     The mask row's share is of all rows, every other row's of the rows that are not mask. Labels
     without a name show as `NO_NAME`.
     """
+    by = _names(by)
     named = as_map(per_label, names, "label_id", "label", "label_id int, label string").select(
         F.col("label_id").alias("__id"), F.col("label").alias("tag"))
     rows = per_label.join(named, F.col("label") == F.col("__id"), "left").select(
-        F.col("label").alias("label_id"), F.coalesce("tag", F.lit(NO_NAME)).alias("tag"),
+        *by, F.col("label").alias("label_id"), F.coalesce("tag", F.lit(NO_NAME)).alias("tag"),
         "precision", "recall", "f1", "support")
     is_mask = F.col("tag") == mask
-    every = Window.partitionBy()  # one row per label
+    every = Window.partitionBy(*by)  # one row per label
     rest = F.coalesce(F.sum(F.when(~is_mask, F.col("support"))).over(every), F.lit(0))
     base = F.when(is_mask, F.sum("support").over(every)).otherwise(rest)
     share = F.when(base > 0, F.col("support") / base)
-    return rows.select("label_id", "tag", "precision", "recall", "f1", "support",
+    return rows.select(*by, "label_id", "tag", "precision", "recall", "f1", "support",
                         share.alias("support_share"), is_mask.alias("is_mask"))
 
 
@@ -96,10 +125,10 @@ def sorted_report(report: DataFrame) -> DataFrame:
     return report.orderBy(F.col("support").desc(), "label_id")
 
 
-def report_totals(report: DataFrame) -> DataFrame:
-    """Weighted averages over the rows that are not mask."""
+def report_totals(report: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
+    """Weighted averages over the rows that are not mask, one row per group of the columns `by`."""
     rest = report.filter(~F.col("is_mask"))
-    return rest.agg(*[F.sum(F.col(m) * F.col("support_share")).alias(m) for m in ("precision", "recall", "f1")])
+    return rest.groupBy(*_names(by)).agg(*[F.sum(F.col(m) * F.col("support_share")).alias(m) for m in ("precision", "recall", "f1")])
 
 
 def word_accuracy(df: DataFrame, mask, part: str = "example_id", order: str | Sequence[str] = "pos", label: str = "label",

@@ -88,6 +88,23 @@ def example_words(spark: SparkSession, folder: str) -> DataFrame:
     return split_bernoulli(named, 0.1, SEED)
 
 
+def scored_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of the sections with labels and predictions per token: `example_words` and key, labels, predictions.
+
+    The first token has the tag and its prediction (wrong for every seventh word), the others are masks; in every
+    eleventh word the tag is predicted for them as well.
+    """
+    rows = example_words(spark, folder)
+    n = F.size("tokens")
+    names = F.array(*[F.lit(name) for name in NAMES])
+    wrong = (F.col("tag") != runs.PUNCT) & (F.col("word_pos") % 7 == 0)
+    first = F.when(wrong, F.element_at(names, (n + 1) % len(NAMES) + 1)).otherwise(F.col("tag"))
+    later = F.when(F.col("word_pos") % 11 == 0, F.col("tag")).otherwise(runs.MASK)
+    return rows.select("example_id", "word_pos", "split", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("key"),
+                       "tokens", F.concat(F.array("tag"), F.array_repeat(F.lit(runs.MASK), n - 1)).alias("labels"),
+                       F.concat(F.array(first), F.array_repeat(later, n - 1)).alias("predictions"))
+
+
 def token_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Characters as tokens, labels in the word-end form: (doc_id, pos, piece, token, label).
 

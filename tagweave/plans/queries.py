@@ -492,6 +492,59 @@ def report_totals(spark, folder):
     return totals.select(*[F.round(m, 9).alias(m) for m in totals.columns])
 
 
+_SCOPES = {
+    "ew": """SELECT e.*, t.key IS NOT NULL AS seen, row_number() OVER (PARTITION BY example_id, e.key ORDER BY word_pos) = 1
+        AS leads FROM example_words e LEFT JOIN (SELECT DISTINCT key FROM example_words WHERE split = 'train') t
+        ON e.key = t.key WHERE split = 'test'""",
+    "tokens": f"""SELECT seen, leads, CASE WHEN piece = 0 THEN tag ELSE '[MASK]' END AS label,
+        CASE WHEN piece = 0 THEN CASE WHEN tag <> 'PUNCT' AND word_pos % 7 = 0
+            THEN ({fx._NAMES_SQL})[((n_tokens + 1) % 5 + 1)::INT] ELSE tag END
+            WHEN word_pos % 11 = 0 THEN tag ELSE '[MASK]' END AS pred
+        FROM (SELECT *, unnest(range(n_tokens)) AS piece FROM ew)""",
+    "conf": f"""SELECT scope, {_LABEL_CASE.format(c='label')} AS label, {_LABEL_CASE.format(c='pred')} AS pred, count(*) AS n
+        FROM (SELECT 'all' AS scope, label, pred FROM tokens UNION ALL SELECT 'seen', label, pred FROM tokens WHERE seen
+            UNION ALL SELECT 'unseen', label, pred FROM tokens WHERE leads AND NOT seen) GROUP BY ALL""",
+    "prf": """SELECT scope, i AS label,
+        coalesce((SELECT sum(n) FROM conf c WHERE c.scope = s.scope AND c.label = i AND c.pred = i), 0) AS tp,
+        coalesce((SELECT sum(n) FROM conf c WHERE c.scope = s.scope AND c.pred = i), 0) AS predicted,
+        coalesce((SELECT sum(n) FROM conf c WHERE c.scope = s.scope AND c.label = i), 0)::BIGINT AS support
+        FROM (VALUES ('all'), ('seen'), ('unseen')) s(scope), range(0, 9) r(i)""",
+    "named": """SELECT *, coalesce((MAP {0: 'NOUN', 1: 'PROPN', 2: 'VERB', 3: 'ADJ', 4: 'UNK', 5: 'PUNCT', 6: '[MASK]',
+        8: 'RARE'})[label], 'WTF') AS tag FROM prf""",
+    "report": """SELECT scope, label::INT AS label_id, tag, CASE WHEN predicted = 0 THEN 0 ELSE tp / predicted END AS precision,
+        CASE WHEN support = 0 THEN 0 ELSE tp / support END AS recall,
+        CASE WHEN predicted + support = 0 THEN 0 ELSE 2 * tp / (predicted + support) END AS f1, support,
+        support / nullif(CASE WHEN tag = '[MASK]' THEN sum(support) OVER (PARTITION BY scope)
+            ELSE sum(support) FILTER (tag <> '[MASK]') OVER (PARTITION BY scope) END, 0)::BIGINT AS support_share,
+        tag = '[MASK]' AS is_mask FROM named""",
+}
+
+
+def _scope_report(spark, folder):
+    found = joins.occurrence_counts(fx.scored_words(spark, folder), F.col("split") == "train")
+    counts = metrics.scoped_confusion(found)
+    for side in ("label", "pred"):
+        counts = tags.normalise_labels(counts, fx.LABELS, side, f"{side}_id", salt_by=["scope", "label", "pred"])
+    ids = counts.groupBy("scope", F.col("label_id").alias("label"), F.col("pred_id").alias("pred")).agg(
+        F.sum("count").alias("count"))
+    per_label = metrics.prf_per_label(ids, metrics.labels_of_scopes(_label_ids(spark)), by="scope")
+    return metrics.metrics_report(per_label, fx.LABELS, by="scope")
+
+
+@query(fx.sql("example_words", "SELECT * FROM report", **_SCOPES))
+def scope_report(spark, folder):
+    """Metrics of all words, of those that training saw and of those it never saw, in one pass."""
+    return _scope_report(spark, folder)
+
+
+@query(fx.sql("example_words", """
+SELECT scope, round(sum(precision * support_share), 9) AS precision, round(sum(recall * support_share), 9) AS recall,
+    round(sum(f1 * support_share), 9) AS f1 FROM report WHERE NOT is_mask GROUP BY scope""", **_SCOPES))
+def scope_totals(spark, folder):
+    totals = metrics.report_totals(_scope_report(spark, folder), by="scope")
+    return totals.select("scope", *[F.round(m, 9).alias(m) for m in ("precision", "recall", "f1")])
+
+
 @query(fx.sql("spread_rows", """
 SELECT count(*) FILTER (good) AS correct, count(*) AS words, count(*) FILTER (good) / count(*) AS accuracy FROM (
     SELECT doc_id, pos, bool_and(label = pred) AS good FROM spread_rows GROUP BY doc_id, pos)"""))

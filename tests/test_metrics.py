@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import metrics, stats
+from tagweave.operators import joins, metrics, stats
 from tagweave.operators.tags import IGNORED
 
 
@@ -78,3 +79,46 @@ def test_char_coverage(spark):
 def test_shares_by_part(spark):
     df = spark.createDataFrame([("x", 1), ("x", 3), ("y", 5)], "p string, support long")
     assert sorted(r.support_share for r in stats.support_share(df, part=["p"]).collect()) == [0.25, 0.75, 1.0]
+
+
+def test_scopes_by_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = []
+    for e in range(30):
+        for i in range(rng.randint(0, 12)):
+            n = rng.randint(1, 3)
+            labels = [rng.choice("ab")] + ["m"] * (n - 1)
+            rows.append((f"e{e}", i, rng.choice(["p", "q", "r", "s", "t", None]), list(range(n)),
+                         [rng.choice("abm") for _ in range(n)], labels, e % 5 == 0))
+    rows = [r for r in rows if not r[6] or r[2] in ("p", "q")]
+    schema = "example_id string, word_pos int, key string, tokens array<int>, predictions array<string>, labels array<string>, t boolean"
+    known = {r[2] for r in rows if r[6]}
+    want, met = Counter(), set()
+    for e, _, key, _, preds, labels, trained in rows:
+        if trained:
+            continue
+        first = (e, key) not in met
+        met.add((e, key))
+        for pair in zip(labels, preds):
+            want["all", *pair] += 1
+            if key in known:
+                want["seen", *pair] += 1
+            elif first:
+                want["unseen", *pair] += 1
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    counts = metrics.scoped_confusion(joins.occurrence_counts(df, F.col("t")))
+    assert {(r.scope, r.label, r.pred): r["count"] for r in counts.collect()} == want
+    empty = joins.occurrence_counts(df.filter("false"), F.col("t"))
+    assert metrics.scoped_confusion(empty).count() == 0
+    labels = metrics.labels_of_scopes(spark.createDataFrame([("a",), ("z",)], "label string"))
+    per = {(r.scope, r.label): r.support for r in metrics.prf_per_label(counts, labels, by="scope").collect()}
+    assert len(per) == 6 and per["unseen", "z"] == 0
+    assert per["seen", "a"] == sum(v for (s, l, _), v in want.items() if (s, l) == ("seen", "a"))
+
+
+def test_scopes_read_their_input_once(spark, tmp_path):
+    schema = "example_id string, word_pos int, key string, tokens array<int>, predictions array<string>, labels array<string>, t boolean"
+    spark.createDataFrame([("e", 0, "w", [1], ["a"], ["b"], False)], schema).write.parquet(str(tmp_path / "w"))
+    words = spark.read.parquet(str(tmp_path / "w"))
+    plan = metrics.scoped_confusion(joins.occurrence_counts(words, F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
