@@ -6,14 +6,14 @@ or another cluster gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LEVEL_BITS = 15
 _HASH_BITS = 60
-_SMALL = 10_000
 
 
 def order_hash(key: str | Sequence[str], seed: int | str) -> Column:
@@ -37,48 +37,45 @@ def split_bernoulli(df: DataFrame, frac: float = 0.1, seed: int = 0, key: str |
     return df.withColumn(out, F.when(coin(key, seed, frac), "test").otherwise("train"))
 
 
-def smallest(df: DataFrame, key: str | Sequence[str], seed: int, wanted) -> Column:
+def smallest(df: DataFrame, key: str | Sequence[str], seed: int, wanted: int | Callable[[Column], Column]) -> Column:
     """A condition that holds for exactly `wanted` rows, those of the smallest hash.
 
-    `wanted` is a number or a function of the row count. The hash range is narrowed by histograms of
-    at most 2^15 buckets, each counted with map-side combine, until the bucket with the last wanted
-    row is small enough to be ordered. No row is moved, and the result is a plain filter. The key
-    must be unique.
+    `wanted` is a number or a function of the row count (as a column). Nothing runs while the plan is built: the
+    limit is a scalar subquery of two scans of the key columns. The first counts the rows by the leading bits of
+    their hash, at most 2^15 counts a task, which bounds the rank of every hash; the second orders what is left, one
+    bucket of 2^15, in as many parts. What it holds, n / 2^15 keys of n rows, is sorted in parts of n / 2^30 and passed
+    on as one row per part. No row of `df` is moved, and the result is a plain filter. The key must be unique: where
+    copies of a key stand on both sides of the limit, the query ends with an error.
     """
     key = [key] if isinstance(key, str) else list(key)
-    h = order_hash(key, seed)
-    shift = _HASH_BITS
-    prefix, remaining, bucket = 0, None, None
-    while shift > 0:
-        within = df.filter(F.shiftright(h, shift) == prefix) if bucket is not None else df
-        shift -= _LEVEL_BITS
-        counted = within.groupBy(F.shiftright(h, shift).alias("b")).count().collect()
-        if remaining is None:
-            total = sum(r["count"] for r in counted)
-            remaining = min(wanted(total) if callable(wanted) else wanted, total)
-            if remaining <= 0:
-                return F.lit(False)
-            if remaining == total:
-                return F.lit(True)
-        for row in sorted(counted, key=lambda r: r["b"]):
-            if remaining <= row["count"]:
-                prefix, bucket = row["b"], row["count"]
-                break
-            remaining -= row["count"]
-        if bucket == remaining:
-            return h < F.lit((prefix + 1) << shift)
-        if bucket <= _SMALL:
-            break
-    at = F.struct(h.alias("h"), *key)
-    inside = F.shiftright(h, shift) == prefix
-    last = df.filter(inside).select(at.alias("at")).orderBy("at").limit(remaining).agg(
-        F.max("at").alias("at"), F.count(F.lit(1)).alias("n")).first()
-    limit = F.struct(F.lit(last["at"]["h"]).cast("long").alias("h"),
-                     *[F.lit(last["at"][k]).cast(df.schema[k].dataType).alias(k) for k in key])
-    chosen = (h < F.lit(prefix << shift)) | (inside & (at <= limit))
-    if df.filter(inside & (at <= limit)).count() != remaining:
-        raise ValueError(f"{key} is not unique, so no exact number of rows can be chosen by it")
-    return chosen
+    h, n, before = order_hash(key, seed), F.col("__n"), F.col("__upto") - F.col("__n")
+    wide, fine = _HASH_BITS - _LEVEL_BITS, _HASH_BITS - 2 * _LEVEL_BITS
+    at = F.struct(h.alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(key)])
+
+    def upto(part: str) -> Column:
+        # at most 2^15 rows
+        return F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0))
+
+    counts = df.groupBy(F.shiftright(h, wide).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.sum(n).over(Window.partitionBy())
+    goal = wanted(total) if callable(wanted) else F.lit(wanted)
+    ranked = counts.select("__b", "__n", upto("__b").alias("__upto"), F.least(goal.cast("long"), total).alias("__goal"))
+    band = ranked.filter((before < F.col("__goal")) & (F.col("__upto") >= F.col("__goal"))).select(
+        F.struct(F.col("__b").alias("b"), (F.col("__goal") - before).alias("rest"))).scalar()
+
+    parts = df.filter(F.shiftright(h, wide) == band["b"]).groupBy(F.shiftright(h, fine).alias("__b")).agg(
+        F.sort_array(F.collect_list(at)).alias("__keys"), F.first(band["rest"]).alias("__rest"))
+    placed = parts.withColumn("__n", F.size("__keys").cast("long")).withColumn("__upto", upto("__b"))
+    rest = (F.col("__rest") - before).cast("int")  # the place in its part of the last row wanted
+    last, following = F.get("__keys", rest - 1), F.get("__keys", rest)
+    copied = F.raise_error(F.lit(f"{key} is not unique, so no exact number of rows can be chosen by it"))
+    limit = placed.filter((rest > 0) & (rest <= n)).select(F.when(last == following, copied.cast(_type(df, key))).otherwise(last))
+    return F.coalesce(at <= limit.scalar(), F.lit(False))
+
+
+def _type(df: DataFrame, key: list[str]) -> T.StructType:
+    return T.StructType([T.StructField("h", T.LongType()),
+                         *[T.StructField(f"k{i}", df.schema[k].dataType) for i, k in enumerate(key)]])
 
 
 def split_exact(df: DataFrame, frac: float = 0.1, seed: int = 0, key: str | Sequence[str] = "example_id",
@@ -88,7 +85,7 @@ def split_exact(df: DataFrame, frac: float = 0.1, seed: int = 0, key: str | Sequ
         return df.withColumn(out, F.lit("train")).unionByName(test.withColumn(out, F.lit("test")))
     if frac <= 0:
         return df.withColumn(out, F.lit("train"))
-    chosen = smallest(df, key, seed, lambda n: int(frac * n))
+    chosen = smallest(df, key, seed, lambda n: F.floor(F.lit(float(frac)) * n))
     return df.withColumn(out, F.when(chosen, "test").otherwise("train"))
 
 

@@ -12,29 +12,42 @@ def ids(df):
     return {r.example_id for r in df.collect()}
 
 
-@pytest.mark.parametrize("small", [10_000, 1])
+@pytest.mark.parametrize("bits", [15, 4, 1])
 @pytest.mark.parametrize("wanted", [0, 1, 137, 999, 1000, 5000])
-def test_exactly_as_many_as_wanted(spark, monkeypatch, small, wanted):
-    monkeypatch.setattr(sampling, "_SMALL", small)
+def test_exactly_as_many_as_wanted(spark, monkeypatch, bits, wanted):
+    """With few bits the limit lies inside a bucket and inside one of its parts."""
+    monkeypatch.setattr(sampling, "_LEVEL_BITS", bits)
     df = rows(spark)
     got = ids(df.filter(sampling.smallest(df, "example_id", 5, wanted)))
     order = [r.example_id for r in df.orderBy(sampling.order_hash("example_id", 5)).collect()]
     assert got == set(order[:wanted])
 
 
-def test_coarse_buckets(spark, monkeypatch):
-    """Few buckets per level, so that the threshold is found inside a bucket."""
-    monkeypatch.setattr(sampling, "_LEVEL_BITS", 4)
-    for small in (10, 10_000):
-        monkeypatch.setattr(sampling, "_SMALL", small)
-        df = rows(spark)
-        assert len(ids(df.filter(sampling.smallest(df, "example_id", 5, 333)))) == 333
+def test_two_scans_and_none_while_the_plan_is_built(spark):
+    read = spark.sparkContext.accumulator(0)
 
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
 
-def test_copies_of_a_key_are_refused(spark):
+    df = rows(spark).mapInPandas(counted, "example_id long")
+    half = sampling.split_exact(df, 0.5, 1)
+    assert read.value == 0
+    assert half.filter("split = 'test'").count() == 500
+    assert read.value == 3 * 1000  # two to find the limit, one for the rows themselves
+
+
+@pytest.mark.parametrize("wanted", [1, 3, 9])
+def test_copies_of_a_key_are_refused(spark, wanted):
     df = spark.createDataFrame([(1,)] * 10, "example_id long")
-    with pytest.raises(ValueError):
-        sampling.smallest(df, "example_id", 0, 3)
+    with pytest.raises(Exception, match="not unique"):
+        df.filter(sampling.smallest(df, "example_id", 0, wanted)).collect()
+    assert df.filter(sampling.smallest(df, "example_id", 0, 10)).count() == 10
+
+
+def test_nothing_to_choose_from(spark):
+    assert sampling.sample_lines(spark.createDataFrame([], "doc_id long, line_no long"), 3).count() == 0
 
 
 def test_exact_split(spark):
