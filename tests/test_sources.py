@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import runs, tags
@@ -77,6 +78,49 @@ def test_only_missing_shards_are_built(spark, tmp_path):
     assert store.build_missing_shards(df, out, lambda d: d.withColumn("v", F.lit(0))).count() == 3
 
 
+def test_a_shard_without_rows_is_built_once(spark, tmp_path):
+    out, calls = str(tmp_path / "out"), []
+    df = spark.createDataFrame([("full", 1), ("empty", -1), ("empty", -2)], "shard string, v int")
+
+    def build(rows):
+        calls.append(sorted({r.shard for r in rows.collect()}))
+        return rows.filter("v > 0")
+
+    for _ in range(2):
+        assert [tuple(r) for r in store.build_missing_shards(df, out, build).select("shard", "v").collect()] == [("full", 1)]
+    assert calls == [["empty", "full"], []]
+    assert {r.shard: r.rows for r in store.built_shards(spark, out).collect()} == {"full": 1, "empty": 0}
+    assert store.build_missing_shards(df.filter("false"), str(tmp_path / "none"), build).count() == 0
+
+
+def test_a_run_that_was_cut_off_is_done_again(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([("a/b c", 1), ("s2", 2), ("s2", 3), ("s3", 4)], "shard string, v int")
+    store.build_missing_shards(df.filter("v = 1"), out, lambda d: d)
+    failing = F.when(F.col("v") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("v"))
+    with pytest.raises(Exception, match="lost"):
+        store.build_missing_shards(df, out, lambda d: d.withColumn("v", failing.cast("int")))
+    assert [r.shard for r in store.built_shards(spark, out).collect()] == ["a/b c"]
+    # half of two shards is there, but they are not in the log
+    df.filter("v IN (2, 4)").write.partitionBy("shard").mode("append").parquet(out)
+    shards = store.build_missing_shards(df, out, lambda d: d.filter("shard <> 's3'"))
+    assert sorted((r.shard, r.v) for r in shards.collect()) == [("a/b c", 1), ("s2", 2), ("s2", 3)]
+    assert {r.shard: r.rows for r in store.built_shards(spark, out).collect()} == {"a/b c": 1, "s2": 2, "s3": 0}
+    assert store.damaged_shards(spark, out).count() == 0
+    df.filter("v = 2").write.partitionBy("shard").mode("append").parquet(out)
+    assert [tuple(r) for r in store.damaged_shards(spark, out).collect()] == [("s2", 2, 3)]
+
+
+def test_shards_by_number_and_rows_without_shard(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "part int, v string")
+    with pytest.raises(ValueError):
+        store.build_missing_shards(df, str(tmp_path / "a"), lambda d: d, "part")
+    named = df.filter("part IS NOT NULL")
+    for _ in range(2):
+        rows = store.build_missing_shards(named, str(tmp_path / "b"), lambda d: d, "part")
+        assert sorted((r.part, r.v) for r in rows.collect()) == [(1, "x"), (2, "y")]
+
+
 def test_shard_names(spark):
     row = spark.createDataFrame([("/x/part.one.txt",)], "p string").select(
         store.shard_name(F.col("p"), 128).alias("a"), store.shard_name(F.col("p"), 128, 5).alias("b")).first()
