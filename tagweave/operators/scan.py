@@ -13,7 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.session import settle
+
 BLOCK = 1 << 16
+#: The block of a row; it stays on rows that `ranged` has cut, for every scan that follows.
 _BLK = "__blk"
 
 
@@ -21,21 +24,49 @@ def _names(columns: str | Sequence[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
+def ranged(df: DataFrame, part: str | Sequence[str], order: str | Sequence[str], blocks: int | None = None) -> DataFrame:
+    """Rows cut into blocks by ranges of `part` and all `order` columns, as a stored table with the block of each row.
+
+    For orders whose first column does not cut evenly or is no whole number, such as (line, item) with lines of any
+    length: blocks hold about the same number of rows each, as many as there are shuffle partitions (fewer where the
+    planner joins small ones) or `blocks`. One range shuffle, kept for all scans over the result; they move rows by
+    block again for their windows. Rows equal in all these columns share a block. `part` may be empty: one order for
+    all rows. The column `__blk` is part of the result and of what row-wise scans make of it.
+    """
+    columns = [F.col(c) for c in (*_names(part), *_names(order))]
+    spread = df.repartitionByRange(*columns) if blocks is None else df.repartitionByRange(blocks, *columns)
+    return settle(spread.withColumn(_BLK, F.spark_partition_id().cast("long")))
+
+
+def deal_by_cost(df: DataFrame, cost: Column, order: str | Sequence[str], tasks: int) -> DataFrame:
+    """The rows in `tasks` partitions of about the same summed cost each, by ranges of the running cost.
+
+    A partition gets the rows whose running cost begins in its share, so it exceeds the mean by less than its last
+    row costs. `order` tells the rows apart; a null or negative cost counts as 0. For work whose time follows a
+    size, such as a model over tokens, where equal numbers of rows would leave one task with the long ones.
+    """
+    cut = ranged(df.withColumn("__cost", F.greatest(F.coalesce(cost.cast("long"), F.lit(0)), F.lit(0))), (), order)
+    placed = running(cut, (), order, sums={"__from": F.col("__cost")}, totals=True)
+    share = F.floor(F.col("__from") / F.nullif("__from_total", F.lit(0)) * tasks)
+    task = F.least(F.coalesce(share, F.lit(0)), F.lit(tasks - 1)).cast("int")
+    return placed.repartitionById(tasks, task).drop("__cost", "__from", "__from_total", _BLK)
+
+
 def running(df: DataFrame, part: str | Sequence[str], order: str | Sequence[str],
             sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None,
             inclusive: bool = False, totals: bool = False, block: int = BLOCK) -> DataFrame:
     """Add running sums and latest non-null values, in `order` inside each `part` group.
 
     Both look at the rows before the current one, or up to and including it with `inclusive`.
-    `totals` also adds `<name>_total`, the sum over the whole group. The first order column must be
-    a non-negative whole number; blocks are ranges of it. Group keys must not be null. Sums are
-    taken as long.
+    `totals` also adds `<name>_total`, the sum over the whole group. Blocks are those of `ranged`, if `df` comes from
+    there; else they are ranges of the first order column, which must then be a non-negative whole number of which
+    few rows share a value. Group keys must not be null. Sums are taken as long.
     """
     part, order = _names(part), _names(order)
     keys = [*part, _BLK]
     summed = {n: F.coalesce(v.cast("long"), F.lit(0)) for n, v in (sums or {}).items()}
     latest = dict(lasts or {})
-    keyed = df.withColumn(_BLK, F.expr(f"`{order[0]}` div {int(block)}"))
+    keyed = df if _BLK in df.columns else df.withColumn(_BLK, F.expr(f"`{order[0]}` div {int(block)}"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     earlier = Window.partitionBy(*part).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)

@@ -119,6 +119,16 @@ def merge_files(spark, folder):
     return merged.agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("characters"))
 
 
+@query(fx.sql("section_ids", "SELECT doc_id, pos, section_pos FROM section_ids"))
+def sections_of_lines(spark, folder):
+    """Sections of tagged items that are ordered by line and place in the line; lines may be of any length."""
+    rows = fx.tagged(spark, folder).withColumn("line_no", F.expr("pos div 1000")).withColumn("idx", F.expr("pos % 1000"))
+    order = ("line_no", "idx")
+    cut = scan.ranged(rows, "doc_id", order)
+    numbered = runs.number_runs(cut, "doc_id", order, F.col("tag") == runs.PUNCT, "section_pos", keep_open=True)
+    return numbered.select("doc_id", "pos", "section_pos")
+
+
 @query(fx.sql("words", "SELECT doc_id, count(*) AS words FROM words GROUP BY doc_id"))
 def repartition(spark, folder):
     spread = store.repartition(fx.words(spark, folder), 10, "doc_id")
@@ -1116,6 +1126,14 @@ def predict(spark, folder):
     return done.select("doc_id", "line_no", lab.token_key(F.col("predictions")).alias("predictions"))
 
 
+@query(ORACLES["predict"])
+def predict_by_cost(spark, folder):
+    """The predictions of `predict` with the rows dealt to tasks by their tokens."""
+    rows = scan.deal_by_cost(_line_examples(spark, folder), F.size("tokens"), ("doc_id", "line_no"), 16)
+    done = tagging.predict_examples(rows, _by_remainder, "remainder", 2, 3)
+    return done.select("doc_id", "line_no", lab.token_key(F.col("predictions")).alias("predictions"))
+
+
 @query(fx.sql("lines", """
 SELECT doc_id, line_no, CASE WHEN tokens[1] = 2 THEN '' ELSE '2 ' END || array_to_string(tokens, ' ') ||
     CASE WHEN tokens[-1] = 3 THEN '' ELSE ' 3' END AS tokens FROM ex""", ex=_LINE_EXAMPLES))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import runs
-from tagweave.operators.scan import running
+from tagweave.operators.scan import deal_by_cost, ranged, running
 
 P = "PUNCT"
 M = "[MASK]"
@@ -147,3 +147,51 @@ def test_long_open_document_is_not_collected(spark):
     plan = runs.build_units(frame(spark, random_docs(2)))._jdf.queryExecution().optimizedPlan().toString()
     above = plan[:plan.index("Window")]
     assert "collect_list" in above and "__closed" in above.split("collect_list")[1]
+
+
+def test_ranges_of_all_order_columns(spark):
+    """Short lines, one very long one, and line keys that are no numbers."""
+    rng = random.Random(9)
+    rows = [(d, f"l{line:02}", i, rng.randrange(5)) for d in "ab" for line in range(12)
+            for i in range(400 if (d, line) == ("a", 5) else rng.randrange(6))]
+    df = spark.createDataFrame(rows, "d string, line string, idx int, v int").repartition(4)
+    cut = ranged(df, "d", ("line", "idx"), blocks=9)
+    sizes = [r["count"] for r in cut.groupBy("__blk").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < len(rows) / 3
+    odd = F.when(F.col("v") % 2 == 1, F.col("v"))
+    found = running(cut, "d", ("line", "idx"), sums={"s": F.col("v")}, lasts={"o": odd}, totals=True)
+    again = running(found, "d", ("line", "idx"), sums={"n": F.lit(1)}, inclusive=True)
+    got = {(r.d, r.line, r.idx): (r.s, r.s_total, r.o, r.n) for r in again.collect()}
+    for d in "ab":
+        total, last, n = 0, None, 0
+        every = sum(r[3] for r in rows if r[0] == d)
+        for _, line, idx, v in sorted(r for r in rows if r[0] == d):
+            n += 1
+            assert got[d, line, idx] == (total, every, last, n)
+            total, last = total + v, v if v % 2 else last
+    assert ranged(df.filter("false"), "d", ("line", "idx")).count() == 0
+
+
+def test_one_line_of_ten_million_items_is_many_tasks(spark):
+    n = 10_000_000
+    df = spark.range(n).select(F.lit("doc").alias("d"), F.lit(0).alias("line"), F.col("id").alias("idx"))
+    cut = ranged(df, "d", ("line", "idx"), blocks=64)
+    largest, blocks = cut.groupBy("__blk").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert blocks > 48 and largest < 3 * n / 64
+    summed = running(cut, "d", ("line", "idx"), sums={"at": F.lit(1)})
+    assert summed.filter("at <> idx").isEmpty() and summed.count() == n
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(d#" in plan and "Exchange SinglePartition" not in plan
+
+
+def test_rows_dealt_by_cost(spark):
+    costs = [5000, 3000, *[20] * 900, *[0] * 50, None, -4]
+    df = spark.createDataFrame(list(enumerate(costs)), "id int, cost int").repartition(5)
+    dealt = deal_by_cost(df, F.col("cost"), "id", 8)
+    assert dealt.columns == df.columns and dealt.rdd.getNumPartitions() == 8
+    spent = {r.p: r.c for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("cost").alias("c")).collect()}
+    mean = 26_000 / 8
+    assert sorted(spent.values())[-1] <= mean + 5000 and sum(c > 1.1 * mean for c in spent.values()) <= 2
+    assert len(spent) >= 6 and sorted(r.id for r in dealt.collect()) == list(range(len(costs)))
+    assert deal_by_cost(df.filter("cost = 0"), F.col("cost"), "id", 4).count() == 50
+    assert deal_by_cost(df.filter("false"), F.col("cost"), "id", 4).count() == 0
