@@ -62,25 +62,38 @@ def ends_with(text: Column, mark: str) -> Column:
 
 
 def unescape(text: Column, specials: Sequence[str]) -> Column:
-    """Undo `protect_specials`."""
-    for i, token in enumerate(specials):
-        text = F.replace(text, F.lit(_stand_in(i)), F.lit(token))
+    """Undo `protect_specials`: gives the text back, whatever it holds."""
+    stands, escape, codes = _private(len(specials))
+    for stand, token in zip(stands, specials):
+        text = F.replace(text, F.lit(stand), F.lit(token))
+    # the escape itself last, so that what it gives is not read again
+    for own, code in reversed(list(zip([escape, *stands], codes))):
+        text = F.replace(text, F.lit(escape + code), F.lit(own))
     return text
 
 
 def protect_specials(text: Column, specials: Sequence[str]) -> Column:
     """Swap every control token for one private-use character, so that no tokenizer cuts it.
 
-    Longer tokens are swapped first, so a token inside another does not break it.
+    Longer tokens are swapped first, so a token inside another does not break it. Where the text itself holds one of
+    these characters it becomes a pair of an escape and a code, which is no stand-in; tokens may hold none (else a
+    ValueError). Null stays null.
     """
-    for i, token in sorted(enumerate(specials), key=lambda item: -len(item[1])):
-        text = F.replace(text, F.lit(token), F.lit(_stand_in(i)))
+    stands, escape, codes = _private(len(specials))
+    if any(c in token for token in specials for c in (*stands, escape, *codes)) or "" in specials:
+        raise ValueError("a control token is empty or holds a character that stands for one")
+    for own, code in zip([escape, *stands], codes):
+        text = F.replace(text, F.lit(own), F.lit(escape + code))
+    for stand, token in sorted(zip(stands, specials), key=lambda item: -len(item[1])):
+        text = F.replace(text, F.lit(token), F.lit(stand))
     return text
 
 
-def _stand_in(index: int) -> str:
-    # U+F0000 is the first supplementary private-use plane: not used in text
-    return chr(0xF0000 + index)
+def _private(n: int) -> tuple[list[str], str, list[str]]:
+    """Stand-ins of n tokens, the escape, and codes of the escape and of each stand-in: private-use characters."""
+    first = 0xF0000
+    stands, escape = [chr(first + i) for i in range(n)], chr(first + n)
+    return stands, escape, [chr(first + n + 1 + i) for i in range(n + 1)]
 
 
 @pandas_udf(StringType())

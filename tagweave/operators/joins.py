@@ -24,10 +24,13 @@ SALT = 32
 def measured_size(df: DataFrame) -> tuple[int, int]:
     """Row count and a byte estimate from the values themselves, in one aggregate."""
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     fixed = 16 * (len(df.columns) + 1)
     text = F.lit(0)
     for name in strings:
         text = text + F.coalesce(F.octet_length(name), F.lit(0))
+    for name in arrays:
+        text = text + 16 * F.coalesce(F.size(name), F.lit(0))
     rows, chars = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
     return rows, rows * fixed + chars
 

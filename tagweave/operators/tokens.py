@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tagweave.functions.text import MARKS, TSHEG, TSHEG_BSTAR, clean_text, literal
+from tagweave.operators.joins import attach
 from tagweave.operators.tags import BAD, OK
 
 UNDERLINE = "▁"
@@ -167,8 +168,17 @@ def decode(df: DataFrame, model: SubwordModel, tokens: str = "tokens", out: str
 
 
 def encode_words(df: DataFrame, model: SubwordModel, word: str = "word", options: Encoding = Encoding(marks=MARKS)) -> DataFrame:
-    """Each word by itself. Distinct words are far fewer than words, but the rows stay as they are."""
-    return encode(df, model, word, options).drop("pieces", "cut")
+    """Each row with the `tokens` of its word; every distinct word is encoded once and joined back.
+
+    The words are reduced before the model sees them and stored; they are broadcast behind a check of their size and
+    beyond it meet the rows by salted keys, so a word that is a third of all rows is many tasks. Null and empty words
+    have no tokens.
+    """
+    distinct = df.select(word).filter(F.col(word) != "").distinct()
+    known = encode(distinct, model, word, options).select(word, F.col("tokens").alias("__tokens"))
+    joined = attach(df, known, [word], settled=True)
+    none = F.array().cast("array<int>")
+    return joined.select(*df.columns, F.coalesce("__tokens", none).alias("tokens"))
 
 
 def align_tokens(sections: DataFrame, model: SubwordModel, options: Encoding = Encoding(marks=MARKS), words: str = "words",

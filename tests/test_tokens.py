@@ -54,6 +54,20 @@ def test_text_columns(spark):
     assert row.u == "a་b" and row.r == ["a", "b"]
 
 
+@pytest.mark.parametrize("specials", [["[MASK]", "1"], ["ab", "abc", "b"], []])
+def test_texts_that_hold_stand_ins_come_back(spark, specials):
+    rng = random.Random(5)
+    private = [chr(0xF0000 + i) for i in range(9)]
+    texts = [None, "", *["".join(rng.choices([*private, *"ab1c", "[MASK]"], k=rng.randrange(12))) for _ in range(400)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("p", txt.protect_specials(F.col("t"), specials))
+    rows = df.withColumn("back", txt.unescape(F.col("p"), specials)).collect()
+    assert all(r.back == r.t for r in rows)
+    for r in rows:
+        assert r.p is None or not any(token in r.p for token in specials)
+    with pytest.raises(ValueError):
+        txt.protect_specials(F.col("t"), ["x", private[0]])
+
+
 CORPUS = ["the cat, the hat", "that [MASK] chat 9, 10", "a cat  sat on the mat", TIBETAN, "9, 99,"]
 
 
@@ -224,3 +238,12 @@ def test_tag_documents(spark, corpus, model):
     for r in done.collect():
         assert len(r.words) == len(r.tags) and set(r.tags) <= {"N"}
     assert {r.doc_id for r in done.collect()} == set(range(len(CORPUS)))
+
+
+def test_distinct_words_are_encoded_once(spark, model):
+    words = ["cat", "the", "cat", None, "", "hat", "cat"] * 5
+    df = spark.createDataFrame([(i, w, "x") for i, w in enumerate(words)], "i int, word string, pieces string").repartition(4)
+    got = {r.i: r.tokens for r in tokens.encode_words(df, model).collect()}
+    alone = {r.word: r.tokens for r in tokens.encode(df.select("word").distinct(), model, "word", tokens.Encoding(marks=txt.MARKS)).collect()}
+    assert got == {i: list(alone[w]) if w else [] for i, w in enumerate(words)}
+    assert tokens.encode_words(df.filter("false"), model).count() == 0
