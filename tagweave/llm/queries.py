@@ -70,14 +70,17 @@ WITH t AS (SELECT license, family, {_WORDS.format("text")} AS w
            FROM (VALUES {_TEMPLATE_ROWS}) v(license, family, text)),
 ts AS (SELECT DISTINCT license, family, array_to_string(w[i:i + 4], ' ') AS s
        FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM t)),
-tn AS (SELECT license, family, count(*) AS n, greatest(ceil(log(greatest(count(*), 1)) / log(4) - 1e-9), 0) AS c
+tn AS (SELECT license, family, count(*) AS n, greatest(ceil(log(greatest(count(*), 1)) / log(2) - 1e-9), 0) AS c
        FROM ts GROUP BY ALL),
 steps AS (SELECT c, max(n) AS step FROM tn GROUP BY c),
 d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS s
        FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
-m AS (SELECT DISTINCT doc_id, license, family, n, i, step, ds.s
-      FROM ds JOIN ts ON ds.s = ts.s JOIN tn USING (license, family) JOIN steps USING (c)),
+held AS (SELECT DISTINCT doc_id, c, i, s FROM ds JOIN (SELECT DISTINCT s, c FROM ts JOIN tn USING (license, family))
+         USING (s)),
+placed AS (SELECT doc_id, c, s, dense_rank() OVER (PARTITION BY doc_id, c ORDER BY i) - 1 AS i FROM held),
+m AS (SELECT DISTINCT doc_id, license, family, n, i, step, s
+      FROM placed JOIN (SELECT * FROM ts JOIN tn USING (license, family)) USING (s, c) JOIN steps USING (c)),
 win AS (SELECT doc_id, license, family, n, s, i // step AS win FROM m
         UNION ALL SELECT doc_id, license, family, n, s, i // step - 1 FROM m),
 per AS (SELECT doc_id, license, family, n, win, count(DISTINCT s) AS k FROM win GROUP BY ALL),

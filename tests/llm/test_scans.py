@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.llm import licenses, secrets
@@ -85,6 +86,31 @@ def test_licenses_by_brute_force(table):
     assert (50, "MIT-terms") not in got
 
 
+@pytest.mark.parametrize("n_words", [20, 60, 200, 3000])
+def test_licenses_with_text_put_in(table, n_words):
+    """However many words stand between the words of a template, its shingles follow each other."""
+    terms = dict((n, t) for n, _, t in licenses.TEMPLATES)["MIT-terms"].split(" ")
+    rows = []
+    for n in range(30):
+        inside = prose(n + 900, n_words).split()
+        rows.append((n, " ".join([prose(n, 7 * n), *terms[:30], *inside, *terms[30:], prose(n + 60, 40)])))
+    got = {r.doc_id: r for r in licenses.scan(table(rows)).filter("license = 'MIT-terms'").collect()}
+    full = grams(" ".join(terms))
+    want = {k: len(grams(t) & full) for k, t in rows}
+    assert all(v >= 0.9 * len(full) for v in want.values())
+    assert {k: r.n_shared for k, r in got.items()} == want
+
+
+def test_the_license_query(spark, table, tmp_path):
+    rows = [(1, dict((n, t) for n, _, t in licenses.TEMPLATES)["BSD-terms"]), (2, "none"), (3, None)]
+    table(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = licenses.op9_license_scan(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "license", "family", "n_shared", "n_shingles", "containment", "best"]
+    assert [(r.doc_id, r.license, r.containment, r.best) for r in found.collect()] == [(1, "BSD-terms", 1.0, True)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_license_edges(table, spark):
     assert licenses.scan(table(EDGE)).count() == 0 and licenses.scan(table([])).count() == 0
     none = spark.createDataFrame([], "license string, family string, text string")
