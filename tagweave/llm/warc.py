@@ -1,8 +1,9 @@
 """WARC files of text pages, and the resolution of not-modified revisits.
 
 A revisit with status 304 stands for the latest earlier full response of the same canonical URL, if its validators
-agree. The as-of join carries record ids only, in blocks of time, so a URL with a large part of all captures is
-many tasks; bodies are joined to the ids afterwards.
+agree. The as-of join carries ids and headers of revisits only, in blocks of time, so a URL with a large part of all
+captures is many tasks; bodies are moved once, to the revisits that name them, and a response that very many name is
+copied for parts of them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import table
+from tagweave.operators.joins import attach
 from tagweave.operators.scan import running
 from tagweave.session import scratch_path, settle
 
@@ -27,6 +29,8 @@ NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
 HEADERS = "array<struct<name:string,value:string>>"
+#: Revisits of one response that are joined to one copy of its body.
+COPY_ROWS = 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -75,10 +79,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     Files are split at the start of records, so a file is read by many tasks. Names of fields come as written.
     """
     raw = spark.read.option("lineSep", _BETWEEN).text(folder)
-    parts = F.split("value", _BREAK + _BREAK, 3)
-    cut = raw.filter(F.length("value") > 0).select(
-        F.regexp_replace(F.get(parts, F.lit(0)), r"^WARC/1\.[01]\r\nWARC-Type: ", "").alias("head"),
-        F.get(parts, F.lit(1)).alias("top"), F.get(parts, F.lit(2)).alias("rest"))
 
     def fields(block: str) -> Column:
         lines = F.filter(F.split(block, _BREAK), lambda s: F.contains(s, F.lit(":")))
@@ -86,21 +86,25 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             F.regexp_extract(s, r"^([^:]*):", 1).alias("name"),
             F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("value")))
 
-    named = cut.select("head", "top", fields("head").alias("warc"), fields("top").alias("headers"),
-                       F.coalesce("rest", F.lit("")).alias("rest"))
-    # the last record of a file still has its closing breaks
+    def bound(df: DataFrame, **made: Column) -> DataFrame:
+        # a generator of one row keeps the planner from computing these again at each use
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+    cut = bound(raw.filter(F.length("value") > 0), parts=F.split("value", _BREAK + _BREAK, 3)).select(
+        F.regexp_replace(F.get("parts", F.lit(0)), r"^WARC/1\.[01]\r\nWARC-Type: ", "").alias("head"),
+        F.get("parts", F.lit(1)).alias("top"), F.coalesce(F.get("parts", F.lit(2)), F.lit("")).alias("rest"))
+    named = bound(cut, warc=fields("head"), headers=fields("top"))
     stated = header("warc", "content-length").cast("long")
-    before = F.octet_length("top") + 4
-    body = F.when(before + F.octet_length("rest") == stated, F.col("rest")).otherwise(
+    sized = bound(named, stated=stated, before=F.octet_length("top") + 4)
+    # the last record of a file still has its closing breaks
+    body = F.when(F.col("before") + F.octet_length("rest") == F.col("stated"), F.col("rest")).otherwise(
         F.regexp_replace("rest", r"\r\n\r\n\z", ""))
-    named = named.select("*", body.alias("body"))
-    size = before + F.octet_length("body")
-    return named.select(
+    return bound(sized, body=body).select(
         F.regexp_extract(header("warc", "warc-record-id"), r"^<urn:(.*)>$", 1).alias("record_id"),
         F.regexp_extract("head", r"^([a-z]+)", 1).alias("type"), header("warc", "warc-target-uri").alias("url"),
         F.unix_timestamp(header("warc", "warc-date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         F.regexp_extract("top", r"^HTTP/[0-9.]+ ([0-9]{3})", 1).cast("int").alias("status"), "headers", "body",
-        F.coalesce(stated == size, F.lit(False)).alias("complete"))
+        F.coalesce(F.col("stated") == F.col("before") + F.octet_length("body"), F.lit(False)).alias("complete"))
 
 
 def validated(new: Column, old: Column) -> Column:
@@ -133,24 +137,34 @@ def resolve(records: DataFrame) -> DataFrame:
     Other columns are not looked at. An empty table gives an empty table.
     """
     none = F.array().cast(HEADERS)
-    rows = records.select("record_id", "type", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long")
-                          .alias("ts"), "status", F.coalesce(F.col("headers").cast(HEADERS), none).alias("headers"), "body")
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
-    keyed = rows.filter(F.col("url").isNotNull() & F.col("ts").isNotNull())
-    slim = keyed.filter(full | (F.col("type") == "revisit")).select(
-        "record_id", "type", "url", "ts", F.when(full, F.col("record_id")).alias("own"))
-    placed = running(slim, "url", ("ts", "record_id"), lasts={"refers_to": F.col("own")})
-    pointers = settle(placed.filter("type = 'revisit'").select("record_id", "url", "ts", "refers_to").distinct())
-    revisits = rows.filter("type = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("new"))
-    linked = revisits.join(pointers, (revisits["record_id"].eqNullSafe(pointers["record_id"]))
-                           & (revisits["url"] == pointers["url"]) & (revisits["ts"] == pointers["ts"]), "left").select(
-        revisits["record_id"], revisits["url"], revisits["ts"], "new", "refers_to")
-    wanted = pointers.select("refers_to").filter("refers_to is not null").distinct()
-    stored = (keyed.filter(full).join(wanted, F.col("record_id") == F.col("refers_to"), "left_semi")
-              .select(F.col("record_id").alias("stored_id"), F.col("headers").alias("old"), "body")
-              .dropDuplicates(["stored_id"]))
-    joined = linked.join(stored, F.col("refers_to") == F.col("stored_id"), "left")
-    outcome = (F.when(F.col("url").isNull() | F.col("ts").isNull(), "no_url").when(F.col("stored_id").isNull(), "no_earlier")
+    used = records.select("record_id", "type", canonical_url(F.col("url")).alias("url"), F.col("ts").cast("long")
+                          .alias("ts"), "status", F.coalesce(F.col("headers").cast(HEADERS), none).alias("headers"), "body")
+    # parsed once; the place of a stored row tells repeated responses apart
+    rows = settle(used.filter(full | (F.col("type") == "revisit")).select(
+        "record_id", "type", "url", "ts", "headers", F.when(full, F.col("body")).alias("body"),
+        F.coalesce(full, F.lit(False)).alias("full"), F.monotonically_increasing_id().alias("place")))
+    dated = F.col("url").isNotNull() & F.col("ts").isNotNull()
+    own = F.when(F.col("full"), F.struct(F.col("record_id").alias("id"), F.col("place").alias("place")))
+    slim = rows.filter(dated).select("record_id", "type", "url", "ts", own.alias("own"),
+                                     F.when(F.col("type") == "revisit", F.col("headers")).alias("new"))
+    placed = running(slim, "url", ("ts", "record_id"), lasts={"of": F.col("own")}).filter("type = 'revisit'").select(
+        "record_id", "url", "ts", "new", F.col("of.id").alias("refers_to"), F.col("of.place").alias("at"))
+    lone = rows.filter((F.col("type") == "revisit") & ~dated).select(
+        "record_id", "url", "ts", F.col("headers").alias("new"), F.lit(None).cast("string").alias("refers_to"),
+        F.lit(None).cast("long").alias("at"))
+    revisits = settle(placed.unionByName(lone))
+    # a response with very many revisits is copied, one copy for each COPY_ROWS of them
+    hot = settle(revisits.filter("at is not null").groupBy("at").count().filter(F.col("count") > COPY_ROWS).select(
+        "at", F.ceil(F.col("count") / COPY_ROWS).cast("int").alias("copies")))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = attach(revisits, hot, ["at"], salt_by=["record_id", "ts"]).withColumn(
+        "copy", F.pmod(F.xxhash64("record_id", "ts"), copies).cast("int")).drop("copies")
+    whole = rows.filter(dated & F.col("full")).select(F.col("place").alias("at"), F.col("headers").alias("old"), "body")
+    stored = attach(whole, hot, ["at"], salt_by=["at"]).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies").withColumn("found", F.lit(True))
+    joined = dealt.join(stored, ["at", "copy"], "left")
+    outcome = (F.when(F.col("url").isNull() | F.col("ts").isNull(), "no_url").when(F.col("found").isNull(), "no_earlier")
                .when(validated(F.col("new"), F.col("old")), "resolved").otherwise("mismatch"))
     done = F.col("outcome") == "resolved"
     return joined.withColumn("outcome", outcome).select(
@@ -162,6 +176,8 @@ def resolve(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl derived from pages: each fetched in full, some a second time after a change, and revisited twice.
 
+    Pages without `page_id` are left out, as record ids and times come from it.
+
     The revisits write the URL in another way; some carry an old entity tag, some a date only, some a page that was
     never fetched in full.
     """

@@ -60,6 +60,16 @@ def test_one_hot_url(spark):
     assert all(got[f"r{n:05d}"] == ("resolved", f"r{n - n % 3:05d}", str(n - n % 3)) for n in range(3000) if n % 3)
 
 
+def test_one_hot_response(spark, monkeypatch):
+    """A response that nearly all revisits name is copied for parts of them."""
+    monkeypatch.setattr(warc, "COPY_ROWS", 50)
+    many = [("r", "response", "u", 1, 200, TAG, "hot"), ("s", "response", "v", 1, 200, TAG, "cold"),
+            *[(f"h{n}", "revisit", "u", 2 + n, 304, TAG, None) for n in range(700)], ("c", "revisit", "v", 2, 304, TAG, None)]
+    got = outcome(spark, *many)
+    assert len(got) == 701 and got["c"] == ("resolved", "s", "cold")
+    assert all(got[f"h{n}"] == ("resolved", "r", "hot") for n in range(700))
+
+
 def test_files_read_back(spark, tmp_path):
     records = rows(spark, ("1", "response", "http://a/", 0, 200, [("A", "b: c"), ("Empty", "")], "body\r\n\r\nWARC/1.1\nend 漢 "),
                    ("2", "revisit", "http://a/", 1_700_000_000, 304, None, None),
