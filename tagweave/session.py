@@ -94,12 +94,13 @@ def ship_package(spark: SparkSession) -> None:
     _shipped["app"] = context.applicationId
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write an intermediate result to a shared table and read it back.
 
-    Cuts lineage and makes a later size check and the join that follows it see the same rows.
+    Cuts lineage and makes a later size check and the join that follows it see the same rows. `codec` compresses the
+    files otherwise than the session says, such as zstd for whole texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
