@@ -51,11 +51,12 @@ def header(headers: str | Column, name: str) -> Column:
     return F.get(F.filter(headers, lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
 
 
-def write(records: DataFrame, folder: str) -> None:
+def write(records: DataFrame, folder: str, compression: str | None = None) -> None:
     """Records as WARC text, one file per partition, through Spark's writer.
 
     Columns: record_id, type, url, ts (seconds), status, reason, headers, body; a null body is empty, null headers
-    are none. Text is UTF-8; lengths are in bytes.
+    are none. Text is UTF-8; lengths are in bytes. `compression` may be gzip, as such files mostly are; each file is
+    then read by one task, so partitions should be of the size of a task's input.
     """
     fields = F.array_join(F.transform(F.coalesce("headers", F.array().cast(HEADERS)), lambda h: F.concat(
         h["name"], F.lit(": "), h["value"], F.lit(_BREAK))), "")
@@ -70,7 +71,7 @@ def write(records: DataFrame, folder: str) -> None:
     # a null field (no URL) is left out; the writer adds the last line feed of a record
     (records.withColumn("http", http)
      .select(F.concat(head, F.lit(_BREAK + _BREAK), F.col("http"), F.lit(_BREAK + "\r")).alias("value"))
-     .write.option("lineSep", "\n").text(folder))
+     .write.text(folder, compression=compression, lineSep="\n"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +144,7 @@ def resolve(records: DataFrame) -> DataFrame:
     # parsed once; the place of a stored row tells repeated responses apart
     rows = settle(used.filter(full | (F.col("type") == "revisit")).select(
         "record_id", "type", "url", "ts", "headers", F.when(full, F.col("body")).alias("body"),
-        F.coalesce(full, F.lit(False)).alias("full"), F.monotonically_increasing_id().alias("place")))
+        F.coalesce(full, F.lit(False)).alias("full"), F.monotonically_increasing_id().alias("place")), "zstd")
     dated = F.col("url").isNotNull() & F.col("ts").isNotNull()
     own = F.when(F.col("full"), F.struct(F.col("record_id").alias("id"), F.col("place").alias("place")))
     slim = rows.filter(dated).select("record_id", "type", "url", "ts", own.alias("own"),
@@ -218,7 +219,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def op7_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     files = scratch_path(spark, "warc")
-    write(captures(table(spark, folder, "pages")), files)
+    write(captures(table(spark, folder, "pages")), files, "gzip")
     found = resolve(read(spark, files))
     listed = F.array_join(F.array_sort(F.transform("headers", lambda h: F.concat(
         F.lower(h["name"]), F.lit(":"), h["value"]))), "\n")

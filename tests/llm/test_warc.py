@@ -81,5 +81,8 @@ def test_files_read_back(spark, tmp_path):
         mine = got[want.record_id]
         assert (mine.type, mine.url, mine.ts, mine.status) == (want.type, want.url, want.ts, want.status)
         assert mine.headers == (want.headers or []) and mine.body == (want.body or "")
+    warc.write(records.repartition(2), str(tmp_path / "z"), "gzip")
+    packed = {r.record_id: r for r in warc.read(spark, str(tmp_path / "z")).collect()}
+    assert packed == got and list((tmp_path / "z").glob("*.gz"))
     warc.write(records.filter("false"), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
