@@ -18,8 +18,9 @@ from tagweave.session import scratch_path, settle
 
 VERSION = "WARC/1.1"
 _BREAK = "\r\n"
-#: What parts two records of a file written here.
-_BETWEEN = f"{_BREAK}{_BREAK}{VERSION}{_BREAK}WARC-Type: "
+#: What parts two records of a file written here. Of the breaks before it only the last character belongs to it: the
+#: file reader loses a separator that begins with repeated characters where its buffer ends inside them.
+_BETWEEN = f"\n{VERSION}{_BREAK}WARC-Type: "
 
 # Fields of a stored response that a 304 may not replace (RFC 9110 and 9111), in lower case.
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -97,9 +98,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     named = bound(cut, warc=fields("head"), headers=fields("top"))
     stated = header("warc", "content-length").cast("long")
     sized = bound(named, stated=stated, before=F.octet_length("top") + 4)
-    # the last record of a file still has its closing breaks
+    # all but the last character of the closing breaks, in the last record of a file that as well
     body = F.when(F.col("before") + F.octet_length("rest") == F.col("stated"), F.col("rest")).otherwise(
-        F.regexp_replace("rest", r"\r\n\r\n\z", ""))
+        F.regexp_replace("rest", r"\r\n\r\n?\z", ""))
     return bound(sized, body=body).select(
         F.regexp_extract(header("warc", "warc-record-id"), r"^<urn:(.*)>$", 1).alias("record_id"),
         F.regexp_extract("head", r"^([a-z]+)", 1).alias("type"), header("warc", "warc-target-uri").alias("url"),

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tagweave.llm import warc
 
 SCHEMA = ("record_id string, type string, url string, ts long, status int, reason string, "
@@ -86,3 +88,15 @@ def test_files_read_back(spark, tmp_path):
     assert packed == got and list((tmp_path / "z").glob("*.gz"))
     warc.write(records.filter("false"), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_no_record_is_lost_at_the_edge_of_a_buffer(spark, tmp_path):
+    """Many short records without bodies, so that buffers of the reader end at every place of a break."""
+    n = 150_000
+    many = spark.range(n).select(
+        F.concat(F.lit("r"), "id").alias("record_id"), F.lit("revisit").alias("type"), F.lit("http://a/").alias("url"),
+        F.col("id").alias("ts"), F.lit(304).alias("status"), F.lit("x").alias("reason"),
+        F.lit(None).cast(warc.HEADERS).alias("headers"), F.lit(None).cast("string").alias("body"))
+    warc.write(many, str(tmp_path / "w"))
+    back = warc.read(spark, str(tmp_path / "w"))
+    assert back.agg(F.count_distinct("record_id"), F.count_if("complete")).first() == (n, n)
