@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import chunks, enter, groups, table, text_of, together
 from tagweave.llm.components import connected
 from tagweave.llm.shingles import set_digest, shingle_set, signatures
-from tagweave.operators.joins import drop_matching, keep_matching
+from tagweave.operators.joins import SALT, attach, drop_matching, keep_matching
 from tagweave.session import settle, ship_package
 
 THRESHOLD = 0.8
@@ -86,7 +86,13 @@ def buckets(classes: DataFrame) -> DataFrame:
     keyed = classes.select("cls", "size", F.posexplode(bands).alias("band", "bucket"))
     held = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
     parts = F.ceil(F.greatest(F.col("count") / PART, F.col("size") / PART_SHINGLES)).cast("int")
-    return keyed.drop("size").join(settle(held.filter("count > 1").select("bucket", parts.alias("parts"))), "bucket")
+    shared = settle(held.filter("count > 1").select("bucket", parts.alias("parts")))
+    # the rows of a large bucket meet its number of parts in many tasks
+    large = attach(keyed.drop("size"), shared.filter("parts > 1"), ["bucket"], salt_by=["cls"])
+    turn = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("cls"), F.lit(SALT))).otherwise(0).cast("int")
+    turns = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    return (large.withColumn("turn", turn).drop("parts")
+            .join(shared.withColumn("turn", F.explode(turns)), ["bucket", "turn"]).drop("turn"))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -277,10 +283,20 @@ def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Documents without those that link, directly or through others, to one with a lesser key.
+    """One document of each group of texts that link, directly or through others: the one with the least key.
 
-    Documents without words or key stay.
+    Each row is judged by its key and text together: rows that repeat a key are compared like others, rows without
+    key come after all keys, and of rows equal in key and text one stays. Documents without words stay.
     """
-    classes = jaccard_classes(docs, text, key)
-    repeated = settle(classes.filter(F.col("class_id") < F.col(f"`{key}`")).select(key).distinct())
-    return drop_matching(docs, repeated, [key], salt_by=[key])
+    name = F.struct(F.col(f"`{key}`").isNull().alias("bare"), F.col(f"`{key}`").alias("key"),
+                    F.xxhash64(text_of(text)).alias("body")).alias("__row")
+    rows = docs.select("*", name)
+    classes = settle(jaccard_classes(docs.select(name, F.col(f"`{text}`").alias("text")), "text", "__row"))
+    repeated = settle(classes.filter(F.col("class_id") < F.col("__row")).select("__row").distinct())
+    equal = settle(classes.filter(F.col("class_id") == F.col("__row")).groupBy("__row").count().filter("count > 1")
+                   .select("__row"))
+    kept = drop_matching(rows, repeated, ["__row"], salt_by=["__row"])
+    if not equal.isEmpty():
+        one = keep_matching(kept, equal, ["__row"], salt_by=["__row"]).dropDuplicates(["__row"])
+        kept = drop_matching(kept, equal, ["__row"], salt_by=["__row"]).unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,7 +70,19 @@ def test_jaccard_edges(table):
     assert got == sorted(want, key=str)
     assert jaccard.jaccard_classes(table([])).count() == 0
     kept = jaccard.one_of_each(table([*EDGE, (9, "ONE")]))
-    assert kept.count() == len(EDGE) and kept.filter("doc_id = 9").count() == 0 and "sig" in kept.columns
+    # 9 copies 5, and one of the two equal rows of 7 stays
+    assert kept.count() == len(EDGE) - 1 and kept.filter("doc_id = 9").count() == 0 and "sig" in kept.columns
+
+
+def test_one_of_each_judges_rows_by_their_text(table):
+    same, other, own = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(None, same), (4, same.upper()), (None, same), (5, other), (5, own), (6, own), (3, other), (None, prose(4, 60)),
+            (None, None), (None, None), (2, ""), (2, "")]
+    kept = jaccard.one_of_each(table(rows))
+    assert kept.columns == table(rows).columns
+    want = [(4, same.upper()), (3, other), (5, own), (None, prose(4, 60)), (None, None), (None, None), (2, ""), (2, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert jaccard.one_of_each(table([])).count() == 0
 
 
 def test_pruning_keeps_what_can_reach_the_threshold():
