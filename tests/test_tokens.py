@@ -247,3 +247,21 @@ def test_distinct_words_are_encoded_once(spark, model):
     alone = {r.word: r.tokens for r in tokens.encode(df.select("word").distinct(), model, "word", tokens.Encoding(marks=txt.MARKS)).collect()}
     assert got == {i: list(alone[w]) if w else [] for i, w in enumerate(words)}
     assert tokens.encode_words(df.filter("false"), model).count() == 0
+
+
+def test_long_texts_reach_python_in_bounded_batches(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    @F.pandas_udf("long")
+    def rows_at_once(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 3000, 1, 1).withColumn("text", F.repeat(F.lit("abcdefghij"), 1000))
+    assert rows.select(F.max(rows_at_once("text"))).first()[0] < 1000
+    found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 3000 and max(found) < 1000
