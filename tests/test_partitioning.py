@@ -23,6 +23,17 @@ def test_rows_cut_from_a_document_are_not_shuffled(spark, name):
     assert all("word" not in line for line in moved)
 
 
+@pytest.mark.parametrize("name", ["flatten_sections", "regroup_words", "word_spans", "token_spans", "word_accuracy"])
+def test_joins_that_are_not_broadcast_move_no_rows(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = exchanges(contract.queries()[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved and [line for line in moved if "REPARTITION_BY_NUM" not in line] == []
+
+
 def test_keyed_keeps_all_rows(spark):
     table = fx.table(spark, FOLDER, "documents").select("doc_id", "text")
     dealt = fx.keyed(spark, FOLDER, "documents", "doc_id", "text")
