@@ -265,3 +265,16 @@ def test_long_texts_reach_python_in_bounded_batches(spark):
     assert rows.select(F.max(rows_at_once("text"))).first()[0] < 1000
     found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
     assert sum(found) == 3000 and max(found) < 1000
+
+
+def test_words_are_encoded_where_they_are(spark):
+    """No row and no word is moved, and words in which something is cut come out as `encode` gives them."""
+    words = ["ab", "a,b", "1,5", "b1,a", "a[MASK]b", "a་b", " a  b ", "", None, "zz", "ab"]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, word string")
+    chunks = vocab.chunk_counts(spark.createDataFrame([("ab 1 5 , abab b [MASK]",)], "text string"))
+    model = tokens.SubwordModel(spark, vocab.model_bytes(vocab.bpe_pieces(chunks, 30)))
+    done = tokens.encode_words(df, model)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    options = tokens.Encoding(marks=tokens.MARKS)
+    want = {r.i: r.tokens if r.word else [] for r in tokens.encode(df, model, "word", options).collect()}
+    assert {r.i: r.tokens for r in done.collect()} == want
