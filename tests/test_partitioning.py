@@ -1,6 +1,11 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tagweave import session
+from tagweave.operators import scan
 from tagweave.plans import fixtures as fx
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,3 +44,29 @@ def test_keyed_keeps_all_rows(spark):
     dealt = fx.keyed(spark, FOLDER, "documents", "doc_id", "text")
     assert dealt.exceptAll(table).count() == table.exceptAll(dealt).count() == 0
     assert dealt.count() == table.count()
+
+
+def test_shuffle_partitions_follow_the_bytes_of_the_table(spark, monkeypatch):
+    """Distinct words of a large table are dealt to more tasks; the next query starts from the setting again."""
+    before = spark.conf.get(session.PARTITIONS_CONF)
+    session.prepare(spark)
+    monkeypatch.setattr(fx, "PART_BYTES", 64)
+    fx.keyed(spark, "/root/testdata/sf0.001", "documents", "doc_id", "text")
+    raised = int(spark.conf.get(session.PARTITIONS_CONF))
+    session.prepare(spark)
+    assert raised > 100 > int(before) and spark.conf.get(session.PARTITIONS_CONF) == before
+
+
+def test_last_flags_are_carried_without_a_sort(spark):
+    """A running last of a flag over blocks equals the last of its values; block rows come from hash aggregates."""
+    rng = random.Random(3)
+    rows = [(d, i, rng.choice([True, False, None])) for d in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "d int, i long, v boolean")
+    done = scan.running(df, "d", "i", lasts={"l": F.col("v")}, inclusive=True, block=4)
+    assert "SortAggregate" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {(r.d, r.i): r.l for r in done.collect()}
+    for d in range(3):
+        last = None
+        for _, i, v in rows[40 * d:40 * d + 40]:
+            last = last if v is None else v
+            assert got[d, i] == last
