@@ -3,13 +3,16 @@
 The encoding of a word is fixed by the last token of each of its prefixes: the last token `t` of a prefix is
 the one whose rest, the prefix without `t`, ends in a token that stays apart from `t`. Distinct new words of
 a chunk form a trie; it is walked depth first (its words in sorted order, with one stack of last tokens for
-the current path), so a shared prefix is computed once. Encodings of words are kept in a bounded cache per
-Python worker. Each document is encoded where it is read: nothing is shuffled.
+the current path), so a shared prefix is computed once. The tokens that end at a place are known by the longest
+piece of a token that ends there (`Place`), which each byte of a word moves on. Encodings of words are kept in a
+bounded cache per Python worker. Each document is encoded where it is read: nothing is shuffled, and a round trip
+decodes in the worker that encoded.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
@@ -28,10 +31,33 @@ from tagweave.session import ship_package
 CACHED_WORDS = 240_000
 #: Pairs of tokens whose verdict one Python worker keeps.
 CACHED_PAIRS = 300_000
+#: Steps from a place in a word to the next that one Python worker keeps.
+CACHED_STEPS = 400_000
 #: Bytes of a tokenizer file that may be broadcast.
 MODEL_BYTES = 64 << 20
 
 
+class Place(dict):
+    """Where a walk stands in a word: the longest first part of a token that ends there, and the next place by byte.
+
+    `ends` are the tokens that end there, the longest first, with their lengths.
+    """
+    __slots__ = ("model", "piece", "ends")
+
+    def __init__(self, model: Encoder, piece: bytes):
+        self.model, self.piece = model, piece
+        suffixes = ((model.ids.get(piece[i:]), len(piece) - i) for i in range(len(piece)))
+        self.ends = tuple((token, size) for token, size in suffixes if token is not None)
+
+    def __missing__(self, byte: int) -> Place:
+        piece = self.piece + bytes([byte])
+        while piece not in self.model.firsts:
+            piece = piece[1:]
+        model, self[byte] = self.model, self.model.place(piece)
+        model.steps += 1
+        return self[byte]
+
+
 class Encoder:
     """The tables of one tokenizer file and the walk over the trie of words."""
 
@@ -44,7 +70,8 @@ class Encoder:
         self.ids = {spelled[token]: i for token, i in vocab.items()}
         self.spell = {i: spelled[token] for token, i in vocab.items()}
         self.spell |= {i: content.encode() for content, i in self.specials.items()}
-        self.longest = max(map(len, self.ids))
+        #: All first parts of tokens; single bytes are among them whether they are tokens or not.
+        self.firsts = {token[:i] for token in self.ids for i in range(len(token) + 1)} | {bytes([b]) for b in range(256)}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         self.merges = {}
         for rank, (left, right) in enumerate(pairs):
@@ -53,6 +80,15 @@ class Encoder:
         self.split = splitter(self.specials)
         self._apart: dict[int, bool] = {}
         self._words = Recent(CACHED_WORDS)
+        self._places: dict[bytes, Place] = {}
+        self.steps = 0
+
+    def place(self, piece: bytes) -> Place:
+        """The place after `piece`, one of `firsts`."""
+        found = self._places.get(piece)
+        if found is None:
+            found = self._places[piece] = Place(self, piece)
+        return found
 
     def merged(self, spelling: bytes) -> list[int]:
         """The encoding by the definition: the lowest merge first, the leftmost of equal ones."""
@@ -108,30 +144,31 @@ class Encoder:
     def walk(self, words: Iterable[bytes]) -> Iterator[tuple[int, ...]]:
         """Encodings of sorted words: a depth-first walk over their trie.
 
-        `last[d]` and `size[d]` are the last token and its length at depth d of the current path. Going from
-        one word to the next keeps the states of their shared prefix.
+        `last[d]`, `size[d]` and `places[d]` are the last token, its length and the place at depth d of the current
+        path. Going from one word to the next keeps the states of their shared prefix.
         """
-        find, longest = self.ids.get, self.longest
-        last, size, path = [-1], [0], b""
+        if len(self._apart) > CACHED_PAIRS:
+            self._apart.clear()
+        if self.steps > CACHED_STEPS:
+            self.forget_places()
+        last, size, places, path = [-1], [0], [self.place(b"")], b""
         verdicts = self._apart
-        if len(verdicts) > CACHED_PAIRS:
-            verdicts.clear()
         for word in words:
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1:], size[shared + 1:]
-            for depth in range(shared + 1, len(word) + 1):
-                for length in range(min(depth, longest), 0, -1):
-                    token = find(word[depth - length:depth])
-                    if token is None:
-                        continue
+            del last[shared + 1:], size[shared + 1:], places[shared + 1:]
+            depth, place = shared, places[shared]
+            for byte in word[shared:]:
+                depth += 1
+                place = place[byte]
+                places.append(place)
+                for token, length in place.ends:
                     if length < depth:
-                        before = last[depth - length]
-                        pair = before << 24 | token
+                        pair = last[depth - length] << 24 | token
                         stays = verdicts.get(pair)
                         if stays is None:
-                            stays = verdicts[pair] = self.apart(before, token)
+                            stays = verdicts[pair] = self.apart(last[depth - length], token)
                         if not stays:
                             continue
                     last.append(token)
@@ -143,6 +180,13 @@ class Encoder:
                 at -= size[at]
             yield tuple(reversed(out))
 
+    def forget_places(self) -> None:
+        """Let the places go; they hold each other, so they are taken apart."""
+        for place in self._places.values():
+            place.clear()
+        self._places.clear()
+        self.steps = 0
+
     def encodings(self, pieces: list) -> list[tuple[int, ...]]:
         """The encoding of each piece, in order."""
         new = self._words.missing(set(pieces))
@@ -187,6 +231,7 @@ class Decoder:
         named = {i: bytes(map(letters.__getitem__, token)) for token, i in model["model"]["vocab"].items()}
         named |= {i: content.encode() for content, i in added_tokens(model).items()}
         self.spell = [named.get(i, b"") for i in range(max(named) + 1)]
+        self.decimal = list(map(str, range(len(self.spell))))
 
     def decode(self, ids: np.ndarray) -> str:
         """Bytes of the ids as text; ids that are not in the file are passed over, broken UTF-8 is replaced."""
@@ -221,6 +266,36 @@ def _offsets(counts: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: Encoder, text: str, ids: str,
+             carried: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of the carried columns and the ids of each text."""
+    for batch, texts in chunks(batches, text):
+        found, counts = model.encode(texts)
+        coded = pa.ListArray.from_arrays(_offsets(counts), pa.array(found))
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in carried] + [coded], names=[*carried, ids])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model: Decoder, ids: str, text: str,
+             carried: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of the carried columns and the text of each row's ids."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            texts = list(map(model.decode, _arrays(part.column(ids))))
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in carried] + [pa.array(texts, pa.string())],
+                                             names=[*carried, text])
+
+
+def _arrays(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row, without null ones; those of a null row are none."""
+    if lists.null_count or lists.values.null_count:
+        none = np.zeros(0, np.int32)
+        yield from (none if row.values is None else row.values.drop_null().to_numpy() for row in lists)
+        return
+    ids = lists.values.to_numpy()
+    yield from (ids[a:b] for a, b in itertools.pairwise(lists.offsets.to_pylist()))
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
            keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Token ids of each whole text: the columns `keep` and `ids` (array of int), one row per row of `df`.
@@ -238,11 +313,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("bpe")
-        model = encoder(content.value)
-        for batch, texts in chunks(batches, "__text"):
-            found, counts = model.encode(texts)
-            coded = pa.ListArray.from_arrays(_offsets(counts), pa.array(found))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in carried] + [coded], names=[*carried, ids])
+        yield from _encoded(batches, encoder(content.value), "__text", ids, carried)
 
     return df.select(*[F.col(f"`{n}`") for n in carried], text_of(text).alias("__text")).mapInArrow(run, schema)
 
@@ -262,27 +333,42 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("bpe decoder")
-        model, none = decoder(content.value), np.zeros(0, np.int32)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts = [model.decode(none if row.values is None else
-                                      row.values.drop_null().to_numpy()) for row in part.column("__ids")]
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in carried] + [pa.array(texts, pa.string())],
-                                                 names=[*carried, text])
+        yield from _decoded(batches, decoder(content.value), "__ids", text, carried)
 
     source = df.select(*[F.col(f"`{n}`") for n in carried], F.col(f"`{ids}`").cast("array<int>").alias("__ids"))
     return source.mapInArrow(run, schema)
 
 
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: its number of tokens and digests of its ids and of the text they decode to."""
-    coded = encode(docs, tokenizer, text, "ids", keep=(key,))
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    counted = coded.select(F.col(f"`{key}`"), "ids", F.size("ids").cast("long").alias("n_tokens"),
-                           digest.alias("ids_sha256"))
-    back = decode(counted, tokenizer, "ids", "decoded", keep=(key, "n_tokens", "ids_sha256"))
-    return back.select(F.col(f"`{key}`"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: its number of tokens and digests of its ids and of the text they decode to.
+
+    The steps of `encode` and `decode`, one after the other in the same Python worker: ids and decoded texts are held
+    for a chunk of texts at a time and do not go through the JVM.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    content = tokenizer_file(spark, tokenizer)
+    schema = kept_fields(docs, (key,), T.StructField("n_tokens", T.LongType(), False),
+                         T.StructField("ids_sha256", T.StringType(), False),
+                         T.StructField("decoded_sha256", T.StringType(), False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe round trip")
+        there, back = encoder(content.value), decoder(content.value)
+        name = back.decimal.__getitem__
+        for batch in _encoded(batches, there, "__text", "ids", ["__key"]):
+            digests = [_sha256(",".join(map(name, ids.tolist())).encode()) for ids in _arrays(batch.column("ids"))]
+            counted = batch.append_column("n_tokens", batch.column("ids").value_lengths().cast(pa.int64())).append_column(
+                "ids_sha256", pa.array(digests, pa.string()))
+            for decoded in _decoded(iter([counted]), back, "ids", "decoded", ["__key", "n_tokens", "ids_sha256"]):
+                texts = pa.array([_sha256(t.encode()) for t in decoded.column("decoded").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*decoded.columns[:3], texts], names=schema.names)
+
+    return docs.select(F.col(f"`{key}`").alias("__key"), text_of(text).alias("__text")).mapInArrow(run, schema)
 
 
 def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:

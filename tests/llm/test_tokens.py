@@ -118,3 +118,17 @@ def test_counts_do_not_hang_on_the_table(table):
     small, large = (token_counts.count_tokens(table(rows), PATH, size=s).orderBy("doc_id").collect() for s in (1, 9999))
     assert small == large
     assert token_counts.count_tokens(table(rows), PATH).agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_round_trip_is_one_pass(table, capsys):
+    bpe.round_trip(table(EDGE), PATH).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_walk_follows_places_not_all_lengths(encoder):
+    words = sorted({b"zqxjkvwp" * 40, b"understanding", b"understandings"})
+    encoder.forget_places()
+    assert list(encoder.walk(words)) == [tuple(encoder.merged(w)) for w in words]
+    steps = encoder.steps
+    assert 0 < steps < 60  # repeated letters go by places that are known
+    assert list(encoder.walk(words)) == [tuple(encoder.merged(w)) for w in words] and encoder.steps == steps
