@@ -1,5 +1,6 @@
 import hashlib
 from collections import defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -83,6 +84,15 @@ def test_large_groups_are_dealt(spark, table, tmp_path, monkeypatch):
     assert found(exact.dedup(spark, str(tmp_path / "t"))) == brute(rows)
 
 
+def test_stores_take_no_disk_ahead(spark, table, tmp_path):
+    """Many partitions of little state: a store takes what it holds, not blocks of a fixed size."""
+    put(table([(n, f"text {n}") for n in range(40)]), str(tmp_path / "t"))
+    exact.observe(spark, str(tmp_path / "t"), str(tmp_path / "seen"))
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark._jsc.sc().conf()))
+    taken = [f.stat().st_blocks * 512 for f in local.glob("**/MANIFEST-*")]
+    assert taken and max(taken) < 1 << 20
+
+
 def test_query(spark):
     """All columns against SQL-free brute force; no Python in the plan."""
     got = exact.op11_exact_dedup(spark, SMALL)
