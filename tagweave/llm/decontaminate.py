@@ -92,8 +92,7 @@ def read_items(benchmark: DataFrame, item: str = "item_id", text: str = "text",
 def _halves(texts: list[str], vocabulary: dict[str, int]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; for each known word its number and its half passage; the text of each half."""
     words = [words_of(t) for t in texts]
-    get = vocabulary.get
-    ids = np.fromiter((get(w, -1) for w in itertools.chain.from_iterable(words)), np.int32,
+    ids = np.fromiter(map(vocabulary.get, itertools.chain.from_iterable(words), itertools.repeat(-1)), np.int32,
                       sum(map(len, words)))
     sizes = np.array([len(w) for w in words], np.int64)
     counts = -(-sizes // HALF)
@@ -119,11 +118,17 @@ def _sums(table: np.ndarray, ids: np.ndarray, half: np.ndarray, n: int) -> np.nd
     out = np.zeros((n, table.shape[1]), np.float32)
     if len(ids):
         starts = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
-        step = 64  # halves whose rows stay in a cache
+        counts = np.diff(np.append(starts, len(ids)))
+        step = 256  # halves whose sums stay in a cache
         for a in range(0, len(starts), step):
-            lo = starts[a]
-            hi = starts[a + step] if a + step < len(starts) else len(ids)
-            out[half[starts[a:a + step]]] = np.add.reduceat(table[ids[lo:hi]], starts[a:a + step] - lo, axis=0)
+            # first words of all of them, then second ones and so on; halves of many words come first
+            order = np.argsort(-counts[a:a + step], kind="stable") + a
+            first, below = starts[order], -counts[order]
+            held = table[ids[first]]
+            for k in range(1, -below[0]):
+                more = int(np.searchsorted(below, -k))
+                held[:more] += table[ids[first[:more] + k]]
+            out[half[first]] = held
     return out
 
 

@@ -269,3 +269,23 @@ def test_registered_leaks_hold_all_verbatim_ones(spark):
     want = {(d, i) for i, t in read("benchmark", "item_id") for d, text in texts.items()
             if f" {' '.join(decontaminate.words_of(t))} " in text}
     assert want and want == found
+
+
+def test_ascii_words_without_the_pattern(monkeypatch):
+    from tagweave.llm import shingles
+    texts = ["".join(map(chr, range(128))), "a_b A9", "", "\x1c\x1d x\x85", "İa b", "naïve 漢字"]
+    want = [shingles.WORD.findall(t.lower()) for t in texts]
+    assert list(map(shingles.words_of, texts)) == want
+    monkeypatch.setattr(shingles, "WORD", None)
+    assert [shingles.words_of(t) for t in texts if t.isascii()] == [w for w, t in zip(want, texts) if t.isascii()]
+
+
+def test_sums_of_halves():
+    draw = np.random.default_rng(2)
+    values = draw.standard_normal((50, 7)).astype(np.float32)
+    half = np.sort(draw.integers(0, 900, 3000)) * 2
+    ids = draw.integers(0, 50, len(half))
+    want = np.zeros((1800, 7))
+    np.add.at(want, half, values[ids])
+    assert np.allclose(decontaminate._sums(values, ids, half, 1800), want, atol=1e-4)
+    assert not decontaminate._sums(values, ids[:0], half[:0], 5).any()
