@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,9 +93,10 @@ def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequen
                             word_end: str = WORD_END, longest: int | None = None) -> DataFrame:
     """Give every token the tags of the words it overlaps, and `word_end` if a word ends in it.
 
-    One shuffle: sections are cut into blocks of `width` characters; a token goes to the block it starts in, a word to
-    all blocks it touches and to the one before if it starts near a border, and a sweep over the sorted spans of a
-    block gives its labels, however long the section is. Tokens longer than half a block go to all blocks they touch and
+    One shuffle, or none where tokens and words come dealt alike by a column of the section (`fixtures.keyed`): sections
+    are cut into blocks of `width` characters; a token goes to the block it starts in, a word to all blocks it touches
+    and to the one before if it starts near a border, and a sweep over the sorted spans of a block gives its labels,
+    however long the section is. Tokens longer than half a block go to all blocks they touch and
     are gathered by a second shuffle; where `longest` says that there are none, that part of the plan is left out.
     Labels are upper-cased, distinct, sorted and joined with `+`; a token without a match gets `mask`.
     """
@@ -115,9 +116,11 @@ def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequen
         return F.expr(f"({place}) div {int(width)}")
 
     def swept(pieces: DataFrame, near: DataFrame) -> DataFrame:
-        both = pieces.unionByName(near, allowMissingColumns=True).repartition(*section, "__blk")
         columns = [*section, *rest, "__blk", "__start", "__end", "__word", "__tag"]
-        return both.select(*columns).sortWithinPartitions(*section, "__blk", "__start", "__end").mapInArrow(
+        both = pieces.unionByName(near, allowMissingColumns=True).select(*columns)
+        # the window gathers and sorts the rows of a block, and moves none where both sides lie together by key already
+        inside = Window.partitionBy(*section, "__blk").orderBy("__start", "__end")
+        return both.withColumn("__nth", F.row_number().over(inside)).mapInArrow(
             _overlapping(section, rest, word_end), schema)
 
     touched = F.explode(F.sequence(block(f"greatest(__start - {reach}, 0)"), block("__end")))

@@ -70,3 +70,8 @@ def test_last_flags_are_carried_without_a_sort(spark):
         for _, i, v in rows[40 * d:40 * d + 40]:
             last = last if v is None else v
             assert got[d, i] == last
+
+
+def test_overlap_of_rows_dealt_alike_moves_none(spark):
+    moved = exchanges(contract.queries()["label_tokens_by_overlap"](spark, FOLDER))
+    assert moved and [line for line in moved if "REPARTITION_BY_NUM" not in line] == []
