@@ -229,6 +229,22 @@ def test_simhash_counts_bits():
         at += n
 
 
+def test_few_edits_are_counted_by_diagonals(monkeypatch):
+    draw = random.Random(8)
+    some = lambda: [draw.choice("abc") for _ in range(draw.randrange(14))]
+    pairs = [(a, some() if draw.random() < 0.5 else [x for x in a for x in draw.choice(([x], [x], [x], [], [x, "b"]))])
+             for a in (some() for _ in range(3000))]
+    distances = [lines.edit_distance(a, b) for a, b in pairs]
+    long = [str(n) for n in range(400)]
+    assert not lines.within(long, ["x", *long[:-1]], 1) and lines.within(long, ["x", *long[:-1]], 2)
+    assert lines.within(long, long[50:], 50) and not lines.within(long, long[50:], 49)
+    # the whole line is not gone through word by word
+    monkeypatch.setattr(lines, "edit_distance", None)
+    for (a, b), d in zip(pairs, distances):
+        assert [lines.within(a, b, most) for most in (0, 1, 2, 5, 9)] == [d <= most for most in (0, 1, 2, 5, 9)]
+    assert lines.alike(" ".join(long), " ".join(["x", *long[:300], *long[301:]]), 0.95)
+
+
 def test_equal_lines_only_hash_alike():
     texts = [prose(n, 9) for n in range(3000)]
     found = lines.sketched([*texts, *[t.upper() + "!" for t in texts]], 5)
