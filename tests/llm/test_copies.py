@@ -292,3 +292,25 @@ def test_jaccard_refuses_thresholds_that_would_lose_pairs(table):
     with pytest.raises(ValueError, match="below"):
         jaccard.jaccard_classes(table([(1, prose(1, 20))]), threshold=0.5)
     assert jaccard.jaccard_classes(table([(1, prose(1, 20))]), threshold=0.9).count() == 1
+
+
+def test_tallies_differ_by_two_an_edit_at_most():
+    draw = np.random.default_rng(4)
+    a, b = draw.integers(-1 << 63, (1 << 63) - 1, (2, 500))
+    plain = [sum(min(d := ((int(x) >> k) - (int(y) >> k)) % 16, 16 - d) for k in range(0, 64, 4)) for x, y in zip(a, b)]
+    assert lines.apart(a, b).tolist() == plain
+    for n in range(200):
+        pair = [prose(n, 90), edited(prose(n, 90), n, n % 9)]
+        _, _, _, words, _, sizes = lines._cut(pair, 5)
+        tally = lines.tallies(words, sizes)
+        assert lines.apart(tally[:1], tally[1:])[0] <= 2 * (n % 9)
+
+
+def test_lines_that_meet_by_chance_are_not_compared(table, monkeypatch):
+    draw, phrase = random.Random(6), "extraordinarily straightforward circumstances notwithstanding"
+    rows = [(n, f"{phrase} " + " ".join(f"w{draw.randrange(10 ** 6)}" for _ in range(26))) for n in range(40)]
+    rows.append((40, rows[0][1] + " more"))
+    close = lambda: lines.sharing(lines.hashed(table(rows), marks=True).filter("size(marks) > 0"))
+    assert close().select("line").distinct().count() == 2
+    monkeypatch.setattr(lines, "PART", 3)  # marks of many lines are cut into parts
+    assert close().select("line").distinct().count() == 2
