@@ -56,6 +56,44 @@ def test_few_held_counts_change_nothing(spark, held, monkeypatch):
     assert vocab.train_bpe(frame(spark, chunks), 15, held=held) == bpe_by_hand(chunks, 15)
 
 
+def test_the_driver_holds_a_bounded_number_of_pairs(spark, monkeypatch):
+    """Also where the corpus begins with fewer pairs than are held and merges add the others."""
+    rng = random.Random(3)
+    chunks = {"".join(rng.choices("abcd", k=30)): rng.randrange(1, 9) for _ in range(60)}
+    seen = []
+    guesses = vocab._Sample.guesses
+    monkeypatch.setattr(vocab._Sample, "guesses", lambda self, best, allowed, counts, many: seen.append(len(counts)) or guesses(self, best, allowed, counts, many))
+    monkeypatch.setattr(vocab, "_GUESSES", 4)
+    assert vocab.train_bpe(frame(spark, chunks), 24, held=20) == bpe_by_hand(chunks, 24)
+    assert max(seen) <= 40
+
+
+def test_merges_by_arrays(spark):
+    """Runs of one symbol, chunks side by side, merges that make the symbols of later ones: all pair counts are those counted anew."""
+    import pyarrow as pa
+    words, counts = ["aaaa", "aaabaab", "a", "", "babab", "aab"], [3, 1, 4, 1, 5, 9]
+    symbols = pa.array([list(w) for w in words], pa.list_(pa.string()))
+    plain, names = [list(w) for w in words], {}
+    laid = vocab._Laid(symbols, pa.array(counts), names)
+    for left, right in [("a", "a"), ("aa", "aa"), ("aa", "b"), ("b", "a"), ("x", "y"), ("ba", "b")]:
+        before = bpe_pairs(plain, counts)
+        plain = [vocab._merged(p, left, right) for p in plain]
+        wanted = {k: n for k, n in ((k, bpe_pairs(plain, counts).get(k, 0) - before.get(k, 0)) for k in {*before, *bpe_pairs(plain, counts)}) if n}
+        changed = []
+        laid.merge(left, right, changed)
+        pairs, sums = vocab._summed(changed)
+        assert dict(zip(zip(*(c.to_pylist() for c in vocab._named(pairs, names))), sums.tolist())) == wanted
+        assert laid.symbols().to_pylist() == plain
+
+
+def bpe_pairs(states, counts):
+    out = {}
+    for symbols, n in zip(states, counts):
+        for pair in zip(symbols, symbols[1:]):
+            out[pair] = out.get(pair, 0) + n
+    return out
+
+
 def test_lookups_by_the_index_find_every_chunk(spark, monkeypatch):
     """With every round answered from the index, and with symbols of control characters, which are letters like others."""
     rng = random.Random(5)
