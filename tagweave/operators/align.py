@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tagweave.operators.batches import whole_groups
 from tagweave.operators.runs import MASK, WORD_END
-from tagweave.operators.scan import BLOCK, running_sums
+from tagweave.operators.scan import BLOCK, running, running_sums
 from tagweave.operators.tags import BAD, OK
 
 SECTION = ("doc_id", "section_pos")
@@ -21,7 +21,7 @@ WIDTH = 1 << 14
 
 
 def word_spans(df: DataFrame, section: Sequence[str] = SECTION, order: Sequence[str] = ("pos",),
-               word: str = "word", block: int = BLOCK) -> DataFrame:
+               word: str = "word", block: int | None = BLOCK) -> DataFrame:
     """Half-open character spans [start, end) of the words in the joined section."""
     size = F.length(word)
     rows = running_sums(df, section, order, {"start": size}, block=block)
@@ -29,7 +29,7 @@ def word_spans(df: DataFrame, section: Sequence[str] = SECTION, order: Sequence[
 
 
 def token_spans(pieces: DataFrame, section: Sequence[str] = SECTION, order: Sequence[str] = ("idx",),
-                piece: str = "value", block: int = BLOCK) -> DataFrame:
+                piece: str = "value", block: int | None = BLOCK) -> DataFrame:
     """Spans of token pieces, from their running length; the piece is the token's own text."""
     return word_spans(pieces, section, order, piece, block)
 
@@ -39,12 +39,11 @@ def fixed_pieces(sections: DataFrame, width: int = 4, section: Sequence[str] = S
     """Cut the text of each section into pieces of `width` characters: (section, idx, value, start, end).
 
     Where the pieces are all of one width their spans are known as they are cut; `token_spans` finds the spans of any pieces.
+    A text is run through once, however long it is.
     """
-    starts = F.sequence(F.lit(1), F.length(text), F.lit(width))
-    cut = sections.filter(F.length(text) > 0).select(*section, text, F.posexplode(starts).alias("idx", "__at"))
-    start = (F.col("__at") - 1).cast("long")
-    return cut.select(*section, F.col("idx").cast("long"), F.substring(F.col(text), F.col("__at"), F.lit(width)).alias("value"),
-                      start.alias("start"), F.least(start + width, F.length(text).cast("long")).alias("end"))
+    values = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{int(width)}}}"), F.lit(0))
+    cut = sections.select(*section, F.posexplode(values).alias("idx", "value")).withColumn("idx", F.col("idx").cast("long"))
+    return cut.withColumn("start", F.col("idx") * width).withColumn("end", F.col("start") + F.length("value"))
 
 
 def _overlapping(section: Sequence[str], rest: Sequence[str], word_end: str):
@@ -138,27 +137,50 @@ def label_tokens_by_overlap(tokens: DataFrame, words: DataFrame, section: Sequen
 
 
 def align_pieces(pieces: DataFrame, words: DataFrame, section: Sequence[str] = SECTION,
-                 order: Sequence[str] = ("idx",), block: int = BLOCK) -> DataFrame:
+                 order: Sequence[str] = ("idx",), block: int | None = BLOCK) -> DataFrame:
     """Assign pieces to words where each word ends at the end of a piece.
 
     `pieces` and `words` carry start and end in the same section text. Adds `word_idx` (from 0) and
     `status`: a section is bad when a word is empty or ends inside a piece. Pieces after the last word
-    keep the next index.
+    keep the next index. Pieces and words are laid together by their ends, words first, and scanned twice; nothing
+    is joined.
     """
     section = list(section)
-    status = alignment_status(words, pieces, section).drop("words")
-    word_ends = words.select(*section, "end", F.lit(1).alias("__ends")).distinct()
-    marked = pieces.join(word_ends, [*section, "end"], "left")
-    numbered = running_sums(marked, section, order, {"word_idx": F.col("__ends")}, block=block).drop("__ends")
-    # one status row per section; a section of very many pieces is split by adaptive skew handling
-    return numbered.join(status, section)
-
-
-def alignment_status(words: DataFrame, pieces: DataFrame, section: Sequence[str] = SECTION) -> DataFrame:
+    along = ["__at", "__piece", *order]
+    ends = _laid_by_end(pieces, words, section, order, block)
+    # a section is good if every place where words end is one where pieces end
+    counted = running_sums(ends, section, along, {
+        "word_idx": F.col("__hit").cast("int"), "__left": _left_over(), "__words": 1 - F.col("__piece")}, totals=True, block=block)
+    return counted.filter((F.col("__piece") == 1) & (F.col("__words_total") > 0)).select(
+        *pieces.columns, "word_idx", F.when(F.col("__left_total") == 0, OK).otherwise(BAD).alias("status"))
+
+
+def _laid_by_end(pieces: DataFrame, words: DataFrame, section: Sequence[str], order: Sequence[str], block: int | None) -> DataFrame:
+    """Words and pieces (`__piece` 0 and 1) of a section by their ends, words first; `__hit` says that a piece ends with a
+    word, `__first` that a row is the first of its kind at its end."""
+    at = F.coalesce(F.col("end").cast("long"), F.lit(0)).alias("__at")
+    empty = ~F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    laid = pieces.withColumn("__end", F.col("end")).select("*", at, F.lit(1).alias("__piece"), F.lit(False).alias("__empty")).unionByName(
+        words.select(*section, F.col("end").alias("__end"), at, F.lit(0).alias("__piece"), empty.alias("__empty")), allowMissingColumns=True)
+    is_piece = F.col("__piece") == 1
+    ends = running(laid, section, ["__at", "__piece", *order], block=block,
+                   lasts={"__word_end": F.when(~is_piece, F.col("__end")), "__piece_end": F.when(is_piece, F.col("__end"))})
+    before = F.when(is_piece, F.col("__piece_end")).otherwise(F.col("__word_end"))
+    return ends.withColumn("__hit", F.coalesce(is_piece & (F.col("__word_end") == F.col("__end")), F.lit(False))).withColumn(
+        "__first", F.coalesce(before < F.col("__end"), F.lit(True))).drop("__word_end", "__piece_end")
+
+
+def _left_over() -> Column:
+    """What rows of `_laid_by_end` add to a number that is 0 for sections in which words end only where pieces do. Empty words add
+    more than all pieces could take away."""
+    place = F.when(F.col("__first") & (F.col("__piece") == 0), 1).when(F.col("__first") & F.col("__hit"), -1).otherwise(0)
+    return place.cast("long") + F.when(F.col("__empty"), F.lit(1 << 40)).otherwise(F.lit(0))
+
+
+def alignment_status(words: DataFrame, pieces: DataFrame, section: Sequence[str] = SECTION, block: int | None = BLOCK) -> DataFrame:
     """(section, words, status) without the piece rows."""
     section = list(section)
-    ends = pieces.select(*section, "end", F.lit(True).alias("__hit")).distinct()
-    checked = words.select(*section, "start", "end").join(ends, [*section, "end"], "left")
-    good = F.col("__hit").isNotNull() & (F.col("end") > F.col("start"))
-    return checked.groupBy(*section).agg(
-        F.count(F.lit(1)).alias("words"), F.when(F.bool_and(good), OK).otherwise(BAD).alias("status"))
+    ends = _laid_by_end(pieces.select(*section, "end"), words, section, (), block)
+    return ends.groupBy(*section).agg(
+        F.sum(1 - F.col("__piece")).alias("words"), F.sum(_left_over()).alias("__left")).filter("words > 0").select(
+        *section, "words", F.when(F.col("__left") == 0, OK).otherwise(BAD).alias("status"))

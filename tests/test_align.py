@@ -88,3 +88,39 @@ def test_pieces_to_words(spark):
     done = align.align_pieces(align.token_spans(p), align.word_spans(w)).collect()
     assert {r.doc_id: r.status for r in done} == {"good": "ok", "bad": "bad", "empty": "bad"}
     assert [r.word_idx for r in sorted(done, key=lambda r: r.idx) if r.doc_id == "good"] == [0, 0, 1, 2]
+
+
+def test_alignment_joins_nothing_and_reads_its_sides_once(spark):
+    """With and without blocks, also where pieces are empty, words share an end, and a section has words or pieces only."""
+    rng = random.Random(11)
+    w, p, wanted = [], [], {}
+    for s in range(60):
+        text = "".join(rng.choices("abc", k=rng.randrange(0, 12)))
+        cuts = [sorted(rng.choices(range(len(text) + 1), k=rng.randrange(0, 5))) for _ in range(2)]
+        spans = [list(zip([0, *c], [*c, len(text)])) for c in cuts]
+        w += [(1, s, a, b) for a, b in spans[0]] if s % 7 else []
+        p += [(1, s, i, text[a:b], a, b) for i, (a, b) in enumerate(spans[1])] if s % 5 else []
+        ends = {b for _, b in spans[0]}
+        good = all(a < b for a, b in spans[0]) and ends <= {b for _, b in spans[1]}
+        wanted[s] = ("ok" if good else "bad", [sum(b in ends for _, b in spans[1][:i]) for i in range(len(spans[1]))])
+    words = spark.createDataFrame(w, "doc_id long, section_pos long, start long, end long")
+    pieces = spark.createDataFrame(p, "doc_id long, section_pos long, idx long, value string, start long, end long")
+    for block in (None, 3, 1 << 16):
+        done = align.align_pieces(pieces, words, block=block)
+        assert done.columns == [*pieces.columns, "word_idx", "status"]
+        got = {}
+        for r in sorted(done.collect(), key=lambda r: r.idx):
+            got.setdefault(r.section_pos, (r.status, []))[1].append(r.word_idx)
+        assert got == {s: v for s, v in wanted.items() if s % 7 and s % 5}
+        status = {r.section_pos: r.status for r in align.alignment_status(words, pieces, block=block).collect()}
+        assert status == {s: v[0] if s % 5 else "bad" for s, v in wanted.items() if s % 7}
+    plan = align.align_pieces(pieces, words, block=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 2
+
+
+def test_a_long_text_is_cut_in_one_run(spark):
+    text = "ab\n😀e" * 60_000 + "z"
+    df = spark.createDataFrame([(1, 0, text), (1, 1, "")], "doc_id long, section_pos long, text string")
+    rows = sorted(align.fixed_pieces(df).collect(), key=lambda r: r.idx)
+    assert [r.value for r in rows] == [text[i:i + 4] for i in range(0, len(text), 4)]
+    assert [(r.idx, r.start, r.end) for r in rows[-2:]] == [(74999, 299996, 300000), (75000, 300000, 300001)]

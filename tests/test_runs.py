@@ -195,3 +195,16 @@ def test_rows_dealt_by_cost(spark):
     assert len(spent) >= 6 and sorted(r.id for r in dealt.collect()) == list(range(len(costs)))
     assert deal_by_cost(df.filter("cost = 0"), F.col("cost"), "id", 4).count() == 50
     assert deal_by_cost(df.filter("false"), F.col("cost"), "id", 4).count() == 0
+
+
+def test_whole_groups_in_one_window(spark):
+    """Without blocks the sums, totals and last values are those with blocks, from one read of the input."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(d, i, rng.choice([None, 1, 2, 3])) for d in range(5) for i in range(rng.randrange(1, 40))], "d long, pos long, v long")
+    for inclusive in (False, True):
+        for totals in (False, True):
+            options = dict(sums={"s": F.col("v"), "n": F.lit(1)}, lasts={"l": F.col("v")}, inclusive=inclusive, totals=totals)
+            one, many = running(df, "d", "pos", block=None, **options), running(df, "d", "pos", block=7, **options)
+            assert one.columns == many.columns and one.dtypes == many.dtypes
+            assert sorted(one.collect(), key=lambda r: (r.d, r.pos)) == sorted(many.collect(), key=lambda r: (r.d, r.pos))
+            assert one._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
