@@ -34,6 +34,19 @@ def test_map_tags(spark):
     assert [got[i] for i in range(5)] == [two.get(one.get(t, "unk"), "unk") for t in "abcde"]
 
 
+def test_rare_tags_are_not_the_looked_up_side(spark, monkeypatch):
+    """They may be as many as the rows; the tags above the limit are few."""
+    rows = ["many"] * 5 + [None] * 4 + ["PUNCT"] + [f"rare{i // 2}" for i in range(300)]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(rows)], "doc_id int, unit_pos int, tag string")
+    sizes, attach = [], tags.attach
+    monkeypatch.setattr(tags, "attach", lambda big, dimension, *a, **k: sizes.append(dimension.count()) or attach(big, dimension, *a, **k))
+    got = {r.unit_pos: r.tag for r in tags.replace_rare(df, 4).collect()}
+    assert [got[i] for i in range(len(rows))] == ["many"] * 5 + [None] * 4 + ["PUNCT"] + ["unk"] * 300
+    assert sizes == [1]
+    given = spark.createDataFrame([("rare1", 2), ("many", 5)], "tag string, count long")
+    assert tags.replace_rare(df, 4, counts=given).filter("tag = 'unk'").count() == 2
+
+
 def test_rare_limit_is_inclusive_and_punct_is_kept(spark):
     rows = ["many"] * 101 + ["edge"] * 100 + ["PUNCT"] * 3
     df = spark.createDataFrame([(0, i, t) for i, t in enumerate(rows)], "doc_id int, unit_pos int, tag string")
