@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tagweave import session
 from tagweave.operators import scan
+from tagweave.plans import corpus
 from tagweave.plans import fixtures as fx
 
 FOLDER = "/root/testdata/sf0.001"
@@ -75,3 +76,15 @@ def test_last_flags_are_carried_without_a_sort(spark):
 def test_overlap_of_rows_dealt_alike_moves_none(spark):
     moved = exchanges(contract.queries()["label_tokens_by_overlap"](spark, FOLDER))
     assert moved and [line for line in moved if "REPARTITION_BY_NUM" not in line] == []
+
+
+def test_sections_of_units_are_made_where_the_words_are(spark, monkeypatch):
+    """Units are not stored, as a stored table loses the parts by document and all its rows would be dealt again."""
+    stored = []
+    monkeypatch.setattr("tagweave.plans.corpus.settle", lambda df, *a: stored.append(df) or session.settle(df, *a))
+    session.prepare(spark)
+    sections = corpus.word_sections(fx.tagged(spark, FOLDER), fx.UNIT_MARK, block=fx.WHOLE)
+    moved = exchanges(sections)
+    assert not stored and moved and [line for line in moved if "REPARTITION_BY_NUM" not in line] == []
+    assert sorted(sections.collect()) == sorted(corpus.word_sections(fx.tagged(spark, FOLDER), fx.UNIT_MARK).collect())
+    assert len(stored) == 1
