@@ -208,3 +208,18 @@ def test_whole_groups_in_one_window(spark):
             assert one.columns == many.columns and one.dtypes == many.dtypes
             assert sorted(one.collect(), key=lambda r: (r.d, r.pos)) == sorted(many.collect(), key=lambda r: (r.d, r.pos))
             assert one._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_ranges_move_and_store_nothing(spark, tmp_path):
+    """A block is a column; rows that lie together by their group stay there, also with null order keys."""
+    rng = random.Random(8)
+    rows = [(d, rng.choice([None, 1, 2, 3]), i) for d in range(6) for i in range(60)]
+    df = spark.createDataFrame(rows, "d long, line int, idx long")
+    cut = ranged(df, "d", ("line", "idx"), blocks=16, stored=False)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString() and not cut.inputFiles()
+    placed = sorted(((r.d, r.line or 0, r.idx), r["__blk"]) for r in cut.collect())
+    assert [b for _, b in placed] == sorted(b for _, b in placed) and len({b for _, b in placed}) == 16
+    got = {(r.d, r.line, r.idx): r.n for r in running(cut, "d", ("line", "idx"), sums={"n": F.lit(1)}).collect()}
+    for d in range(6):
+        for n, row in enumerate(sorted((r for r in rows if r[0] == d), key=lambda r: (r[1] or 0, r[2]))):
+            assert got[row] == n
