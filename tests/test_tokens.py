@@ -278,3 +278,32 @@ def test_words_are_encoded_where_they_are(spark):
     options = tokens.Encoding(marks=tokens.MARKS)
     want = {r.i: r.tokens if r.word else [] for r in tokens.encode(df, model, "word", options).collect()}
     assert {r.i: r.tokens for r in done.collect()} == want
+
+
+def test_known_words_keep_their_ids_over_many_batches(spark, model):
+    """Known, new, long, cut and empty words side by side, with batches of a few rows, and texts decoded from what is kept."""
+    rng = random.Random(2)
+    pool = ["cat", "the", "hat", "", None, "a,b", "a་b", "x[MASK]y", "long" * 40, *("".join(rng.choices("catheb", k=5)) for _ in range(50))]
+    words = [rng.choice(pool) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, word string").coalesce(1)
+    options = tokens.Encoding(marks=tokens.MARKS)
+    alone = {r.word: (r.tokens, r.text) for r in tokens.decode(
+        tokens.encode(df.select("word").distinct(), model, "word", options), model).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        done = tokens.decode(tokens.encode_words(df, model), model).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.i: r.tokens for r in done} == {i: alone[w][0] if w else [] for i, w in enumerate(words)}
+    assert {r.i: r.text for r in done} == {i: alone[w][1] if w else "" for i, w in enumerate(words)}
+
+
+def test_words_of_one_part_are_encoded_in_one_call(model):
+    """The ids are those of the loop over parts, and the loop takes over where a piece is not known."""
+    rows = [["cat"], ["the"], ["thecat"]]
+    alone = [tokens._id_lists(model, tokens.Encoding(), [row, ["[MASK]"]]) for row in rows]
+    ids, sizes, odd = tokens._id_lists(model, tokens.Encoding(), rows)
+    assert [ids[a:b].tolist() for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))] == [a[0][:a[1][0]].tolist() for a in alone]
+    assert odd == {}
+    assert tokens._id_lists(model, tokens.Encoding(), [["cat"], ["中"]])[2]
